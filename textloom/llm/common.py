@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df as a table in the shared checkpoint folder and reads it from there. For loops: the next round's plan
+    starts from files alone. ``discard`` removes the files; what isn't discarded goes with the folder."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/textloom-{uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            sc = df.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """df marked for broadcast if it has at most ``max_rows`` rows (df should be cut, as it is counted here);
     else df as it is, which Spark then joins by a shuffle."""

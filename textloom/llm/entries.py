@@ -10,6 +10,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.importance import resample
+
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return resample(_table(spark, sf_dir, "documents"), good)
+
+
+def op2_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.language_id import held_out, identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    models = train(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    judged = identify(docs.select("doc_id", "text"), models)
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.decontamination import find_items, is_contaminated
 
@@ -24,6 +40,36 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.transport_stream import from_streams, to_streams
+
+    read = from_streams(to_streams(_table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op5_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from textloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op6_simhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.substring_dedup import remove_repeats
 
@@ -43,5 +89,39 @@ def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op7_run_length_index, op8_circulant_minhash)}
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.secrets import count_of, find_secrets, joined
+
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        *(count_of(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.url_reputation import judge_urls
+
+    # A page's outcome is the label with its id: bad if of low quality or toxic.
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when((F.col("quality") == 1) | (F.col("toxic") == 0), 0)
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return judge_urls(_table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+_ALL = (
+    op1_importance_resampling,
+    op2_kneser_ney_language,
+    op3_benchmark_decontamination,
+    op4_transport_stream,
+    op5_cutting_stock_packing,
+    op6_simhash_lines,
+    op7_run_length_index,
+    op8_circulant_minhash,
+    op9_markov_secrets,
+    op10_host_reputation,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}

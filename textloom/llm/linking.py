@@ -13,62 +13,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import discard, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every v in edges (a, b: long); root is the least id of its component.
+    """(v, root) for every v in edges (a, b: long), as a stored table; root is the least id of its component.
 
     Each round points a vertex to the least of itself and its neighbours, shortens those paths, and contracts the
     edges, of which few rounds leave none. Null ends are ignored. No group is collected: only minima and joins.
     """
-    links = cut(
+    links = stored(
         edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
     roots = None
     while not links.isEmpty():
-        to = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = to.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p"))
-        up = to.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        to = cut(to.join(up, "p").select("v", F.col("q").alias("p")))
+        near = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = near.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p"))
+        near = stored(near)
+        to = stored(near.join(near.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p")))
         if roots is None:
-            roots = to.select("v", F.col("p").alias("root"))
+            after = stored(to.select("v", F.col("p").alias("root")))
         else:
             step = to.select(F.col("v").alias("root"), "p")
-            roots = cut(roots.join(step, "root", "left").select("v", F.coalesce("p", "root").alias("root")))
+            after = stored(roots.join(step, "root", "left").select("v", F.coalesce("p", "root").alias("root")))
         a, b = to.select(F.col("v").alias("a"), F.col("p").alias("pa")), to.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        links = links.join(a, "a").join(b, "b").where("pa <> pb")
-        links = cut(links.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    if roots is None:
-        return links.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    return roots
+        rest = links.join(a, "a").join(b, "b").where("pa <> pb")
+        rest = stored(rest.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        discard(roots, links, near, to)
+        roots, links = after, rest
+    return links.select(F.col("a").alias("v"), F.col("b").alias("root")) if roots is None else roots
 
 
-def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], leaders: int = 4) -> DataFrame:
+def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], leaders: int = 16) -> DataFrame:
     """(v, root) of everything that is linked to something else.
 
-    members: (bucket, id: long), distinct rows. confirm: gets distinct pairs (a, b), a < b, and returns those that are
-    links. leaders: how many a bucket has in the second round; later rounds have four times as many each.
+    members: (bucket, id: long), distinct rows of buckets with two ids at least. confirm: gets distinct pairs (a, b),
+    a < b, and returns those that are links. leaders: how many a bucket has in the second round; later rounds have that
+    many times as many each.
     """
-    spans = members.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead < top")
-    rest = cut(members.join(spans.select("bucket", "lead"), "bucket"))
-    links = cut(confirm(rest.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()))
+    first = members.groupBy("bucket").agg(F.min("id").alias("lead"))
+    pairs = members.join(first, "bucket").where("id > lead")
+    links = stored(confirm(pairs.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()))
     roots = connected_components(links)
-    rest = rest.where("id > lead").select("bucket", "id")
+    rest, used, many = members, first, leaders
     while True:
+        # A leader that has met all others leaves its bucket; so do buckets of one group.
+        rest = rest.join(used.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
         named = rest.join(roots.withColumnRenamed("v", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
         open_ = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-        rest = cut(named.join(open_.select("bucket"), "bucket"))
+        rest = stored(named.join(open_.select("bucket"), "bucket"))
         if rest.isEmpty():
             return roots
-        picks = rest.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("part")).agg(F.min("id").alias("lead"))
+        picks = rest.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(many)).alias("part")).agg(F.min("id").alias("lead"))
         picks = picks.join(rest.select("bucket", F.col("id").alias("lead"), F.col("root").alias("lead_root")), ["bucket", "lead"])
-        picks = cut(picks.select("bucket", "lead", "lead_root"))
-        pairs = rest.join(picks, "bucket").where("root <> lead_root")
+        used = stored(picks.select("bucket", "lead", "lead_root"))
+        pairs = rest.join(used, "bucket").where("root <> lead_root")
         pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        links = cut(links.union(confirm(pairs)))
-        roots = connected_components(links)
-        rest = rest.join(picks.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
-        leaders *= 4
+        more = stored(links.union(confirm(pairs)))
+        discard(links, roots)
+        links, roots = more, connected_components(more)
+        many *= leaders
