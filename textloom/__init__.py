@@ -1,0 +1 @@
+"""Analytics over semi-structured text, records and tables as Spark plans."""
