@@ -68,3 +68,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 KEY = ["k_id", "k_text"]
+#: The same key beside columns of the caller, which may have any other name.
+OWN_KEY = ["_own_id", "_own_text"]
+
+
+def with_own_key(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_own_text": text_key(F.col("text").cast("string"))})
+
+
+def as_own_key(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed(dict(zip(KEY, OWN_KEY, strict=True)))

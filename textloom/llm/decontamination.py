@@ -201,3 +201,39 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame
 def is_contaminated(n_hit, n_words):
     """At least a twentieth of the words are hit."""
     return (n_hit > 0) & (n_hit * 20 >= n_words)
+
+
+def find_near_items(docs: DataFrame, items: DataFrame, slop: int = 5) -> DataFrame:
+    """Proximity matches: (doc_id, item_id) of documents that have the two rarest words of an item, of those that occur
+    and by their counts over all documents, at a distance that differs from that in the item by at most ``slop`` words. Items of one word need that
+    word. Inputs are as in find_items; documents without a match give no rows, and repeated rows are listed once.
+
+    The test set is broadcast in blocks as in find_items; shifted positions are joined within stretches of slop + 1 words.
+    """
+    docs = keyed(docs)
+    sought = cut(item_terms(items))
+    n_blocks = -(-int(sought.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]) // BLOCK_WORDS)
+    out = docs.select("doc_id", F.lit("").alias("item_id")).limit(0)
+    for block in range(n_blocks):
+        mine = sought.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block).toArrow()
+        if not len(mine):
+            continue
+        terms = [np.array(t, dtype=np.int64).view(np.uint64) for t in mine.column("terms").to_pylist()]
+        vocabulary = np.unique(np.concatenate(terms))
+        counts = docs.select("text").mapInArrow(_count_rows(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        counts = dict(zip(np.array(counts.column("term"), dtype=np.int64).view(np.uint64).tolist(), counts.column("n").to_pylist(), strict=True))
+        rows = []
+        for name, t in zip(mine.column("item").to_pylist(), terms, strict=True):
+            order = sorted(range(len(t)), key=lambda p: (counts.get(int(t[p])) or float("inf"), p))
+            rows += [(int(nptext.signed(t)[p]), name, int(p), first) for p, first in ((order[0], True), (order[min(1, len(t) - 1)], False))]
+        anchors = pa.table(dict(zip(("term", "item_id", "at", "first"), zip(*rows, strict=True), strict=True)))
+        looked_up = np.unique(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+        index = docs.mapInArrow(_posting_rows(looked_up), "doc_id long, k_id long, k_text long, n_words long, postings array<struct<term:bigint,positions:array<int>>>")
+        lists = index.select("doc_id", *KEY, F.explode("postings").alias("p")).join(F.broadcast(docs.sparkSession.createDataFrame(anchors)), F.col("p.term") == F.col("term"))
+        shifted = lists.select("doc_id", *KEY, "item_id", "first", F.explode("p.positions").alias("place"), "at").withColumn("shift", F.col("place") - F.col("at")).drop("place", "at")
+        part = F.floor(F.col("shift") / (slop + 1))
+        a = shifted.where("first").select("doc_id", *KEY, "item_id", "shift", part.alias("part"))
+        b = shifted.where(~F.col("first")).select(*KEY, "item_id", F.col("shift").alias("other"), F.explode(F.array(part - 1, part, part + 1)).alias("part"))
+        near = a.join(b, [*KEY, "item_id", "part"]).where(F.abs(F.col("shift") - F.col("other")) <= slop)
+        out = out.union(near.select("doc_id", "item_id"))
+    return out.distinct()
