@@ -113,7 +113,7 @@ def conflicts(lines: DataFrame, text: str = "line_text") -> DataFrame:
     """``CONFLICT (type): ... in file``, or ``CONFLICT (modify/delete): file deleted in ...``."""
     x = F.col(text)
     kind = F.regexp_extract(x, r"^CONFLICT \(([^)]*)\): ", 1)
-    file = F.when(kind == "modify/delete", F.regexp_extract(x, r"^CONFLICT \([^)]*\): (\S+) deleted", 1)).otherwise(F.regexp_extract(x, r" in (\S+)$", 1))
+    file = F.when(kind == "modify/delete", F.regexp_extract(x, r"^CONFLICT \([^)]*\): (\S+) deleted", 1)).otherwise(F.regexp_extract(x, r"^.* in (.+)$", 1))
     return lines.where(x.startswith("CONFLICT (")).select(*[c for c in lines.columns if c != text], kind.alias("type"), file.alias("file"))
 
 
