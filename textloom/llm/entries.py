@@ -124,4 +124,55 @@ _ALL = (
     op10_host_reputation,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP3 = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[s:s + 12], ' ') AS k FROM i, unnest(generate_series(1, greatest(len(ws) - 12, 1))) AS g(s) WHERE len(ws) > 0),
+z AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, s, n, array_to_string(ws[s:s + n - 1], ' ') AS k FROM d, z, unnest(generate_series(1, len(ws) - n + 1)) AS g(s)),
+h AS (SELECT DISTINCT doc_id, s, n, item_id FROM dw JOIN iw USING (n, k)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+_OP8 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[s:s + 2], ' ') AS k FROM w, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS g(s) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 85 * (na.n + nb.n - x)),
+ee AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, ee.b FROM r JOIN ee ON ee.a = r.root)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id, min(root) = r.doc_id AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+_OP10 = """
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+o AS (SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 OR toxic = 0 THEN 0 END AS bad FROM p JOIN labels ON doc_id = page_id),
+h AS (SELECT host, count(*) AS n, CAST(sum(bad) AS DOUBLE) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM o WHERE host <> '' AND bad IS NOT NULL GROUP BY host),
+a AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS r FROM h),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT r FROM a) AS up FROM h GROUP BY suffix),
+s1 AS (SELECT sum(n * pow(bad / n - up, 2)) AS m, sum(up * (1 - up)) AS noise, sum((n - 1) * up * (1 - up)) AS room FROM s0),
+s2 AS (SELECT least(greatest(coalesce(CASE WHEN m > noise THEN room / (m - noise) - 1 END, 1000), 1), 1000) AS s FROM s1),
+s3 AS (SELECT suffix, (bad + s * up) / (n + s) AS rate FROM s0, s2),
+d0 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS up FROM h JOIN s3 USING (suffix) GROUP BY domain),
+d1 AS (SELECT sum(n * pow(bad / n - up, 2)) AS m, sum(up * (1 - up)) AS noise, sum((n - 1) * up * (1 - up)) AS room FROM d0),
+d2 AS (SELECT least(greatest(coalesce(CASE WHEN m > noise THEN room / (m - noise) - 1 END, 1000), 1), 1000) AS s FROM d1),
+d3 AS (SELECT domain, (bad + s * up) / (n + s) AS rate FROM d0, d2),
+h0 AS (SELECT host, n, bad, rate AS up FROM h JOIN d3 USING (domain)),
+h1 AS (SELECT sum(n * pow(bad / n - up, 2)) AS m, sum(up * (1 - up)) AS noise, sum((n - 1) * up * (1 - up)) AS room FROM h0),
+h2 AS (SELECT least(greatest(coalesce(CASE WHEN m > noise THEN room / (m - noise) - 1 END, 1000), 1), 1000) AS s FROM h1),
+h3 AS (SELECT host, (bad + s * up) / (n + s) AS rate, n + s AS k FROM h0, h2),
+b AS (SELECT host, rate - sqrt(rate * (1 - rate) / (k + 1)) AS bound FROM h3),
+f AS (SELECT page_id, host, path, CASE WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+ WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+ WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+ WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule, bound FROM p LEFT JOIN b USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict FROM f
+"""
+#: The other operators are beyond SQL (models, hashes, tokenizers, media, byte windows): tests hold them against brute force.
+ORACLES: dict[str, str] = {"op3_benchmark_decontamination": _OP3, "op8_circulant_minhash": _OP8, "op10_host_reputation": _OP10}
