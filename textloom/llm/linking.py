@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import discard, stored
+from textloom.llm.common import cut, discard, small_side, stored
+
+SHARED_BROADCAST_ROWS = 500_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -46,32 +48,67 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("v"), F.col("b").alias("root")) if roots is None else roots
 
 
-def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], leaders: int = 16) -> DataFrame:
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """The members (bucket, id, ...; distinct) of buckets with two of them at least."""
+    many = cut(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    return members.join(small_side(many, SHARED_BROADCAST_ROWS), "bucket")
+
+
+def central_members(members: DataFrame) -> DataFrame:
+    """(bucket, lead): the member of each bucket whose buckets are largest in sum. Among copies of a text that were changed
+    in different ways this is the text itself, or what is closest to it, which most of the others are linked to."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    weight = members.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))
+    weighted = members.join(weight, "id")
+    most = weighted.groupBy("bucket").agg(F.max("weight").alias("most"))
+    return weighted.join(most, "bucket").where("weight = most").groupBy("bucket").agg(F.min("id").alias("lead"))
+
+
+def _led(members: DataFrame, leads: DataFrame, alike: Column | None, other: Column) -> DataFrame:
+    """Distinct pairs (a, b) of members with a leader of their bucket that meet ``other`` and ``alike``. What members have
+    besides bucket and id is there for the leader too, with lead_ before its name; pairs that fail don't leave the join."""
+    own = {c: f"lead_{c}" for c in members.columns if c not in ("bucket", "id")}
+    if own:
+        leads = leads.join(members.withColumnsRenamed({"id": "lead", **own}), ["bucket", "lead"])
+    pairs = members.join(leads, "bucket").where(other if alike is None else other & alike)
+    return pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
+def link_buckets(
+    members: DataFrame,
+    confirm: Callable[[DataFrame], DataFrame],
+    alike: Column | None = None,
+    refine: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None,
+    leaders: int = 16,
+) -> DataFrame:
     """(v, root) of everything that is linked to something else.
 
-    members: (bucket, id: long), distinct rows of buckets with two ids at least. confirm: gets distinct pairs (a, b),
-    a < b, and returns those that are links. leaders: how many a bucket has in the second round; later rounds have that
-    many times as many each.
+    members: (bucket, id: long), distinct rows of buckets with two ids at least, and what ``alike`` needs: a condition on
+    a member's columns and its leader's (lead_...), for pairs that are worth a closer look. confirm: gets distinct pairs
+    (a, b), a < b, and returns those that are links. refine: gets the ids (id) of the buckets that the first round leaves
+    with several groups, and returns members of finer buckets and their condition for the rounds that follow. leaders:
+    how many a bucket has in the second round; later rounds have that many times as many each.
     """
-    first = members.groupBy("bucket").agg(F.min("id").alias("lead"))
-    pairs = members.join(first, "bucket").where("id > lead")
-    links = stored(confirm(pairs.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()))
+    used = stored(central_members(members.select("bucket", "id")))
+    links = stored(confirm(_led(members, used, alike, F.col("id") != F.col("lead"))))
     roots = connected_components(links)
-    rest, used, many = members, first, leaders
+    rest, many = members, leaders
     while True:
         # A leader that has met all others leaves its bucket; so do buckets of one group.
-        rest = rest.join(used.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
-        named = rest.join(roots.withColumnRenamed("v", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        named = rest.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_ = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-        rest = stored(named.join(open_.select("bucket"), "bucket"))
+        named = named.join(open_.select("bucket"), "bucket")
+        if refine is not None:
+            rest, alike = refine(stored(named.select("id").distinct()))
+            refine = None
+            used = used.limit(0)
+            continue
+        was, rest = rest, stored(named.join(used.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti"))
+        discard(was, used)
         if rest.isEmpty():
             return roots
-        picks = rest.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(many)).alias("part")).agg(F.min("id").alias("lead"))
-        picks = picks.join(rest.select("bucket", F.col("id").alias("lead"), F.col("root").alias("lead_root")), ["bucket", "lead"])
-        used = stored(picks.select("bucket", "lead", "lead_root"))
-        pairs = rest.join(used, "bucket").where("root <> lead_root")
-        pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        more = stored(links.union(confirm(pairs)))
+        used = stored(rest.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(many)).alias("part")).agg(F.min("id").alias("lead")).select("bucket", "lead"))
+        more = stored(links.union(confirm(_led(rest, used, alike, F.col("root") != F.col("lead_root")))))
         discard(links, roots)
         links, roots = more, connected_components(more)
-        many *= leaders
+        rest, many = rest.drop("root"), many * leaders

@@ -7,21 +7,29 @@ coordinates make candidate buckets; links are confirmed by the exact Jaccard sim
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import nptext
 from textloom.llm.common import KEY, cut, keyed, small_side
-from textloom.llm.linking import link_buckets
+from textloom.llm.linking import link_buckets, shared_buckets
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = (0x20, *range(0x09, 0x0E))
 IS_WORD = ~nptext.table_of(SPACES)
 ROWS, BANDS = 5, 32
+#: Finer bands for the few texts whose buckets hold different groups: 256, of so many rows that a pair at the similarity
+#: is missed with a chance of about 1e-7, while pairs well below it seldom meet.
+FINE_BANDS, FINE_MEET = 256, 0.061
+#: One bit of each of the first coordinates: the bits of a pair are equal in (1 + similarity) / 2 of the places; pairs more
+#: than 5.3 standard deviations below that (a chance of 6e-8) are not looked at further.
+SKETCH_LONGS, DEVIATIONS = 32, 5.3
 SEARCH_BROADCAST_ROWS = 1_000_000
 
 
@@ -47,12 +55,13 @@ def distinct(h: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [np.unique(h[begin[i] : begin[i + 1]]) for i in range(len(begin) - 1)]
 
 
-def signatures(h: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit bucket for each text with shingles and band."""
+def signatures(h: np.ndarray, begin: np.ndarray, bands: int, rows: int, longs: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit bucket for each text with shingles and band, and ``longs`` times 64 bits, one of each coordinate."""
     full = np.flatnonzero(np.diff(begin))
     place = (nptext.mix(h + np.uint64(0x51ED270B)) >> np.uint64(32)).astype(np.uint32)
     out = np.zeros((len(begin) - 1, bands), dtype=np.uint64)
-    for band in range(bands):
+    sketch = np.zeros((len(begin) - 1, longs), dtype=np.uint64)
+    for band in range(bands if len(full) else 0):
         key = np.full(len(full), band, dtype=np.uint64)
         for k in range(band * rows, band * rows + rows):
             x = place + np.uint32(k)
@@ -61,9 +70,12 @@ def signatures(h: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.nd
             x ^= x >> np.uint32(13)
             x *= np.uint32(0xC2B2AE35)
             x ^= x >> np.uint32(16)
-            key = nptext.mix(key * np.uint64(nptext.BASE) + np.minimum.reduceat(x, begin[full]).astype(np.uint64))
+            least = np.minimum.reduceat(x, begin[full]).astype(np.uint64)
+            if k < 64 * longs:
+                sketch[full, k // 64] |= (least & np.uint64(1)) << np.uint64(k % 64)
+            key = nptext.mix(key * np.uint64(nptext.BASE) + least)
         out[full, band] = key
-    return out
+    return out, sketch
 
 
 def _signed_rows(size: int, bands: int, rows: int):
@@ -74,7 +86,7 @@ def _signed_rows(size: int, bands: int, rows: int):
                 h, begin = shingle_hashes(part, cuts, size)
                 sets = distinct(h, begin)
                 node = np.array([len(s) * nptext.BASE + int(nptext.mix(s).sum(dtype=np.uint64)) & (2**64 - 1) for s in sets], dtype=np.uint64)
-                keys = signatures(h, begin, bands, rows)
+                keys, _ = signatures(h, begin, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(nptext.signed(keys.reshape(-1))))
                 piece = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
@@ -98,6 +110,24 @@ def _set_rows(size: int):
     return run
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a table of 64-bit words."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(nptext.signed(x.reshape(-1))))
+
+
+def _fine_rows(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                lists = part.column("shingles")
+                h, begin = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+                keys, sketch = signatures(h, begin, bands, rows, SKETCH_LONGS)
+                yield pa.RecordBatch.from_arrays([part.column("node"), _lists(keys), _lists(sketch)], ["node", "bands", "sketch"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, k_id, k_text (see common.keyed), n_shingles, component_id, kept.
 
@@ -116,8 +146,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, ban
     )
     nodes = cut(signed.where("n_shingles > 0").dropDuplicates(["node"]).select(*KEY, "node", "n_shingles", "bands"))
     members = nodes.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))
-    spans = members.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("bucket")
-    members = cut(members.join(spans, "bucket"))
+    members = cut(shared_buckets(members))
     wanted = cut(nodes.join(members.select(F.col("id").alias("node")).distinct(), "node").select(*KEY, "node"))
     texts = docs.join(small_side(wanted, SEARCH_BROADCAST_ROWS), KEY).select("node", "text")
     sets = cut(texts.mapInArrow(_set_rows(shingle), "node long, shingles array<long>").dropDuplicates(["node"]))
@@ -129,7 +158,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, ban
         both = both.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("n"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("x"))
         return both.where(F.col("x") * 100 >= F.lit(similarity) * (F.col("n") - F.col("x"))).select("a", "b")
 
-    roots = link_buckets(members, confirm)
+    def refine(ids: DataFrame) -> tuple[DataFrame, Column]:
+        own = sets.join(ids.withColumnRenamed("id", "node"), "node")
+        own = own.mapInArrow(_fine_rows(FINE_BANDS, max(1, int(math.log(FINE_MEET) / math.log(similarity / 100)))), "node long, bands array<long>, sketch array<long>")
+        own = cut(own)
+        fine = cut(shared_buckets(own.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))))
+        sketches = own.select(F.col("node").alias("id"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_LONGS)])
+        unlike = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"lead_s{i}"))) for i in range(1, SKETCH_LONGS)), F.bit_count(F.col("s0").bitwiseXOR(F.col("lead_s0"))))
+        same, bits = (1 + similarity / 100) / 2, 64 * SKETCH_LONGS
+        return fine.join(sketches, "id"), unlike <= int(bits * (1 - same) + DEVIATIONS * math.sqrt(bits * same * (1 - same)))
+
+    roots = link_buckets(members, confirm, refine=refine)
     grouped = signed.select("doc_id", *KEY, "n_shingles", "node").join(roots.withColumnRenamed("v", "node"), "node", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "node"))
     least = grouped.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
