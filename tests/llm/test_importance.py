@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from helpers import ODD, frame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def test_scores_and_selection(spark):
     raw, target = np.zeros(I.BUCKETS), np.zeros(I.BUCKETS)
     bags = {}
     for i, t in rows:
-        b = I.bag(*nptext.utf8(__import__("pyarrow").array([t])), I.BUCKETS)[0]
+        b = I.bag(*nptext.utf8(pa.array([t])), I.BUCKETS)[0]
         np.add.at(raw, b, 1)
         if i in targets:
             np.add.at(target, b, 1)

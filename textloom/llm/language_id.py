@@ -30,7 +30,7 @@ DISCOUNT = 0.75
 SPACE = 32
 CHUNK_CHARS = 1 << 19
 #: Standard deviations above the mean at which a text is rejected.
-REJECT = 8.0
+REJECT = 16.0
 
 _weights = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
