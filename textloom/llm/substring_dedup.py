@@ -131,11 +131,11 @@ def _cut_rows(length: int):
 
 
 class RunLengthIndex:
-    """The runs of the Burrows-Wheeler transform of some bytes, with samples at their ends. Strings that occur twice
-    must be shorter than 2**14 bytes."""
+    """The runs of the Burrows-Wheeler transform of some bytes, with samples at their ends. ``longest``: no string that
+    occurs twice has more bytes."""
 
-    def __init__(self, raw: np.ndarray):
-        n = len(raw)
+    def __init__(self, raw: np.ndarray, longest: int = 1 << 13):
+        n, self.longest = len(raw), longest
         order, rank = self._sorted(raw)
         bwt = np.empty(n, dtype=np.int16)
         bwt[:] = raw[order - 1]
@@ -160,14 +160,14 @@ class RunLengthIndex:
         key = np.zeros(n, dtype=np.uint64)
         for j in range(8):
             key = (key << np.uint64(8)) | padded[j : j + n].astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         h = 8
         new = np.ones(n, dtype=bool)
         new[1:] = sorted_key[1:] != sorted_key[:-1]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        while h < 1 << 14:
+        while True:
             # Only places that share their rank with a neighbour are sorted again, by the rank h further on.
             tied = ~new
             tied[:-1] |= ~new[1:]
@@ -177,26 +177,25 @@ class RunLengthIndex:
             own = order[at]
             ahead = own + h
             later = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-            by = np.lexsort((later, rank[own]))
-            own, later = own[by], later[by]
+            both = rank[own] * (n + 1) + later + 1
+            by = np.argsort(both)
+            own, both = own[by], both[by]
             order[at] = own
-            was = rank[own]
             fresh = np.ones(len(at), dtype=bool)
-            fresh[1:] = (later[1:] != later[:-1]) | (was[1:] != was[:-1])
+            fresh[1:] = both[1:] != both[:-1]
             new[at] = fresh
             rank[own] = np.maximum.accumulate(np.where(fresh, at, 0))
             h *= 2
         return order, rank
 
-    @staticmethod
-    def _shared(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _shared(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at a and b have in common, by bisection over hashes."""
-        spans, n = Spans(raw), len(raw)
-        out, step = np.zeros(len(a), dtype=np.int64), 1 << 13
+        prefix, n = nptext.prefix_hash(raw), len(raw)
+        out, step = np.zeros(len(a), dtype=np.int64), 1 << self.longest.bit_length()
         while step:
             fits = np.maximum(a, b) + out + step <= n
             x, y = (a + out)[fits], (b + out)[fits]
-            same = (spans.first(x, x + step) == spans.first(y, y + step)) & (spans.second(x, x + step) == spans.second(y, y + step))
+            same = nptext.span_hash(prefix, x, x + step) == nptext.span_hash(prefix, y, y + step)
             grow = np.flatnonzero(fits)[same]
             out[grow] += step
             step >>= 1
@@ -217,7 +216,8 @@ def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text, which of its windows of ``length`` bytes occur elsewhere among the texts too."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     raw = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8)  # no UTF-8 text has this byte
-    index = RunLengthIndex(raw)
+    # What occurs twice has no whole text between two others in it, as the texts differ.
+    index = RunLengthIndex(raw, 2 * int(sizes.max(initial=0)) + 2)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
     n = np.maximum(sizes - length + 1, 0)
     start = np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
