@@ -67,7 +67,7 @@ def op5_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.line_dedup import dedup_lines
 
-    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
