@@ -3,7 +3,8 @@ import re
 
 from helpers import ODD, frame, low, words
 
-from textloom.llm.linking import connected_components
+from textloom.llm import near_dedup as N
+from textloom.llm.linking import connected_components, link_buckets
 from textloom.llm.near_dedup import near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,6 +61,43 @@ def test_default_is_five_words_at_eighty(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 5, 80)
 
 
+def test_links_left_to_the_prefix_join(spark, monkeypatch):
+    """A large group around a text that is missing, just below and above the similarity: the second round has two leaders
+    a bucket, so that most links are the last step's; its pairs hold no more than a small share of all pairs."""
+    r, vocabulary = random.Random(6), words(6, 3000)
+    base, rows = [r.choice(vocabulary) for _ in range(150)], []
+    for i in range(260):
+        w = list(base)
+        for _ in range(r.randint(3, 7)):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    for i in range(40):
+        w = rows[i][1].split()
+        w[r.randrange(len(w))] = "zz"
+        rows.append((1000 + i, " ".join(w)))
+    last, found = N.pairs_near_leads, []
+
+    def counted(apart, similarity):
+        pairs = last(apart, similarity)
+        found.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(N, "pairs_near_leads", counted)
+    monkeypatch.setattr(N, "link_buckets", lambda *a, **b: link_buckets(*a, **b, leaders=2))
+    got = near_duplicates(frame(spark, rows), 3, 85).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows, 3, 85)
+    assert found and found[0] < 2000
+
+
+def test_very_long_texts(spark):
+    r = random.Random(3)
+    long = r.choices(words(3), k=60_000)
+    near, far = [*long[:1000], "zz", *long[1001:]], r.choices(words(4), k=60_000)
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(long[:55_000]))]
+    got = near_duplicates(frame(spark, rows), 3, 85).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows, 3, 85)
+
+
 def test_empty_table(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 

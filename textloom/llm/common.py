@@ -9,13 +9,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch that Python gets at most (one row may be larger), unless the session sets fewer.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Tables that ``stored`` has written and ``discard`` hasn't removed yet.
+_made: list[DataFrame] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's ``spark.checkpoint.dir``; sets a folder of our own only where it is unset."""
+    """Uses the cluster's ``spark.checkpoint.dir``; sets a folder of our own only where it is unset and the master is
+    local. Elsewhere a folder of the driver's would not be seen by the executors, so that is an error."""
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches are bounded in bytes: rows alone don't bound them."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH, None) or 1 << 31) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it from there: lost executors cost no recomputation
     of its lineage. Spark removes the files once nothing refers to them."""
@@ -32,6 +50,7 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _made.append(out)
     return out
 
 
@@ -41,6 +60,15 @@ def discard(*tables: DataFrame | None) -> None:
             sc = df.sparkSession.sparkContext
             place = sc._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+            _made[:] = [x for x in _made if x is not df]
+
+
+def stored_alone(make) -> DataFrame:
+    """The stored result of make(); all else that is stored on the way is discarded once the result is there."""
+    before = list(_made)
+    out = stored(make())
+    discard(*[x for x in _made if x is not out and not any(x is y for y in before)])
+    return out
 
 
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
@@ -59,7 +87,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
     k_id is doc_id with a stand-in for null, k_text the text's hash, k_null tells a null id from the stand-in.
     """
-    return docs.select(
+    return bounded_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"),

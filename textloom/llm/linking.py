@@ -3,7 +3,8 @@
 A bucket holds things that may be alike. All pairs of a bucket are never emitted: each round picks a few leaders,
 compares the other members with them, and merges what is linked. A leader has then met every member outside its own
 group and leaves the bucket; a bucket whose members all lie in one group is done. Rounds go on until every bucket is
-done, so that each pair of a bucket is compared or lies in one group: no link that matters is lost, whatever its size.
+done, or until a last step that finds the pairs which are left without comparing all: each pair of a bucket is compared,
+ruled out or lies in one group. No link that matters is lost, whatever a bucket's size.
 """
 
 from __future__ import annotations
@@ -80,6 +81,7 @@ def link_buckets(
     alike: Column | None = None,
     refine: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None,
     leaders: int = 16,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(v, root) of everything that is linked to something else.
 
@@ -87,7 +89,9 @@ def link_buckets(
     a member's columns and its leader's (lead_...), for pairs that are worth a closer look. confirm: gets distinct pairs
     (a, b), a < b, and returns those that are links. refine: gets the ids (id) of the buckets that the first round leaves
     with several groups, and returns members of finer buckets and their condition for the rounds that follow. leaders:
-    how many a bucket has in the second round; later rounds have that many times as many each.
+    how many a bucket has in the second round; later rounds have that many times as many each. finish: gets the members
+    (with root: their group so far) that the second round leaves in buckets of several groups, and returns distinct pairs
+    (a, b) among which are all links that are left between groups; without it rounds go on.
     """
     used = stored(central_members(members.select("bucket", "id")))
     links = stored(confirm(_led(members, used, alike, F.col("id") != F.col("lead"))))
@@ -107,6 +111,10 @@ def link_buckets(
         discard(was, used)
         if rest.isEmpty():
             return roots
+        if finish is not None and many > leaders:
+            last = stored(links.union(confirm(finish(rest))))
+            discard(links, roots)
+            return connected_components(last)
         used = stored(rest.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(many)).alias("part")).agg(F.min("id").alias("lead")).select("bucket", "lead"))
         more = stored(links.union(confirm(_led(rest, used, alike, F.col("root") != F.col("lead_root")))))
         discard(links, roots)

@@ -11,18 +11,20 @@ import pyarrow.compute as pc
 #: Base of the polynomial hash (odd, so that it has an inverse modulo 2**64) and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _powers = {b: np.ones(1, dtype=np.uint64) for b in (BASE, INVERSE)}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, kept for the next call."""
+    """base**0 ... base**(n-1) modulo 2**64. Those for one chunk are kept for the next call; a very long text's aren't."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES * 2), base, dtype=np.uint64)
+        steps = np.full(max(n, CHUNK_BYTES + CHUNK_BYTES // 4), base, dtype=np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
+        have = np.cumprod(steps, dtype=np.uint64)
+        if len(have) <= 2 * CHUNK_BYTES:
+            _powers[base] = have
     return have[:n]
 
 
