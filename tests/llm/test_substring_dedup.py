@@ -1,10 +1,13 @@
+import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
 from helpers import ODD, frame, words
 
 from textloom.llm import substring_dedup as S
+from textloom.llm.entries import op7_run_length_index
 
 
 def brute(texts, n):
@@ -45,6 +48,29 @@ def test_equals_brute_force(spark, monkeypatch, hot):
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
 
 
+def test_passages_equal_brute_force(spark):
+    r, vocabulary = random.Random(3), words(3)
+    text = lambda n: r.choices(vocabulary, k=n)
+    rows = []
+    for i in range(60):
+        shared = text(r.choice((49, 50, 51, 52, 70)))
+        for j in range(2):
+            rows.append((10 * i + j, " ".join([*text(r.randint(0, 40)), *shared, *text(r.randint(0, 40))]).replace(" ", "\n", 1)))
+        if i % 5 == 0:
+            rows.append((10 * i + 5, rows[-1][1]))
+        rows.append((10 * i + 7, " ".join([*(own := text(60)), "x", *own])))
+    rows += [(None, rows[0][1]), (rows[3][0], rows[3][1]), *ODD]
+    seen = {}
+    for k in set(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", k[1] or "")
+        for s in range(len(w) - 50):
+            seen.setdefault(tuple(w[s : s + 51]), set()).add(k)
+    want = {k for v in seen.values() if len(v) > 1 for k in v}
+    got = S.remove_repeats(frame(spark, rows), 400).select("doc_id", "n_bytes", "repeats_passage").collect()
+    assert sorted(map(str, ((x.doc_id, x.n_bytes, x.repeats_passage) for x in got))) == sorted(str((k[0], len((k[1] or "").encode()), k in want)) for k in rows)
+    assert 100 < len(want) < 150
+
+
 def test_long_texts_are_cut_into_slices(monkeypatch, spark):
     monkeypatch.setattr(S, "SLICE_BYTES", 1000)
     monkeypatch.setattr(S.nptext, "CHUNK_BYTES", 1500)
@@ -57,6 +83,17 @@ def test_long_texts_are_cut_into_slices(monkeypatch, spark):
     assert sorted(covered) == list(range(len(raw) - 59))
 
 
+def test_query_equals_brute_force(spark):
+    """At the query's 400 bytes, on a table with copies, repeated lines and passages."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    want = brute([(r.text or "").encode() for r in docs], 400)
+    got = {r.doc_id: r for r in op7_run_length_index(spark, "/root/testdata/sf0.001").collect()}
+    for r, (n, kept) in zip(docs, want, strict=True):
+        x = got[r.doc_id]
+        assert (x.n_bytes, x.n_removed, x.kept_sha256) == (n, n - len(kept), hashlib.sha256(kept).hexdigest())
+    assert sum(x.n_removed > 0 for x in got.values()) > 5
+
+
 def test_index_streams_matching_statistics():
     texts = [b"abracadabra", b"cadabrab", b"zz"]
     hits = S.repeated_windows(texts, 4)

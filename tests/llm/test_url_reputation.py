@@ -42,6 +42,44 @@ def test_shrinkage(spark):
     assert all(r.bound < r.rate for r in got.values())
 
 
+def world(bad_domain, bad_suffix, own):
+    """Outcomes of good and bad hosts under five suffixes, of the siblings of q.dom.zz, and its own. Nine in ten outcomes of
+    a bad part are bad, one in ten of a good one."""
+    outcome = lambda bad, k: int((k % 10 < 9) == bad)
+    rows = [(f"h{i}.d{i % 7}.s{i % 5}", outcome(i % 5 == 0, 7 * i + k)) for i in range(200) for k in range(6)]
+    rows += [(f"x{i}.other{i % 9}.zz", outcome(bad_suffix, 7 * i + k)) for i in range(120) for k in range(6)]
+    rows += [(f"y{i}.dom.zz", outcome(bad_domain, 7 * i + k)) for i in range(30) for k in range(6)]
+    return rows + [("q.dom.zz", b) for b in own]
+
+
+def verdict(spark, rows):
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, (h, _) in enumerate(rows)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "page_id long, bad int")
+    return {r.verdict for r in U.judge_urls(pages, outcomes).where("host = 'q.dom.zz'").collect()}
+
+
+def test_host_domain_and_suffix_each_decide(spark):
+    """The same host with all else equal: its own outcomes, its domain's or its suffix's turn the verdict."""
+    assert verdict(spark, world(False, False, [0])) == {"allow"}
+    assert verdict(spark, world(False, False, [1] * 60)) == {"block"}
+    assert verdict(spark, world(True, False, [0])) == {"block"}
+    assert verdict(spark, [r for r in world(False, True, [1]) if not r[0].startswith("y")]) == {"block"}
+    assert verdict(spark, [r for r in world(False, False, [1]) if not r[0].startswith("y")]) == {"allow"}
+
+
+def test_suffixes_of_two_labels(spark):
+    rows = [("www.shop.co.uk", 1), ("shop.co.uk", 0), ("a.b.com", 0), ("co.uk", 1), ("com", 0), (None, 1), ("", 1), ("x.y", None)]
+    got = {r.host: (r.domain, r.suffix) for r in U.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert got == {"www.shop.co.uk": ("shop.co.uk", "co.uk"), "shop.co.uk": ("shop.co.uk", "co.uk"), "a.b.com": ("b.com", "com"), "co.uk": ("co.uk", "co.uk"), "com": ("com", "com")}
+
+
+def test_very_long_urls(spark):
+    url = "http://" + "a." * 50_000 + "org/fr/" + "x" * 300_000
+    pages = spark.createDataFrame([(1, url)], "page_id long, url string")
+    r = U.judge_urls(pages, spark.createDataFrame([(1, 1)], "page_id long, bad int")).first()
+    assert r.rule == "org/fr/" and r.verdict == "allow" and len(r.path) == 300_004
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     outcomes = spark.createDataFrame([], "page_id long, bad int")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch that Python gets at most (one row may be larger), unless the session sets fewer.
 BATCH_BYTES = 4 << 20
+#: Bytes of a stored table's files that are broadcast at most.
+BROADCAST_BYTES = 24 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Tables that ``stored`` has written and ``discard`` hasn't removed yet.
 _made: list[DataFrame] = []
@@ -71,12 +73,22 @@ def stored_alone(make) -> DataFrame:
     return out
 
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most ``max_rows`` rows (df should be cut, as it is counted here);
-    else df as it is, which Spark then joins by a shuffle."""
+def small_side(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most ``max_rows`` rows and, if it is a stored table, ``max_bytes`` of files;
+    else df as it is, which Spark then joins by a shuffle. Counts df, which should be stored or cut."""
+    if path := getattr(df, "stored_at", None):
+        sc = df.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(place).getLength() > max_bytes:
+            return df
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+KEY = ["k_id", "k_text"]
+#: Stands for a null doc_id.
+NO_ID = -(2**63)
+
+
 def text_key(text: Column) -> Column:
     """64 bits of a text. With doc_id beside it, a key for rows: rows that share both are alike in all respects."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -85,23 +97,35 @@ def text_key(text: Column) -> Column:
 def keyed(docs: DataFrame) -> DataFrame:
     """The columns that operators need of documents, others with clashing names left out.
 
-    k_id is doc_id with a stand-in for null, k_text the text's hash, k_null tells a null id from the stand-in.
+    k_id is doc_id with a stand-in for null, k_text the text's hash.
     """
     return bounded_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"),
         text_key(F.col("text").cast("string")).alias("k_text"),
     )
 
 
-KEY = ["k_id", "k_text"]
 #: The same key beside columns of the caller, which may have any other name.
 OWN_KEY = ["_own_id", "_own_text"]
 
 
-def with_own_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_own_text": text_key(F.col("text").cast("string"))})
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of docs' columns (letters of either case)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_own_key(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs with the key of each row in two more columns, see free_names."""
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.withColumns(dict(zip(names, (own_id, text_key(F.col("text").cast("string"))), strict=True)))
 
 
 def as_own_key(df: DataFrame) -> DataFrame:

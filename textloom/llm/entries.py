@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.url_reputation import SUFFIXES
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,6 +81,7 @@ def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "repeats_passage",
     )
 
 
@@ -149,11 +152,12 @@ ee AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, ee.b FROM r JOIN ee ON ee.a = r.root)
 SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id, min(root) = r.doc_id AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
-_OP10 = """
+_SUFFIXES = ", ".join(f"'{x}'" for x in SUFFIXES)
+_OP10 = f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 o AS (SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 OR toxic = 0 THEN 0 END AS bad FROM p JOIN labels ON doc_id = page_id),
-h AS (SELECT host, count(*) AS n, CAST(sum(bad) AS DOUBLE) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM o WHERE host <> '' AND bad IS NOT NULL GROUP BY host),
+h AS (SELECT host, count(*) AS n, CAST(sum(bad) AS DOUBLE) AS bad, array_to_string(string_split(host, '.')[CASE WHEN two THEN -3 ELSE -2 END:], '.') AS domain, array_to_string(string_split(host, '.')[CASE WHEN two THEN -2 ELSE -1 END:], '.') AS suffix FROM (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') IN ({_SUFFIXES}) AS two FROM o) AS o WHERE host <> '' AND bad IS NOT NULL GROUP BY host, two),
 a AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS r FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT r FROM a) AS up FROM h GROUP BY suffix),
 s1 AS (SELECT sum(n * pow(bad / n - up, 2)) AS m, sum(up * (1 - up)) AS noise, sum((n - 1) * up * (1 - up)) AS room FROM s0),
@@ -172,7 +176,7 @@ f AS (SELECT page_id, host, path, CASE WHEN (host = 'example.com' OR suffix(host
  WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
  WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
  WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule, bound FROM p LEFT JOIN b USING (host))
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict FROM f
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > (SELECT r FROM a) THEN 'block' ELSE 'allow' END AS verdict FROM f
 """
 #: The other operators are beyond SQL (models, hashes, tokenizers, media, byte windows): tests hold them against brute force.
 ORACLES: dict[str, str] = {"op3_benchmark_decontamination": _OP3, "op8_circulant_minhash": _OP8, "op10_host_reputation": _OP10}

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 from textloom.llm import nptext
+from textloom.llm.common import bounded_batches
 
 ORDER = 5
 #: Labelled texts of a language that are learned from at most, chosen by hash: the bound on what the driver gets.
@@ -32,6 +33,9 @@ CHUNK_CHARS = 1 << 19
 #: Standard deviations above the mean at which a text is rejected.
 REJECT = 16.0
 
+#: Columns that ``identify`` adds.
+JUDGED = ("lang_pred", "score", "entropy", "rejected")
+
 _weights = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
@@ -280,7 +284,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     models. Equal texts are judged alike; ties go to the first language by name. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    docs = docs.drop("lang_pred", "score", "entropy", "rejected")
+    docs = bounded_batches(docs.drop(*JUDGED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

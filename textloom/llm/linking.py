@@ -14,9 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, discard, small_side, stored
+from textloom.llm.common import discard, small_side, stored
 
-SHARED_BROADCAST_ROWS = 500_000
+SHARED_BROADCAST_ROWS = 1_000_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def shared_buckets(members: DataFrame) -> DataFrame:
     """The members (bucket, id, ...; distinct) of buckets with two of them at least."""
-    many = cut(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    many = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     return members.join(small_side(many, SHARED_BROADCAST_ROWS), "bucket")
 
 

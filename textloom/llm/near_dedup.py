@@ -187,7 +187,8 @@ def pairs_near_leads(apart: DataFrame, similarity: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, k_id, k_text (see common.keyed), n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, k_id, k_text (see common.keyed), n_shingles, component_id, kept, and group: a
+    number that the rows of a group share, null for rows that are alone.
 
     docs: doc_id, text; other columns are ignored. Words are runs of non-space bytes with A-Z lower-cased; two texts are
     linked if the Jaccard similarity of their sets of ``shingle`` words is at least ``similarity`` hundredths.
@@ -239,7 +240,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, ban
     named = counted.join(roots.withColumnRenamed("v", "node"), "node", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
     named = stored(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = stored(named.join(least, "root").select("node", "component_id", F.lit(True).alias("grouped")))
+    member = stored(named.join(least, "root").select("node", "component_id", F.col("root").alias("group")))
     out = signed.select("doc_id", *KEY, "n_shingles", "node").join(small_side(member, SEARCH_BROADCAST_ROWS), "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))).otherwise(F.col("doc_id")))
-    return out.select("doc_id", *KEY, "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()).alias("kept"))
+    out = out.withColumn("group", F.when(F.col("n_shingles") > 0, F.col("group")))
+    out = out.withColumn("component_id", F.when(F.col("group").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", *KEY, "n_shingles", "component_id", "group", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()).alias("kept"))

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import nptext
-from textloom.llm.common import KEY, cut, keyed, small_side
+from textloom.llm.common import KEY, discard, keyed, small_side, stored
+from textloom.llm.near_dedup import IS_WORD
 
 K = 32
 #: Bits of a window's place in a slice; texts are read in slices of less than 2**24 bytes.
@@ -32,6 +33,9 @@ SHARD_BYTES = 1 << 20
 #: An anchor with more different regions than this is split by counting, see _split_hot; no task gets them all.
 HOT_REGIONS = 2000
 MARK_BROADCAST_ROWS = 200_000
+#: Words of a passage, more than fifty, and of the grams that anchor its windows.
+PASSAGE_WORDS, PASSAGE_GRAM = 51, 8
+PASSAGE_BROADCAST_ROWS = 1_000_000
 
 
 class Spans:
@@ -60,9 +64,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def regions_of(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def regions_of(raw: np.ndarray, at: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, ...]:
     """Text number, first and last window start (in raw), anchor and two hashes of each region of some texts."""
-    k = min(K, length)
+    k = min(k, length)
     if len(raw) < length:
         return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     spans = Spans(raw)
@@ -189,13 +193,14 @@ class RunLengthIndex:
         return order, rank
 
     def _shared(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Bytes that the suffixes at a and b have in common, by bisection over hashes."""
-        prefix, n = nptext.prefix_hash(raw), len(raw)
+        """Bytes that the suffixes at a and b have in common, by bisection over 128-bit hashes."""
+        spans, n = Spans(raw), len(raw)
         out, step = np.zeros(len(a), dtype=np.int64), 1 << self.longest.bit_length()
         while step:
             fits = np.maximum(a, b) + out + step <= n
             x, y = (a + out)[fits], (b + out)[fits]
-            same = nptext.span_hash(prefix, x, x + step) == nptext.span_hash(prefix, y, y + step)
+            same = spans.first(x, x + step) == spans.first(y, y + step)
+            same[same] = spans.second(x[same], x[same] + step) == spans.second(y[same], y[same] + step)
             grow = np.flatnonzero(fits)[same]
             out[grow] += step
             step >>= 1
@@ -282,13 +287,13 @@ def _split_hot(regions: DataFrame, length: int) -> DataFrame:
     on to smaller blocks, equal ones as one with their number. Other blocks hold no further repeat. Every count is summed
     before the shuffle, so a group's size doesn't matter.
     """
-    regions = cut(regions.withColumn("id", F.xxhash64(*KEY, "s")))
+    regions = stored(regions.withColumn("id", F.xxhash64(*KEY, "s")))
     last = (F.octet_length("bytes") - length).cast("long")
     open_ = regions.select("id", F.array(F.struct(F.lit(0).cast("long").alias("lo"), last.alias("hi"), "n")).alias("open"))
     texts, places, marks = regions.select("id", "bytes"), regions.select("id", *KEY, "s"), None
     for width in (w for w in (64, 8, 1) if w == 1 or 2 * w <= length):
-        rows = cut(texts.join(open_, "id").mapInArrow(_block_rows(length, width), "id long, n long, lo long, hi long, c1 long, c2 long, f1 long, f2 long"))
-        kinds = cut(rows.groupBy("c1", "c2", "f1", "f2").agg(F.sum("n").alias("nf"), *(F.first(c).alias(c) for c in ("id", "lo", "hi"))))
+        rows = stored(texts.join(open_, "id").mapInArrow(_block_rows(length, width), "id long, n long, lo long, hi long, c1 long, c2 long, f1 long, f2 long"))
+        kinds = stored(rows.groupBy("c1", "c2", "f1", "f2").agg(F.sum("n").alias("nf"), *(F.first(c).alias(c) for c in ("id", "lo", "hi"))))
         again = kinds.where("nf > 1").select("c1", "c2", "f1", "f2")
         done = rows.where("n = 1").join(again, ["c1", "c2", "f1", "f2"]).join(places, "id")
         done = done.select(*KEY, (F.col("s") + F.col("lo")).alias("s"), (F.col("s") + F.col("hi") + length).alias("e"))
@@ -315,11 +320,74 @@ def _removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             kept.append(b"".join([*out, own[to:]]))
             spans.append([{"start": s, "end": e} for s, e in runs])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(spans, kind), pa.array(kept, pa.binary()), batch.column("repeats_passage")], ["doc_id", "n_bytes", "spans", "kept", "repeats_passage"])
+
+
+def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return nptext.word_hashes(raw, at, IS_WORD)
+
+
+def _passage_rows(length: int):
+    """The regions of the texts as sequences of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top, _, part, cuts in nptext.chunks(*nptext.utf8(batch.column("text"))):
+                for piece, ends, rows, places in _slices(*_words(part, cuts), length):
+                    row, s, e, anchor, h, _ = regions_of(piece, ends, length, PASSAGE_GRAM)
+                    shift = places[row] - ends[row] if len(row) else row
+                    take = pa.array(top + rows[row] if len(row) else row)
+                    yield pa.RecordBatch.from_arrays([batch.column("d").take(take), *(pa.array(x) for x in (s + shift, e + shift, nptext.signed(anchor), nptext.signed(h)))], ["d", "s", "e", "anchor", "h"])
+
+    return run
+
+
+def _window_rows(length: int):
+    """128-bit hashes of the windows of the wanted regions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, part, cuts in nptext.chunks(*nptext.utf8(batch.column("text"))):
+                h, first = _words(part, cuts)
+                spans = Spans(h)
+                for row in range(len(first) - 1):
+                    at = np.unique(np.concatenate([np.arange(w["s"], w["e"] + 1) for w in batch.column("wanted")[lo + row].as_py()])) + first[row]
+                    d = pa.array([batch.column("d")[lo + row].as_py()] * len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays([d, pa.array(nptext.signed(spans.first(at, at + length))), pa.array(nptext.signed(spans.second(at, at + length)))], ["d", "w1", "w2"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, length: int = PASSAGE_WORDS) -> DataFrame:
+    """(d: hash of common.KEY, one row each) of the keyed docs that have ``length`` words in a row which another document
+    has too. Words are what stands between white space. Documents alike in id and text count as one.
+
+    Exact, by counting only, as for bytes: regions that recur whole in another document settle their documents. Of regions
+    that share only their anchor with another document's, where a document is still unsettled, all windows are counted.
+    """
+    docs = docs.where("text is not null").select(F.xxhash64(*KEY).alias("d"), "text")
+    regions = stored(docs.mapInArrow(_passage_rows(length), "d long, s long, e long, anchor long, h long"))
+    ends = (F.min("d").alias("lo"), F.max("d").alias("hi"))
+    kinds = stored(regions.groupBy("anchor", "h").agg(*ends))
+    whole = stored(kinds.where("lo <> hi").select("anchor", "h"))
+    done = stored(regions.join(small_side(whole, PASSAGE_BROADCAST_ROWS), ["anchor", "h"]).select("d").distinct())
+    mixed = stored(kinds.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 1").select("anchor"))
+    discard(kinds, whole)
+    open_ = regions.join(small_side(mixed, PASSAGE_BROADCAST_ROWS), "anchor")
+    open_ = stored(open_.join(small_side(done, MARK_BROADCAST_ROWS).withColumn("done", F.lit(True)), "d", "left").select("d", "s", "e", "anchor", "done"))
+    unsettled = open_.where("done is null").select("anchor").distinct()
+    wanted = stored(open_.join(unsettled, "anchor").groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("wanted")))
+    discard(regions, mixed, open_)
+    windows = docs.join(small_side(wanted, MARK_BROADCAST_ROWS), "d").select("d", "text", "wanted")
+    windows = stored(windows.mapInArrow(_window_rows(length), "d long, w1 long, w2 long"))
+    again = windows.groupBy("w1", "w2").agg(*ends).where("lo <> hi").select("w1", "w2")
+    return done.union(windows.join(again, ["w1", "w2"]).select("d")).distinct()
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, spans (start, end of each maximal removed run, in bytes), kept (binary).
+    """One row per row of docs: doc_id, n_bytes, spans (start, end of each maximal removed run, in bytes), kept (binary), and
+    repeats_passage: whether the text has PASSAGE_WORDS words in a row which another document has too (see
+    repeated_passages), however many bytes they have.
 
     docs: doc_id, text; other columns are ignored. A text is its UTF-8 bytes, a null one is empty. Removed is each byte
     covered by a string of ``length`` bytes that also starts anywhere else, in the same text or in another; strings are
@@ -328,16 +396,17 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     index, by the suffix order itself.
     """
     docs = keyed(docs)
-    found = cut(docs.mapInArrow(_region_rows(length), "k_id long, k_text long, s long, e long, anchor long, h1 long, h2 long"))
+    passages = stored(repeated_passages(docs).withColumn("repeats_passage", F.lit(True)))
+    found = stored(docs.mapInArrow(_region_rows(length), "k_id long, k_text long, s long, e long, anchor long, h1 long, h2 long"))
     kinds = found.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*KEY, "s", "e")))
-    kinds = cut(kinds)
+    kinds = stored(kinds)
     again = kinds.where("n > 1").select("h1", "h2")
     marks = found.join(again, ["h1", "h2"]).select(*KEY, "s", (F.col("e") + length).alias("e"))
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 and least = 1")
     wanted = kinds.join(mixed.select("anchor", "many"), "anchor")
-    wanted = cut(wanted.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e", "anchor", "n", "many")).alias("wanted")))
+    wanted = stored(wanted.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e", "anchor", "n", "many")).alias("wanted")))
     pieces = docs.select(*KEY, "text").join(small_side(wanted, MARK_BROADCAST_ROWS), KEY)
-    pieces = cut(pieces.mapInArrow(_cut_rows(length), "k_id long, k_text long, s long, e long, anchor long, n long, many long, bytes binary").dropDuplicates([*KEY, "s"]))
+    pieces = stored(pieces.mapInArrow(_cut_rows(length), "k_id long, k_text long, s long, e long, anchor long, n long, many long, bytes binary").dropDuplicates([*KEY, "s"]))
     total = pieces.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     shards = -(-int(total) // SHARD_BYTES) or 1
     calm = pieces.where(F.col("many") <= HOT_REGIONS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
@@ -345,6 +414,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     hot = pieces.where(F.col("many") > HOT_REGIONS)
     if not hot.isEmpty():
         marks = marks.union(_split_hot(hot, length))
-    marks = cut(marks.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("marks")))
-    joined = docs.join(small_side(marks, MARK_BROADCAST_ROWS), KEY, "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(_removed_rows, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    marks = stored(marks.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("marks")))
+    joined = docs.join(small_side(marks, MARK_BROADCAST_ROWS), KEY, "left").withColumn("d", F.xxhash64(*KEY))
+    joined = joined.join(small_side(passages, MARK_BROADCAST_ROWS), "d", "left").select("doc_id", "text", "marks", F.coalesce("repeats_passage", F.lit(False)).alias("repeats_passage"))
+    return joined.mapInArrow(_removed_rows, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary, repeats_passage boolean")
