@@ -82,7 +82,7 @@ def test_models_by_hand(spark):
     samples = spark.createDataFrame([("abab", False, 2), ("ba", False, 1), ("zz9", True, 1), (None, True, 1)], "s string, random boolean, n long")
     keep = samples.where(F.pmod(F.xxhash64("s"), F.lit(S.HELD_OUT)) != 0).collect()
     pairs = {True: Counter(), False: Counter()}
-    for x in keep:
+    for x in (x for x in keep if x.s):
         for a, b in zip(x.s, x.s[1:], strict=False):
             pairs[x.random][a + b] += x.n
     models = S.train(samples)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import discard, small_side, stored
 
-SHARED_BROADCAST_ROWS = 1_000_000
+#: Buckets with several members that are broadcast at most, by number and by the bytes of their file.
+SHARED_BROADCAST_ROWS, SHARED_BROADCAST_BYTES = 3_000_000, 32 << 20
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def shared_buckets(members: DataFrame) -> DataFrame:
     """The members (bucket, id, ...; distinct) of buckets with two of them at least."""
     many = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
-    return members.join(small_side(many, SHARED_BROADCAST_ROWS), "bucket")
+    return members.join(small_side(many, SHARED_BROADCAST_ROWS, SHARED_BROADCAST_BYTES), "bucket")
 
 
 def central_members(members: DataFrame) -> DataFrame:
@@ -65,6 +66,11 @@ def central_members(members: DataFrame) -> DataFrame:
     return weighted.join(most, "bucket").where("weight = most").groupBy("bucket").agg(F.min("id").alias("lead"))
 
 
+def least_members(members: DataFrame) -> DataFrame:
+    """(bucket, lead): the least member of each bucket. The buckets that a group shares have few different ones."""
+    return members.groupBy("bucket").agg(F.min("id").alias("lead"))
+
+
 def _led(members: DataFrame, leads: DataFrame, alike: Column | None, other: Column) -> DataFrame:
     """Distinct pairs (a, b) of members with a leader of their bucket that meet ``other`` and ``alike``. What members have
     besides bucket and id is there for the leader too, with lead_ before its name; pairs that fail don't leave the join."""
@@ -82,6 +88,7 @@ def link_buckets(
     refine: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None,
     leaders: int = 16,
     finish: Callable[[DataFrame], DataFrame] | None = None,
+    first: Callable[[DataFrame], DataFrame] = central_members,
 ) -> DataFrame:
     """(v, root) of everything that is linked to something else.
 
@@ -92,8 +99,9 @@ def link_buckets(
     how many a bucket has in the second round; later rounds have that many times as many each. finish: gets the members
     (with root: their group so far) that the second round leaves in buckets of several groups, and returns distinct pairs
     (a, b) among which are all links that are left between groups; without it rounds go on.
+    first: makes (bucket, lead) of the first round from (bucket, id).
     """
-    used = stored(central_members(members.select("bucket", "id")))
+    used = stored(first(members.select("bucket", "id")))
     links = stored(confirm(_led(members, used, alike, F.col("id") != F.col("lead"))))
     roots = connected_components(links)
     rest, many = members, leaders
