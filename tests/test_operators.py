@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions.text import clean_path, leading_int, pattern, relative_date
-from textloom.operators import compose, diff, jsonq, records, rollup, search
+from conftest import ROOT
+from textloom.functions.text import clean_path, glob, leading_int, pattern, relative_date, replacement
+from textloom.operators import compose, diff, discovery, jsonq, records, replace, rollup, search, tabular
 from textloom.plans import by_category, find, registry, run, select
 from textloom.plans.params import InvalidArgument, Param, bind
 from textloom.sources.tables import json_document, json_records, text_lines
@@ -37,10 +38,94 @@ def test_registry(spark, sf_dir):
     assert run(spark, "file_view_range", sf_dir, first=1, last=1).select("line_number").distinct().count() == 1
 
 
-def test_bad_pattern_raises():
-    with pytest.raises(Exception):
+def test_patterns(spark):
+    with pytest.raises(ValueError):
         pattern("(")
     assert pattern("a.b", literal=True) == r"a\.b"
+    assert pattern(r"\p{L}+") == r"\p{L}+"
+    assert pattern("a.b", literal=True, multiline=True, ignore_case=True) == r"(?i)a\.b"
+    df = spark.createDataFrame([("x ($1) y",)], "t string")
+    assert df.select(F.regexp_replace("t", pattern("($1)", literal=True), replacement("$2\\", literal=True))).first()[0] == "x $2\\ y"
+
+
+def test_globs(spark):
+    cases = {"*.py": ("a.py", "x/b.py", "a.pyc"), "src/**/t?.txt": ("src/t1.txt", "src/a/b/t2.txt", "src/t12.txt"), "{a,b}/[!x]*": ("a/y1", "b/z", "a/x"), "**/d/*": ("d/f", "q/d/f", "d/e/f")}
+    for g, names in cases.items():
+        df = spark.createDataFrame([(n,) for n in names], "p string")
+        assert [r.p for r in df.where(F.col("p").rlike(glob(g))).collect()] == list(names[:2]), g
+
+
+def test_sizes_and_times(spark):
+    files = spark.createDataFrame([("a/b.txt", 1000, 50), (".h/c", 5, 1), ("d/", 0, 99), ("a/e.txt", 1001, 99)], "path string, size long, modified long")
+    names = lambda **k: [r.path for r in discovery.find(files, now=F.lit(100), **k).collect()]
+    assert names() == ["a/b.txt", "d/", "a/e.txt"] and names(hidden=True, size="5b") == [".h/c"]
+    assert names(size="+1k") == ["a/b.txt", "a/e.txt"] and names(size="-1k") == ["a/b.txt", "d/"]
+    assert names(changed_within="10s") == ["d/", "a/e.txt"] and names(changed_before="10s") == ["a/b.txt"]
+    assert names(kind="directory") == ["d/"] and names(max_depth=1) == ["d/"] and names(extension="txt", exclude=("**/e*",)) == ["a/b.txt"]
+    for bad in ({"size": "big"}, {"changed_within": "soon"}):
+        with pytest.raises(ValueError):
+            names(**bad)
+
+
+def test_all_replacements_of_a_line(spark):
+    files = spark.createDataFrame([(1, "foobar foobar\n\u00e9 foo foobar"), (2, "foo"), (3, None), (4, "")], "k int, text string")
+    got = [tuple(r) for r in replace.replacements(files, "foo(?=bar)", "X").collect()]
+    assert got == [(1, 1, 0, 3, "foo", "X"), (1, 1, 7, 10, "foo", "X"), (1, 2, 7, 10, "foo", "X")]
+    assert [tuple(r) for r in replace.replacements(files, "(fo)o(b?)", "$2$1", most=2).collect()] == [(1, 1, 0, 4, "foob", "bfo"), (1, 1, 7, 11, "foob", "bfo"), (2, 1, 0, 3, "foo", "fo")]
+    got = {r.k: r for r in replace.change_manifest(files, "k", "foo", "X", most_files=3).collect()}
+    assert set(got) == {1, 2, 3} and got[1].replacements_count == 4 and got[1].truncated and len(got[1].preview) == 2
+    assert replace.change_manifest(files, "k", "zzz", "X").where("replacements is not null or preview is not null or modified or truncated").count() == 0
+
+
+def test_context_within_a_row(spark):
+    files = spark.createDataFrame([(1, "a\nx1\r\nb\nc\nx2"), (2, "none"), (3, None)], "k int, text string")
+    got = [tuple(r) for r in search.with_context(files, "^x", 2, 1).collect()]
+    assert got == [(1, 2, "x1", ["a"], ["b"]), (1, 5, "x2", ["b", "c"], [])]
+    assert tuple(search.summary(files, "^x").first()) == (2, 1, 3)
+    assert [tuple(r) for r in search.nearest_in_file(files, "^x").collect()] == [(1, 1, 2, "before"), (1, 3, 2, "after"), (1, 4, 5, "before")]
+    assert [tuple(r) for r in search.matching_lines(files, "^x", most=1).collect()] == [(1, 2, "x1")]
+
+
+def test_median_and_places_of_distributed_columns(spark):
+    rows = [("a", float(v)) for v in (5, 1, 1, 9)] + [("b", 2.0), ("b", None), ("c", None), (None, 7.0), ("d", 3.0), ("d", 3.0), ("d", 4.0)]
+    got = {r.k: (r.n, r.nulls, r.median, r.distinct) for r in tabular.distributions(spark.createDataFrame(rows, "k string, x double"), "k").collect()}
+    assert got == {"a": (4, 0, 3.0, 3), "b": (1, 1, 2.0, 1), "c": (0, 1, None, 0), None: (1, 0, 7.0, 1), "d": (3, 0, 3.0, 2)}
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 as v")
+    assert all(r.place == r.v + 1 for r in tabular.ranked(df, ["v"]).collect())
+    assert [r.v for r in tabular.slice_rows(df, ["v"], 3, 5).orderBy("v").collect()] == [3, 4]
+
+
+def test_commit_blocks(spark):
+    text = f"junk{records.COMMIT_START}\nh1\ns1\nsubject\nbody\n\n{records.COMMIT_META}\nAnn\nBob\n2024\nnow\n{records.COMMIT_END}\n\n a b.txt | 2 +-\n a b.txt | 1 +\n 1 file changed, 2 insertions(+), 1 deletion(-)\n{records.COMMIT_START}\nh2\ns2\n\n{records.COMMIT_META}\nA\nB\nd\nr\n{records.COMMIT_END}\nx.txt\n{records.COMMIT_START}\ncut"
+    got = records.commits(spark.createDataFrame([(1, text)], "k int, t string"), "t", "k").orderBy("pos").collect()
+    assert [(r.hash, r.subject, r.body, r.author, r.committer, r.date_relative, r.files, r.insertions, r.deletions, r.files_changed) for r in got] == [("h1", "subject", "body", "Ann", "Bob", "now", 1, 2, 1, ["a b.txt"]), ("h2", "", "", "A", "B", "r", None, None, None, ["x.txt"])]
+
+
+def test_shown_tag_without_annotation(spark):
+    df = spark.createDataFrame([(1, "commit abc def\nAuthor: x"), (2, "tag v1\nTagger: T <t@x>\nDate:   d\n\nmsg\n\nmore\n\ncommit 123 (x)\n")], "k int, t string")
+    got = records.shown_tags(df, "t", "k").orderBy("k").collect()
+    assert (got[0].annotated, got[0].name, got[0].object) == (False, None, "abc")
+    assert tuple(got[1])[1:] == (True, "v1", "T <t@x>", "d", "msg\n\nmore", "msg", "123")
+
+
+def test_pipeline_stops_at_the_first_failure(spark):
+    start = spark.createDataFrame([(1,), (2,)], "a int")
+    more = lambda values, add=10: values.select((F.col("a") + add).alias("a"))
+    got = compose.pipeline(start, [("one", more, "a", {}), ("two", more, "a", {"add": 100})])
+    assert sorted(r.a for r in got.collect()) == [111, 112]
+    own = spark.createDataFrame([(5,)], "a int")
+    assert [r.a for r in compose.pipeline(start, [("one", more, "a", {"values": own})]).collect()] == [15]
+    called = []
+    with pytest.raises(compose.StepFailed, match="step two"):
+        compose.pipeline(start, [("one", more, "a", {}), ("two", more, "missing", {}), ("three", lambda values: called.append(1), "a", {})])
+    assert not called
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries()"], cwd=ROOT, capture_output=True).returncode == 0
 
 
 def test_offsets_are_bytes(spark):
@@ -109,7 +194,7 @@ def test_branches(spark):
 
 def test_json_stream_takes_whole_tokens(spark):
     df = spark.createDataFrame([(1, '30 null\n{"a":\n "}"} [1,2]x 5'), (2, ""), (3, None)], "k int, t string")
-    assert [(r.k, r.pos, r.value) for r in jsonq.stream_values(df, "t").orderBy("k", "pos").collect()] == [(1, 1, "30"), (1, 2, "null"), (1, 3, '{"a":"}"}'), (1, 4, "[1,2]")]
+    assert [(r.k, r.pos, r.value, r.complete) for r in jsonq.stream_values(df, "t").orderBy("k", "pos").collect()] == [(1, 1, "30", False), (1, 2, "null", False), (1, 3, '{"a":"}"}', False), (1, 4, "[1,2]", False)]
 
 
 def test_json_sources(spark):
@@ -137,8 +222,9 @@ def test_rollups(spark):
 
 
 def test_greedy_budget(spark):
-    df = spark.createDataFrame([([5, 4, 9, 1, 3],)], "c array<bigint>")
-    assert df.select(compose.greedy_budget(F.col("c"), 10)).first()[0] == [True, True, False, True, False]
+    df = spark.createDataFrame([("a", i, c) for i, c in enumerate((5, 4, 9, 1, 3))] + [("b", 0, 11), ("b", 1, 10)], "k string, i int, c long")
+    got = compose.greedy_budget(df, "k", "i", "c", 10).orderBy("k", "i").collect()
+    assert [r.runs for r in got] == [True, True, False, True, False, False, True]
 
 
 def test_trends(spark):

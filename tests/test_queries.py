@@ -1,7 +1,5 @@
 """Every registered query against its SQL, on the small tables."""
 
-import math
-
 import duckdb
 import pandas as pd
 import pytest
@@ -20,8 +18,9 @@ def duck(sf_dir):
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
-        return ""
+    """A value as text; null, in whatever form, is a text of its own."""
+    if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
+        return "<null>"
     try:
         return repr(round(float(v), 6)) if not isinstance(v, (str, bool)) and not hasattr(v, "isoformat") else str(v)
     except (TypeError, ValueError):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,25 +15,64 @@ WORD = "0-9A-Za-z_"
 
 def pattern(text: str, literal: bool = False, ignore_case: bool = False, word: bool = False, multiline: bool = False) -> str:
     """A Java pattern of a search. Word boundaries are those of ASCII words; multiline lets . match line ends and is
-    ignored for literal texts. A pattern that can't be compiled raises."""
-    out = re.escape(text) if literal else text
+    ignored for literal texts. A pattern that the JVM can't compile raises ValueError."""
+    out = re.sub(r"([^0-9A-Za-z_\s])", r"\\\1", text) if literal else text
     if word:
         out = f"(?<![{WORD}])(?:{out})(?![{WORD}])"
     flags = ("i" if ignore_case else "") + ("s" if multiline and not literal else "")
-    re.compile(out)
-    return f"(?{flags}){out}" if flags else out
+    out = f"(?{flags}){out}" if flags else out
+    jvm = SparkContext._jvm
+    if jvm is not None:
+        try:
+            jvm.java.util.regex.Pattern.compile(out)
+        except (Py4JJavaError, PySparkException) as e:
+            raise ValueError(f"bad pattern {text!r}: {e}") from None
+    return out
+
+
+def replacement(text: str, literal: bool = False) -> str:
+    """A Java replacement: groups as $1, or the text as it stands."""
+    return re.sub(r"([\\$])", r"\\\1", text) if literal else text
+
+
+def glob(pattern: str) -> str:
+    """A Java pattern of whole paths for a glob: * and ? stop at slashes, ** doesn't, [ab] and {a,b} are choices; a glob
+    without a slash fits the last part of a path."""
+    out, i, depth = "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 2
+        elif pattern.startswith("**", i):
+            out, i = out + ".*", i + 1
+        elif c == "*":
+            out += "[^/]*"
+        elif c == "?":
+            out += "[^/]"
+        elif c == "[" and "]" in pattern[i + 2 :]:
+            end = pattern.index("]", i + 2)
+            own = pattern[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[")
+            out, i = f"{out}[{'^' + own[1:] if own[0] == '!' else own}]", end
+        elif c == "{":
+            out, depth = out + "(?:", depth + 1
+        elif c == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif c == "," and depth:
+            out += "|"
+        else:
+            out += re.sub(r"([^0-9A-Za-z_/])", r"\\\1", c)
+        i += 1
+    return f"^{'' if '/' in pattern else '(?:.*/)?'}{out}$"
 
 
 def first_match(text: Column, regex: str) -> Column:
     """The first match, or an empty string."""
-    return F.regexp_extract(text, f"({regex})", 1)
+    return F.regexp_extract(text, regex, 0)
 
 
 def byte_start(text: Column, regex: str) -> Column:
-    """Bytes before the first match."""
-    flags = re.match(r"\(\?([a-z]+)\)", regex)
-    own = regex[flags.end() :] if flags else regex
-    return F.octet_length(F.regexp_extract(text, f"(?{flags[1] if flags else ''}s)^(.*?)(?:{own})", 1) if flags else F.regexp_extract(text, f"(?s)^(.*?)(?:{own})", 1))
+    """Bytes before the first match, found in the whole text, so that lookaround and flags hold; all bytes without one."""
+    return F.octet_length(F.split(text, regex, 2)[0])
 
 
 def leading_int(text: Column) -> Column:
@@ -38,6 +80,11 @@ def leading_int(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("int")
 
 
+def leading_number(text: Column) -> Column:
+    """The number that a text begins with, null if it begins with none."""
+    return F.regexp_extract(text, r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)", 1).try_cast("double")
+
+
 def half_up(x: Column, digits: int = 0) -> Column:
     """Rounds halves upwards, as x + 1/2 rounded down."""
     scale = 10**digits
@@ -49,8 +96,23 @@ def basename(path: Column) -> Column:
 
 
 def clean_path(path: Column) -> Column:
-    """Slashes for backslashes, without a leading ./"""
-    return F.regexp_replace(F.translate(path, "\\", "/"), r"^\./", "")
+    """Slashes for backslashes, no empty or . parts, each .. taken together with the part before it (one at the beginning of
+    an absolute path falls away, of a relative one stays); . for nothing."""
+    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda x: (x != "") & (x != "."))
+    rooted = F.translate(path, "\\", "/").startswith("/")
+
+    def step(a: Column, x: Column) -> Column:
+        size, up = F.size(a), x == ".."
+        inside = (size > 0) & (F.get(a, size - 1) != "..")
+        return F.when(up & inside, F.slice(a, F.lit(1), F.greatest(size - 1, F.lit(0)))).when(up & rooted, a).otherwise(F.array_append(a, x))
+
+    kept = F.array_join(F.aggregate(parts, F.expr("cast(array() as array<string>)"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), kept)).when(kept == "", ".").otherwise(kept)
+
+
+def bare_mail(text: Column) -> Column:
+    """An address without the angle brackets around it."""
+    return F.regexp_replace(text, "^<|>$", "")
 
 
 def relative_date(then: Column, now: Column) -> Column:

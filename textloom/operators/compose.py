@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def chain(first: DataFrame, column: str, then: DataFrame, key: str, keep: bool = True) -> DataFrame:
@@ -33,15 +37,68 @@ def dedup_tasks(tasks: DataFrame, key: str, order: str) -> DataFrame:
     return tasks.withColumn("runs_as", F.min(order).over(Window.partitionBy(key)))
 
 
-def greedy_budget(costs: Column, budget: int) -> Column:
-    """For each cost of an array, in order, whether it still fits: a task that doesn't is skipped and later ones may fit."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<boolean>)").alias("runs"))
+def fan_out(tasks: DataFrame, key: str, order: str, results: DataFrame) -> DataFrame:
+    """Every task with the result (order, ...) of the task that ran for it, see dedup_tasks; null where it has none."""
+    return dedup_tasks(tasks, key, order).join(results.withColumnRenamed(order, "runs_as"), "runs_as", "left")
+
+
+def greedy_budget(tasks: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:
+    """tasks (key, order, cost: long) with runs: whether, in order, each task's cost still fits its key's budget; a task that
+    doesn't fit is skipped and later ones may fit. Ties go by cost. Each key's rows stream by in order; only the sum used so
+    far is held, whatever the number of a key's rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = None, 0
+        for batch in batches:
+            runs = []
+            for k, c in zip(batch[key].tolist(), batch[cost].tolist(), strict=True):
+                if k != now:
+                    now, used = k, 0
+                fits = used + c <= budget
+                used += c if fits else 0
+                runs.append(fits)
+            yield batch.assign(runs=runs)
+
+    rows = tasks.select(key, order, cost)
+    return rows.repartition(key).sortWithinPartitions(key, order, cost).mapInPandas(run, StructType([*rows.schema.fields]).add("runs", "boolean"))
+
+
+def at_least(df: DataFrame, column: str, level: str, levels: dict[str, int]) -> DataFrame:
+    """Rows whose level, a name, ranks no lower than the given one; unknown names rank lowest."""
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in levels.items() for x in kv])[F.col(column)], F.lit(-1))
+    return df.where(rank >= levels[level])
+
+
+def classified(text: Column, rules: tuple[tuple[str, str], ...], otherwise: str = "unknown") -> Column:
+    """The name of the first (pattern, name) whose pattern a text matches."""
+    out = F.lit(otherwise)
+    for pattern, name in reversed(rules):
+        out = F.when(text.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def with_fallback(df: DataFrame, primary: dict[str, Column], fallback: dict[str, Column], failed: Column, warning: str) -> DataFrame:
+    """df with the primary columns, or where they ``failed`` the fallback's: what it doesn't fill is null, used_fallback is
+    true and warnings says so."""
+    own = {n: F.when(failed, fallback[n] if n in fallback else F.lit(None)).otherwise(c) for n, c in primary.items()}
+    empty = F.expr("cast(array() as array<string>)")
+    return df.withColumns(own | {"used_fallback": failed, "warnings": F.when(failed, F.array(F.lit(warning))).otherwise(empty)})
+
+
+class StepFailed(ValueError):
+    """A step of a pipeline that could not be built: no later one is."""
 
-    def step(a: Column, c: Column) -> Column:
-        fits = a["used"] + c <= budget
-        return F.struct((a["used"] + F.when(fits, c).otherwise(F.lit(0).cast("long"))).alias("used"), F.array_append(a["runs"], fits).alias("runs"))
 
-    return F.aggregate(costs, start, step, lambda a: a["runs"])
+def pipeline(start: DataFrame, steps: Sequence[tuple[str, Callable[..., DataFrame], str, dict]]) -> DataFrame:
+    """Steps (name, build(values, ...), column, given) one after the other. Each gets, as ``values``, the distinct values of
+    a column of the rows before, unless ``given`` has its own. The first step that fails ends the chain."""
+    rows = start
+    for name, build, column, given in steps:
+        try:
+            rows = build(**({"values": rows.select(column).distinct()} | given))
+        except Exception as e:
+            raise StepFailed(f"step {name}: {e}") from e
+    return rows
 
 
 def last_runs(log: DataFrame, key: str, order: str, most: int) -> DataFrame:

@@ -61,6 +61,15 @@ def first_lines(numbered: DataFrame, source: str, most: int) -> DataFrame:
     return numbered.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
 
 
+def line_budget(numbered: DataFrame, source: str, most: int) -> DataFrame:
+    """One row per hunk, emptied ones too: header, how many of its lines are within the first ``most`` of its file, and
+    whether it has more."""
+    hunks = numbered.groupBy(source, "file", "hunk").agg(F.first("header").alias("header"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(source, "file").orderBy("hunk")) - F.col("_n")
+    left = F.greatest(F.lit(most) - before, F.lit(0))
+    return hunks.withColumn("_left", left).select(source, "hunk", "header", F.least("_n", "_left").alias("lines"), (F.col("_n") > F.col("_left")).alias("truncated"))
+
+
 def change_counts(lines: DataFrame, *keys: str) -> DataFrame:
     """Insertions and deletions of raw diff lines: + but not +++, - but not ---."""
     x = F.col("line_text")

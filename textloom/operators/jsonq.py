@@ -1,13 +1,12 @@
 """Queries on JSON: paths, selections, slurps, streams of values."""
 
-from __future__ import annotations
-
 import json
-from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 
 def path(record: Column, where: str, kind: str = "string") -> Column:
@@ -21,30 +20,33 @@ def slurp(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.transform(pairs, lambda x: x[value]).alias("values"))
 
 
-@udtf(returnType="pos int, value string")
-class JsonStream:
-    """The JSON values that stand one behind the other in a text, compact or spread over lines; stops where no JSON follows."""
+READ = StructType().add("items", ArrayType(StringType())).add("complete", BooleanType())
+
 
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        decoder, at, n = json.JSONDecoder(), 0, 0
-        text = text or ""
+@pandas_udf(READ)
+def json_values(texts: pd.Series) -> pd.DataFrame:
+    """The JSON values that stand one behind the other in each text, compact, keys in their order; complete: whether only
+    white space was left. Reading stops where no JSON follows."""
+    decoder = json.JSONDecoder()
+
+    def one(text: str | None) -> tuple[list[str], bool]:
+        out, at, text = [], 0, text or ""
         while True:
             while at < len(text) and text[at].isspace():
                 at += 1
             if at >= len(text):
-                return
+                return out, True
             try:
                 value, at = decoder.raw_decode(text, at)
             except ValueError:
-                return
-            n += 1
-            yield n, json.dumps(value, separators=(",", ":"), sort_keys=True)
+                return out, False
+            out.append(json.dumps(value, separators=(",", ":"), ensure_ascii=False))
+
+    return pd.DataFrame([one(t) for t in texts], columns=["items", "complete"])
 
 
 def stream_values(df: DataFrame, text: str) -> DataFrame:
-    """df's other columns with pos and value of each JSON value in ``text``."""
-    spark = df.sparkSession
-    spark.udtf.register("json_stream", JsonStream)
-    df.createOrReplaceTempView("_json_texts")
-    others = ", ".join(f"t.`{c}`" for c in df.columns if c != text)
-    return spark.sql(f"SELECT {others}, s.pos, s.value FROM _json_texts t, LATERAL json_stream(t.`{text}`) s")
+    """df's other columns with pos (from 1) and value of each JSON value in ``text``, and complete, see json_values."""
+    own = df.select(*[c for c in df.columns if c != text], json_values(F.col(text)).alias("_read"))
+    others = [c for c in own.columns if c != "_read"]
+    return own.select(*others, F.posexplode("_read.items").alias("pos", "value"), F.col("_read.complete").alias("complete")).withColumn("pos", F.col("pos") + 1)

@@ -5,33 +5,115 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.text import bare_mail, iso_utc, relative_date
+
 
 def _int(x: Column) -> Column:
     return x.try_cast("int")
 
 
-def commits(raw: DataFrame, text: str, *keys: str) -> DataFrame:
-    """Commit blocks: COMMIT_START / hash, short hash, author, committer, date, subject, body / META_END / trailing part.
+# The marks of commit and stash blocks.
+COMMIT_START, COMMIT_META, COMMIT_END = ">>>COMMIT_START<<<", ">>>META<<<", ">>>COMMIT_END<<<"
+STASH_START, STASH_END = ">>>STASH_START<<<", ">>>STASH_END<<<"
+
+
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def _lines(x: Column) -> Column:
+    """Lines behind any empty ones at the beginning."""
+    return F.split(F.regexp_replace(x, r"^\n+", ""), "\n", -1)
+
+
+def _line(lines: Column, i: int) -> Column:
+    return F.coalesce(F.get(lines, F.lit(i)), F.lit(""))
+
+
+def _blocks(raw: DataFrame, text: str, keys: tuple[str, ...], start: str) -> DataFrame:
+    parts = F.split(F.col(text), start, -1)
+    return raw.select(*keys, F.posexplode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("pos", "block"))
 
-    A block begins at ``>>>COMMIT``, its fields stand on lines of their own up to ``>>>META``, and what follows holds a
-    line of totals (n files changed, n insertions(+), n deletions(-)) and the names of the files, each once.
+
+def commits(raw: DataFrame, text: str, *keys: str, emails: bool | None = None) -> DataFrame:
+    """Commit blocks, pos from 0 in their text: the start mark; hash, short hash, subject and body; the meta mark; author,
+    committer, date and relative date; the end mark; then a line of totals (n files changed, n insertions(+), n
+    deletions(-)) and the names of the files, alone or before a bar, each once.
+
+    emails: None for blocks as above; else blocks of seven meta lines (author, address, committer, address, date, relative
+    date, committer's date), of which author and committer are the addresses, without brackets, or the names.
     """
-    blocks = raw.select(*keys, F.explode(F.expr(f"slice(split({text}, '>>>COMMIT\\n', -1), 2, 1000000)")).alias("block"))
-    head, tail = F.split("block", "\n>>>META\n", 2)[0], F.get(F.split("block", "\n>>>META\n", 2), F.lit(1))
-    f = F.split(head, "\n", 7)
-    stat = F.regexp_extract(tail, r"(?m)^ \d+ files? changed.*$", 0)
-    names = F.array_distinct(F.filter(F.split(tail, "\n"), lambda x: (x != "") & ~x.rlike(r"^ \d+ files? changed")))
+    blocks = _blocks(raw, text, keys, COMMIT_START).where(F.col("block").rlike(f"(?s){COMMIT_META}.*{COMMIT_END}"))
+    head, rest = F.split("block", COMMIT_META, 2)[0], F.split("block", COMMIT_META, 2)[1]
+    meta, tail = _lines(F.split(rest, COMMIT_END, 2)[0]), F.split(rest, COMMIT_END, 2)[1]
+    f = _lines(head)
+    if emails is None:
+        who = {"author": _line(meta, 0), "committer": _line(meta, 1), "date": _line(meta, 2), "date_relative": _line(meta, 3)}
+    else:
+        own = [bare_mail(_line(meta, i + 1)) if emails else _line(meta, i) for i in (0, 2)]
+        who = {"author": own[0], "committer": own[1], "date": _line(meta, 4), "date_relative": _line(meta, 5), "committer_date": _line(meta, 6)}
+    lines = F.filter(F.transform(F.split(tail, "\n"), lambda x: F.rtrim(x)), lambda x: x != "")
+    sums = r"files? changed|insertion|deletion"
+    stat = F.get(F.filter(lines, lambda x: x.rlike(r"\d+ files? changed")), F.lit(0))
+    names = F.filter(lines, lambda x: ~x.rlike(sums) & (x.contains("|") | ~x.rlike("^(>>>|-)")))
+    names = F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(F.substring_index(x, "|", 1))), lambda x: x != ""))
+    body = F.array_join(F.slice(f, F.lit(4), F.greatest(F.size(f) - 3, F.lit(0))), "\n")
     return blocks.select(
-        *keys,
-        *[f[i].alias(n) for i, n in enumerate(("hash", "short_hash", "author", "committer", "date", "subject"))],
-        F.coalesce(F.get(f, F.lit(6)), F.lit("")).alias("body"),
+        *keys, "pos", *[_line(f, i).alias(n) for i, n in enumerate(("hash", "short_hash", "subject"))], _stripped(body).alias("body"), *[c.alias(n) for n, c in who.items()],
         _int(F.regexp_extract(stat, r"(\d+) files? changed", 1)).alias("files"),
-        F.coalesce(_int(F.regexp_extract(stat, r"(\d+) insertions?\(\+\)", 1)), F.lit(0)).alias("insertions"),
-        F.coalesce(_int(F.regexp_extract(stat, r"(\d+) deletions?\(-\)", 1)), F.lit(0)).alias("deletions"),
+        F.when(stat.isNotNull(), F.coalesce(_int(F.regexp_extract(stat, r"(\d+) insertions?\(\+\)", 1)), F.lit(0))).alias("insertions"),
+        F.when(stat.isNotNull(), F.coalesce(_int(F.regexp_extract(stat, r"(\d+) deletions?\(-\)", 1)), F.lit(0))).alias("deletions"),
         names.alias("files_changed"),
+    )
+
+
+def shown_kind(text: Column) -> Column:
+    """What a shown object is: commit, tag, tree or blob."""
+    return (
+        F.when(text.contains(COMMIT_START), "commit").when(F.ltrim(text).startswith("tag "), "tag").when(text.rlike(r"(?m)^\d+\s+(tree|blob)\s+[a-f0-9]+\s+"), "tree").otherwise("blob")
     )
 
 
+def shown_commits(raw: DataFrame, text: str, *keys: str, emails: bool = False, most_files: int = 100) -> DataFrame:
+    """Shown commits with committer_date, and the totals of the first ``most_files`` of their numstat lines; truncated:
+    whether there are more."""
+    own = raw.where(shown_kind(F.col(text)) == "commit")
+    out = commits(own.withColumn("_text", F.col(text)), text, *keys, "_text", emails=emails).where("pos = 0").drop("pos", "files", "insertions", "deletions", "files_changed")
+    parts = F.transform(F.split(F.substring_index("_text", COMMIT_END, -1), "\n"), lambda x: F.split(x, "\t"))
+    rows = F.filter(parts, lambda p: (F.size(p) == 3) & F.get(p, F.lit(0)).rlike(r"^\d+$") & F.get(p, F.lit(1)).rlike(r"^\d+$"))
+    total = lambda i: F.aggregate(F.slice(rows, 1, most_files), F.lit(0).cast("long"), lambda a, p: a + F.get(p, F.lit(i)).cast("long"))
+    return out.withColumns({"files": F.least(F.size(rows), F.lit(most_files)), "insertions": total(0), "deletions": total(1), "truncated": F.size(rows) > most_files}).drop("_text")
+
+
+def shown_tags(raw: DataFrame, text: str, *keys: str) -> DataFrame:
+    """Headers of shown tags: name, tagger, date, message, its first line as annotation, and object: the commit that
+    follows. Of what is no annotated tag, only the object is known."""
+    lines = F.split(F.col(text), "\n", -1)
+    annotated = F.get(lines, F.lit(0)).startswith("tag ")
+    field = lambda name: F.trim(F.regexp_extract(F.get(F.filter(lines, lambda x: x.startswith(f"{name} ")), F.lit(0)), f"^{name} (.*)$", 1))
+    message = _stripped(F.regexp_extract(F.col(text), r"(?s)^tag [^\n]*\n(?:[^\n]+\n)*\n(.*?)(?=\ncommit |$)", 1))
+    found = lambda c: F.when(annotated, F.coalesce(c, F.lit("")))
+    return raw.select(
+        *keys, annotated.alias("annotated"), found(F.trim(F.expr(f"substring(split({text}, '\n')[0], 5)"))).alias("name"), found(field("Tagger:")).alias("tagger"),
+        found(field("Date:")).alias("date"), found(message).alias("message"), found(F.substring_index(message, "\n", 1)).alias("annotation"),
+        F.substring_index(field("commit"), " ", 1).alias("object"),
+    )
+
+
+def shown_blobs(raw: DataFrame, text: str, *keys: str, most_lines: int = 500) -> DataFrame:
+    """Shown contents: size in characters, the first lines, and whether there are more."""
+    lines = F.split(F.col(text), "\n", -1)
+    return raw.where(shown_kind(F.col(text)) == "blob").select(*keys, F.col(text).alias("content"), F.length(text).alias("size"), F.slice(lines, 1, most_lines).alias("lines"), (F.size(lines) > most_lines).alias("truncated"))
+
+
+def shown_short(raw: DataFrame, text: str, *keys: str) -> DataFrame:
+    """``hash subject`` in the first line that isn't blank: a commit; anything else is a blob, nothing an empty commit."""
+    first = F.coalesce(F.get(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != ""), F.lit(0)), F.lit(""))
+    shape = r"^([a-f0-9]{7,40})\s+(.+)$"
+    kind = F.when((first == "") | first.rlike(shape), "commit").otherwise("blob")
+    return raw.select(*keys, kind.alias("type"), F.regexp_extract(first, shape, 1).alias("short_hash"), F.regexp_extract(first, shape, 2).alias("subject"))
+
+
 def numstat(lines: DataFrame, text: str = "line_text") -> DataFrame:
     """``added TAB deleted TAB path``; lines of other shapes, binary files too, are dropped."""
     f = F.split(F.col(text), "\t")
@@ -88,6 +170,40 @@ def stashes(lines: DataFrame, text: str = "line_text") -> DataFrame:
     return lines.where(x.rlike(shape)).select(*[c for c in lines.columns if c != text], F.regexp_extract(x, shape, 1).cast("int").alias("index"), F.regexp_extract(x, shape, 2).alias("message"))
 
 
+def stash_blocks(raw: DataFrame, text: str, *keys: str) -> DataFrame:
+    """Stash blocks of two lines or more: stash@{n}, hash, message, date, relative date; missing ones are empty. Texts
+    without such blocks are read as lines of ``stash@{n}: message``."""
+    blocks = _blocks(raw, text, keys, STASH_START).where(F.col("block").contains(STASH_END))
+    f = F.filter(F.transform(F.split(F.split("block", STASH_END, 2)[0], "\n"), lambda x: F.rtrim(x)), lambda x: x != "")
+    names = ("hash", "message", "date", "date_relative")
+    index = F.regexp_extract(_line(f, 0), r"\{(\d+)\}", 1).try_cast("int").alias("index")
+    own = blocks.where(F.size(f) >= 2).select(*keys, index, *[_line(f, i).alias(n) for i, n in enumerate(names, 1)])
+    plain = raw.where(~F.col(text).rlike(f"(?s){STASH_START}.*{STASH_END}")).select(*keys, F.explode(F.split(F.col(text), "\r?\n")).alias("line_text"))
+    empty = [F.lit("").alias(n) for n in ("hash", "date", "date_relative")]
+    return own.unionByName(stashes(plain).select(*keys, "index", "message", *empty))
+
+
+def head_and_branches(raw: DataFrame, text: str, *keys: str) -> DataFrame:
+    """Shown remotes: name, fetch_url, push_url, head_branch and tracked_branches (name, stale, tracked, new)."""
+    x = F.col(text)
+    pick = lambda label: F.nullif(F.trim(F.regexp_extract(x, rf"(?m)^\s*{label}(.*)$", 1)), F.lit(""))
+    part = F.split(F.regexp_extract(x, r"(?ms)^\s*Remote branches:\s*?\n(.*?)(?=^\s*$|^\s*Local (?:branches|refs) configured for|\z)", 1), "\n")
+    shape = r"^\s+(\S.*?)\s{2,}(\S+).*$"
+    branch = lambda l: F.struct(F.regexp_extract(l, shape, 1).alias("name"), *[(F.regexp_extract(l, shape, 2) == k).alias(k) for k in ("stale", "tracked", "new")])  # noqa: E731, E741
+    return raw.where(x.rlike(r"(?m)^\* remote \S+")).select(
+        *keys, F.regexp_extract(x, r"(?m)^\* remote (\S+)", 1).alias("name"), pick("Fetch URL:").alias("fetch_url"), pick("Push  URL:").alias("push_url"), pick("HEAD branch:").alias("head_branch"),
+        F.transform(F.filter(part, lambda l: l.rlike(shape)), branch).alias("tracked_branches"),
+    )
+
+
+def remote_urls(raw: DataFrame, text: str, *keys: str, push: bool = False, both: bool = False) -> DataFrame:
+    """The first line that isn't blank as fetch_url, or as push_url; with ``both`` the second one is the push_url."""
+    lines = F.filter(F.split(F.col(text), "\r?\n"), lambda x: F.trim(x) != "")
+    fetch = F.lit(None).cast("string") if push else F.get(lines, F.lit(0))
+    other = F.get(lines, F.lit(0)) if push else F.get(lines, F.lit(1)) if both else F.lit(None).cast("string")
+    return raw.where(F.size(lines) > 0).select(*keys, fetch.alias("fetch_url"), other.alias("push_url"))
+
+
 def status(lines: DataFrame, text: str = "line_text") -> DataFrame:
     """Two status letters, a path, and the old path of a renamed one."""
     x = F.col(text)
@@ -99,6 +215,14 @@ def status(lines: DataFrame, text: str = "line_text") -> DataFrame:
     )
 
 
+def status_branches(lines: DataFrame, text: str = "line_text") -> DataFrame:
+    """``## branch...upstream [ahead n, behind m]`` lines: branch, upstream, ahead and behind (0 where not named)."""
+    x = F.col(text)
+    shape = r"^## (?:No commits yet on )?(.+?)(?:\.\.\.(\S+))?(?: \[(.*)\])?$"
+    n = lambda word: F.coalesce(_int(F.regexp_extract(F.regexp_extract(x, shape, 3), rf"{word} (\d+)", 1)), F.lit(0))
+    return lines.where(x.startswith("## ")).select(*[c for c in lines.columns if c != text], F.regexp_extract(x, shape, 1).alias("branch"), F.nullif(F.regexp_extract(x, shape, 2), F.lit("")).alias("upstream"), n("ahead").alias("ahead"), n("behind").alias("behind"))
+
+
 def status_summary(rows: DataFrame, *keys: str) -> DataFrame:
     i, w = F.col("index_status"), F.col("worktree_status")
     clash = (i == "U") | (w == "U") | ((i == "A") & (w == "A")) | ((i == "D") & (w == "D"))
@@ -124,6 +248,12 @@ def picks(lines: DataFrame, text: str = "line_text") -> DataFrame:
     return lines.where(x.rlike(shape)).select(*[c for c in lines.columns if c != text], F.regexp_extract(x, shape, 2).alias("commit"), F.expr("left(regexp_extract(%s, '^\\\\[\\\\S+ ([0-9a-f]{7,40})', 1), 7)" % text).alias("short_commit"), F.regexp_extract(x, shape, 3).alias("subject"))
 
 
+def pick_flags(runs: DataFrame, errors: str, *keys: str) -> DataFrame:
+    """has_conflicts and in_progress of runs, from what a tool wrote to its error stream."""
+    x = F.col(errors)
+    return runs.select(*keys, (x.contains("error: could not apply") | x.contains("CONFLICT")).alias("has_conflicts"), x.contains("hint: after resolving").alias("in_progress"))
+
+
 def processes(lines: DataFrame, text: str = "line_text") -> DataFrame:
     """Process tables of 11 fields or more: user, pid, cpu, memory, time, command with its spaces; headers are dropped."""
     f = F.split(F.trim(text), r"\s+", 11)
@@ -170,9 +300,10 @@ def tree(lines: DataFrame, text: str = "line_text") -> DataFrame:
     return lines.where(x.rlike(shape)).select(*[c for c in lines.columns if c != text], *[F.regexp_extract(x, shape, i).alias(n) for i, n in enumerate(("mode", "type", "hash", "path"), 1)])
 
 
-def blame(lines: DataFrame, file: str) -> DataFrame:
+def blame(lines: DataFrame, file: str, emails: bool = False, now: Column | None = None) -> DataFrame:
     """Attribution (file, pos, line_text): header lines ``hash old new count`` or ``hash old new`` begin an entry, fields
-    follow, and a line that begins with a tab is the content. Fields are carried forward within a commit's group."""
+    follow, and a line that begins with a tab is the content. Fields are carried forward within a commit's group. author is
+    the address, without brackets, if ``emails`` and there is one; date is in UTC, date_relative as of ``now``."""
     x = F.col("line_text")
     head = r"^([0-9a-f]{40}) (\d+) (\d+)(?: (\d+))?$"
     is_head = x.rlike(head)
@@ -187,8 +318,10 @@ def blame(lines: DataFrame, file: str) -> DataFrame:
     rows = rows.withColumn("part", F.sum("starts").over(w))
     own = Window.partitionBy(file, "part", "hash").orderBy("pos")
     carry = lambda name: F.last(F.when(x.startswith(f"{name} "), F.expr(f"substring(line_text, {len(name) + 2})")), ignorenulls=True).over(own)
-    rows = rows.withColumns({"author": carry("author"), "author_time": carry("author-time"), "summary": carry("summary")})
+    rows = rows.withColumns({"name": carry("author"), "mail": carry("author-mail"), "author_time": carry("author-time").try_cast("long"), "summary": carry("summary")})
+    author = F.coalesce(bare_mail(F.col("mail")), F.col("name"), F.lit("")) if emails else F.coalesce("name", F.lit(""))
     return rows.where(x.startswith("\t")).select(
-        file, "line_number", F.col("hash").alias("commit_hash"), F.substring("hash", 1, 7).alias("short_commit"), F.coalesce("author", F.lit("")).alias("author"),
-        F.col("author_time").try_cast("long").alias("author_time"), F.coalesce("summary", F.lit("")).alias("summary"), F.expr("substring(line_text, 2)").alias("line_text"),
+        file, "line_number", F.col("hash").alias("commit_hash"), F.substring("hash", 1, 7).alias("short_commit"), author.alias("author"), "author_time",
+        F.coalesce(iso_utc(F.col("author_time")), F.lit("")).alias("date"), F.coalesce(relative_date(F.col("author_time"), F.unix_timestamp() if now is None else now), F.lit("")).alias("date_relative"),
+        F.coalesce("summary", F.lit("")).alias("summary"), F.expr("substring(line_text, 2)").alias("line_text"),
     )

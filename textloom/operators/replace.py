@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import byte_start, first_match
+from textloom.operators.search import cap, matching_lines, numbered, with_context
 
 
 def manifest(files: DataFrame, file: str, text: str, regex: str, replacement: str) -> DataFrame:
@@ -23,18 +23,58 @@ def totals(changes: DataFrame) -> DataFrame:
     )
 
 
-def preview(lines: DataFrame, file: str, regex: str, replacement: str) -> DataFrame:
-    """Changed lines as they would be, with their neighbours: what a dry run shows."""
-    w = Window.partitionBy(file).orderBy("line_number")
-    out = lines.withColumns({"context_before": F.lag("line_text").over(w), "context_after": F.lead("line_text").over(w)}).where(F.col("line_text").rlike(regex))
-    return out.select(file, "line_number", "context_before", F.col("line_text").alias("original_line"), F.regexp_replace("line_text", regex, replacement).alias("replaced_line"), "context_after")
+def preview(files: DataFrame, regex: str, replacement: str, text: str = "text") -> DataFrame:
+    """files' other columns with line_number, context_before, original_line, replaced_line and context_after of the lines
+    that would change: what a dry run shows. Contexts are one line, null where the file ends. Works inside the row."""
+    found = with_context(files, regex, 1, 1, text)
+    own = [c for c in files.columns if c != text]
+    return found.select(
+        *own, "line_number", F.get("context_before", F.lit(0)).alias("context_before"), F.col("line_text").alias("original_line"),
+        F.regexp_replace("line_text", regex, replacement).alias("replaced_line"), F.get("context_after", F.lit(0)).alias("context_after"),
+    )
 
 
-def replacements(lines: DataFrame, file: str, regex: str, replacement: str, most: int | None = None) -> DataFrame:
-    """The first replacement of each line with its byte offsets, the first ``most`` of each file."""
-    out = lines.where(F.col("line_text").rlike(regex))
-    out = out.withColumns({"column_start": byte_start(F.col("line_text"), regex), "original_text": first_match(F.col("line_text"), regex)})
-    out = out.withColumns({"column_end": F.col("column_start") + F.octet_length("original_text"), "replaced_text": F.regexp_replace("original_text", regex, replacement)})
-    if most is not None:
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy("line_number"))).where(F.col("_n") <= most).drop("_n")
-    return out.select(file, "line_number", "column_start", "column_end", "original_text", "replaced_text")
+def line_replacements(line: Column, regex: str, replacement: str) -> Column:
+    """All replacements of a line as an array of (column_start, column_end, original_text, replaced_text), byte offsets in
+    the old line. Matches are found, and replaced, in the whole line, so that lookaround sees what stands around them."""
+    between = F.split(line, regex, -1)
+    own = F.regexp_extract_all(line, F.lit(regex), F.lit(0))
+    # The new line with each match between two marks that no text has: what stands between them is what replaced it.
+    marked = F.split(F.regexp_replace(line, regex, f"\uffff{replacement}\uffff"), "\uffff", -1)
+    pairs = F.transform(own, lambda x, i: F.struct(F.octet_length(F.get(between, i)).alias("gap"), x.alias("old"), F.get(marked, 2 * i + 1).alias("new")))
+    kind = "array<struct<column_start:int,column_end:int,original_text:string,replaced_text:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        begin = a["at"] + x["gap"]
+        end = begin + F.octet_length(x["old"])
+        row = F.struct(begin.alias("column_start"), end.alias("column_end"), x["old"].alias("original_text"), x["new"].alias("replaced_text"))
+        return F.struct(end.alias("at"), F.array_append(a["out"], row).alias("out"))
+
+    return F.aggregate(pairs, start, step, lambda a: a["out"])
+
+
+def replacements(files: DataFrame, regex: str, replacement: str, text: str = "text", most: int | None = None) -> DataFrame:
+    """files' other columns with line_number, column_start, column_end, original_text and replaced_text of every replacement
+    in every line, the first ``most`` of each file in line order. Works inside the row. Empty matches are left out."""
+    own = [c for c in files.columns if c != text]
+    if most is None:
+        lines = matching_lines(files, regex, text)
+        return lines.select(*own, "line_number", F.inline(line_replacements(F.col("line_text"), regex, replacement))).where("column_end > column_start")
+    found = F.filter(numbered(F.col(text)), lambda x: x["line_text"].rlike(regex))
+    each = F.transform(found, lambda x: F.transform(line_replacements(x["line_text"], regex, replacement), lambda r: F.struct(x["line_number"].alias("line_number"), *[r[c].alias(c) for c in ("column_start", "column_end", "original_text", "replaced_text")])))
+    every = F.filter(F.flatten(each), lambda r: r["column_end"] > r["column_start"])
+    return files.where(F.col(text).rlike(f"(?m){regex}")).select(*own, F.inline(F.slice(every, 1, most)))
+
+
+def change_manifest(files: DataFrame, file: str, regex: str, replacement: str, text: str = "text", most_files: int = 1000, dry_run: bool = True) -> DataFrame:
+    """One row per file: replacements_count, modified, replacements (null without any) and preview (null unless dry_run or
+    without any), of the first ``most_files`` files by ``file``; truncated: whether there are more files."""
+    found = F.filter(numbered(F.col(text)), lambda x: x["line_text"].rlike(regex))
+    each = F.transform(found, lambda x: F.transform(line_replacements(x["line_text"], regex, replacement), lambda r: F.struct(x["line_number"].alias("line_number"), *[r[c].alias(c) for c in ("column_start", "column_end", "original_text", "replaced_text")])))
+    every = F.filter(F.flatten(each), lambda r: r["column_end"] > r["column_start"])
+    shown = F.transform(found, lambda x: F.struct(x["line_number"].alias("line_number"), x["line_text"].alias("original_line"), F.regexp_replace(x["line_text"], regex, replacement).alias("replaced_line")))
+    rows = files.select(file, every.alias("replacements"), shown.alias("preview"))
+    rows = cap(rows, [file], most_files)
+    n = F.size("replacements").cast("long")
+    return rows.select(file, n.alias("replacements_count"), (n > 0).alias("modified"), F.when(n > 0, F.col("replacements")).alias("replacements"), F.when((n > 0) & F.lit(dry_run), F.col("preview")).alias("preview"), "truncated")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.tabular import distributions
+
 
 def sum_or_null(x: Column) -> Column:
     """A sum that is null if any value is null, and 0 of no values."""
@@ -46,8 +48,7 @@ def effort(kloc: Column) -> tuple[Column, Column, Column]:
 
 def run_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """mean, stddev (sample), median, min, max and n of each key's runs."""
-    x = F.col(value)
-    return df.groupBy(key).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"), F.median(x).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"))
+    return distributions(df.select(key, F.col(value).cast("double").alias("x")), key).select(key, "mean", "stddev", "median", "min", "max", "n")
 
 
 def counts_where(df: DataFrame, **conditions: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import byte_start, first_match
@@ -15,10 +15,37 @@ def search(lines: DataFrame, regex: str, text: str = "line_text") -> DataFrame:
     return found.withColumn("column_end", F.col("column_start") + F.octet_length("match_text"))
 
 
-def cap_per_file(found: DataFrame, file: str, position: str, most: int) -> DataFrame:
-    """The first ``most`` rows of each file."""
-    n = F.row_number().over(Window.partitionBy(file).orderBy(position))
-    return found.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
+def search_files(files: DataFrame, regex: str, text: str = "text") -> DataFrame:
+    """search over the lines of files: files' other columns, line_number, line_text and the first match of each line."""
+    return search(matching_lines(files, regex, text), regex)
+
+
+def cap_in_groups(df: DataFrame, group: str, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each group, with ``truncated``: whether the group has more. Spark drops rows beyond
+    ``most`` + 1 before the shuffle."""
+    w = Window.partitionBy(group)
+    rows = df.withColumn("_n", F.row_number().over(w.orderBy(*order))).where(F.col("_n") <= most + 1)
+    return rows.withColumn("truncated", F.max("_n").over(w) > most).where(F.col("_n") <= most).drop("_n")
+
+
+def numbered(text: Column) -> Column:
+    """A text's lines as an array of (line_number from 1, line_text), trailing carriage returns dropped."""
+    lines = F.split(text, "\n", -1)
+    return F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_number"), F.regexp_replace(x, "\r$", "").alias("line_text")))
+
+
+def matching_lines(files: DataFrame, regex: str, text: str = "text", most: int | None = None) -> DataFrame:
+    """files' other columns with line_number and line_text of the lines that match, the first ``most`` of each file.
+
+    Works inside the row: files without a match are not split, and no line is shuffled."""
+    found = F.filter(numbered(F.col(text)), lambda x: x["line_text"].rlike(regex))
+    own = files.where(F.col(text).rlike(_anywhere(regex)))
+    return own.select(*[c for c in files.columns if c != text], F.inline(found if most is None else F.slice(found, 1, most)))
+
+
+def _anywhere(regex: str) -> str:
+    """A pattern that any text with a matching line matches: line ends count as ends of text."""
+    return f"(?m){regex}"
 
 
 def cap(found: DataFrame, order: list[str], most: int) -> DataFrame:
@@ -29,21 +56,43 @@ def cap(found: DataFrame, order: list[str], most: int) -> DataFrame:
     return rows.where(F.col("_n") <= most).drop("_n")
 
 
-def summary(lines: DataFrame, found: DataFrame, file: str) -> DataFrame:
-    """One row: matches, files with matches, files searched."""
-    a = found.agg(F.count("*").alias("total_matches"), F.countDistinct(file).alias("files_with_matches")).withColumn("_", F.lit(1))
-    b = lines.agg(F.countDistinct(file).alias("files_searched")).withColumn("_", F.lit(1))
-    return a.join(b, "_").drop("_")
+def summary(files: DataFrame, regex: str, text: str = "text") -> DataFrame:
+    """One row: matching lines, files with some, files searched. One pass, a number for each file."""
+    n = F.size(F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(regex)))
+    own = files.select(F.when(F.col(text).rlike(_anywhere(regex)), n).otherwise(0).cast("long").alias("n"))
+    return own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_matches"), F.count_if(F.col("n") > 0).alias("files_with_matches"), F.count("*").alias("files_searched"))
 
 
-def with_context(lines: DataFrame, regex: str, file: str, before: int, after: int) -> DataFrame:
-    """Matching lines with the lines around them, oldest first; no array elements where the file ends."""
-    w = Window.partitionBy(file).orderBy("line_number")
-    around = {
-        "context_before": F.array_compact(F.array(*[F.lag("line_text", k).over(w) for k in range(before, 0, -1)])),
-        "context_after": F.array_compact(F.array(*[F.lead("line_text", k).over(w) for k in range(1, after + 1)])),
-    }
-    return lines.withColumns(around).where(F.col("line_text").rlike(regex))
+def with_context(files: DataFrame, regex: str, before: int, after: int, text: str = "text") -> DataFrame:
+    """files' other columns with line_number, line_text, context_before and context_after of the lines that match: the lines
+    around them, oldest first, fewer where the file ends. Works inside the row."""
+    rows = files.where(F.col(text).rlike(_anywhere(regex))).withColumn("_lines", F.split(F.col(text), "\n", -1))
+    rows = rows.withColumn("_lines", F.transform("_lines", lambda x: F.regexp_replace(x, "\r$", "")))
+    places = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(regex), i)), lambda i: i.isNotNull())
+    around = lambda i: F.struct(
+        (i + 1).alias("line_number"),
+        F.get("_lines", i).alias("line_text"),
+        F.slice("_lines", F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before))).alias("context_before"),
+        F.slice("_lines", i + 2, F.lit(after)).alias("context_after"),
+    )
+    return rows.select(*[c for c in files.columns if c != text], F.inline(F.transform(places, around)))
+
+
+def nearest_in_file(files: DataFrame, regex: str, text: str = "text") -> DataFrame:
+    """files' other columns with line_number of each line that doesn't match, in files with a match; match_line: the nearest
+    match, the earlier one of two; side: whether the line stands before or after it. Works inside the row: two folds carry
+    the last match forwards and the next one backwards."""
+    rows = files.where(F.col(text).rlike(_anywhere(regex))).withColumn("_hits", F.transform(F.split(F.col(text), "\n", -1), lambda x: F.regexp_replace(x, "\r$", "").rlike(regex)))
+    rows = rows.withColumn("_places", F.filter(F.transform("_hits", lambda h, i: F.when(h, i + 1)), lambda i: i.isNotNull())).where(F.size("_places") > 0)
+
+    def place(h: Column, i: Column) -> Column:
+        n = i + 1
+        last = F.array_max(F.filter("_places", lambda p: p <= n))
+        following = F.array_min(F.filter("_places", lambda p: p >= n))
+        near = F.when(last.isNull() | (following - n < n - last), following).otherwise(last)
+        return F.when(~h, F.struct(n.alias("line_number"), near.alias("match_line"), F.when(n < near, "before").otherwise("after").alias("side")))
+
+    return rows.select(*[c for c in files.columns if c != text], F.inline(F.filter(F.transform("_hits", place), lambda x: x.isNotNull())))
 
 
 def nearest_match(context: DataFrame, matches: DataFrame, file: str) -> DataFrame:

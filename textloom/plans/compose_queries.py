@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import compose as C
 from textloom.plans.params import Param
-from textloom.plans.registry import query
+from textloom.plans.registry import STABILITY, query
 from textloom.sources.tables import table
 
 
@@ -34,15 +34,16 @@ def chain_union_distinct(spark, sf_dir):
 def chain_three_step(spark, sf_dir):
     """Customers to orders to line items."""
     c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 5000")
-    o = C.chain(c, "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
-    return C.chain(o, "o_orderkey", table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber")
+    orders = lambda values: table(spark, sf_dir, "orders").join(values, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    items = lambda values: table(spark, sf_dir, "lineitem").join(values, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    return C.pipeline(c, [("orders", orders, "c_custkey", {}), ("items", items, "o_orderkey", {})]).select("l_orderkey", "l_linenumber")
 
 
 @query("chain_reverse_edges", "SELECT l_partkey AS dst, count(DISTINCT l_suppkey) AS upstream FROM lineitem GROUP BY 1", "compose")
 def chain_reverse_edges(spark, sf_dir):
     """How many sources name each target: a lookup against the direction of the edges."""
-    edges = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("via"))
-    return edges.select("l_suppkey", F.explode("via").alias("dst")).groupBy("dst").agg(F.countDistinct("l_suppkey").alias("upstream"))
+    edges = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("dst")).distinct()
+    return edges.groupBy("dst").agg(F.count("*").alias("upstream"))
 
 
 @query("chain_pluck", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1", "compose")
@@ -52,17 +53,21 @@ def chain_pluck(spark, sf_dir):
     return n.select("l_orderkey", F.concat_ws(",", F.transform(C.pluck(F.col("items"), "l_partkey"), lambda x: x.cast("string"))).alias("parts"))
 
 
-@query("skill_filter_stability", "SELECT p_partkey, p_brand FROM part WHERE p_size >= 30 AND p_type LIKE '%STEEL%'", "compose")
-def skill_filter_stability(spark, sf_dir):
-    """A catalogue by category and least level."""
-    return table(spark, sf_dir, "part").where("p_size >= 30 and p_type like '%STEEL%'").select("p_partkey", "p_brand")
+LEVEL = "CASE p_size % 4 WHEN 0 THEN 'experimental' WHEN 1 THEN 'beta' WHEN 2 THEN 'stable' ELSE 'old' END"
 
 
-@query("skill_by_category", "SELECT coalesce(p_brand, 'general') AS category, count(*) AS n, string_agg(p_name, '|' ORDER BY p_name) AS names FROM part GROUP BY 1", "compose")
+@query("skill_filter_stability", f"SELECT p_partkey, p_brand, {LEVEL} AS stability FROM part WHERE p_size % 4 IN (1, 2)", "compose", (Param("least", "string", "beta", enum=tuple(STABILITY)),))
+def skill_filter_stability(spark, sf_dir, least="beta"):
+    """A catalogue by least level."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.expr(LEVEL).alias("stability"))
+    return C.at_least(p, "stability", least, STABILITY)
+
+
+@query("skill_by_category", "SELECT coalesce(p_brand, 'general') AS category, count(*) AS n, min(p_name) AS first, max(p_name) AS last FROM part GROUP BY 1", "compose")
 def skill_by_category(spark, sf_dir):
     """A catalogue grouped by category."""
     p = table(spark, sf_dir, "part").groupBy(F.coalesce("p_brand", F.lit("general")).alias("category"))
-    return p.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("p_name")), "|").alias("names"))
+    return p.agg(F.count("*").alias("n"), F.min("p_name").alias("first"), F.max("p_name").alias("last"))
 
 
 @query("capability_search", "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#1')", "compose", (Param("term", "string", "brand#1", min_length=1),))
@@ -78,6 +83,20 @@ def health_summary(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("total"), F.count_if(ok).alias("healthy"), F.count_if(~ok).alias("unhealthy"))
 
 
+@query("health_members", "SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_totalprice > 100000 THEN 'healthy' ELSE 'unhealthy' END AS health FROM orders", "compose")
+def health_members(spark, sf_dir):
+    """Each member of a group, healthy or not."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_totalprice") > 100000, "healthy").otherwise("unhealthy").alias("health"))
+
+
+@query("batch_results", "SELECT event_id, runs_as, 'r' || runs_as AS result FROM (SELECT event_id, min(event_id) OVER (PARTITION BY user_id, event_type) AS runs_as FROM events)", "control")
+def batch_results(spark, sf_dir):
+    """Tasks with the same key run once, and all get the result."""
+    e = table(spark, sf_dir, "events").withColumn("key", C.task_key(F.col("user_id"), F.col("event_type")))
+    ran = C.dedup_tasks(e, "key", "event_id").where("event_id = runs_as").select("event_id", F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("result"))
+    return C.fan_out(e.select("event_id", "key"), "key", "event_id", ran).select("event_id", "runs_as", "result")
+
+
 @query("batch_dedup", "SELECT event_id, min(event_id) OVER (PARTITION BY user_id, event_type) AS runs_as FROM events", "control")
 def batch_dedup(spark, sf_dir):
     """Tasks with the same key run once."""
@@ -95,10 +114,7 @@ SELECT user_id, event_id, runs FROM r"""
 def budget_greedy(spark, sf_dir, budget=20):
     """Tasks in order as long as each fits; one that doesn't is skipped."""
     cost = F.ceil(F.length(F.concat("props", "event_type")) / 4.0).cast("long")
-    e = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", cost.alias("cost")).alias("x"))
-    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    g = g.withColumn("runs", C.greedy_budget(C.pluck(F.col("xs"), "cost"), budget))
-    return g.select("user_id", F.inline(F.arrays_zip(C.pluck(F.col("xs"), "event_id").alias("event_id"), F.col("runs").alias("runs"))))
+    return C.greedy_budget(table(spark, sf_dir, "events").select("user_id", "event_id", cost.alias("cost")), "user_id", "event_id", "cost", budget).drop("cost")
 
 
 @query("profile_averages", "SELECT event_type AS skill, count(*) AS runs, round(avg(value), 6) AS duration, round(avg(value / 2 + value / 4), 6) AS steps FROM events GROUP BY 1", "control")
@@ -132,15 +148,22 @@ def backoff_schedule(spark, sf_dir):
 @query("error_classes", "SELECT event_id, CASE WHEN regexp_matches(props, '[:] ?[0-4][}]') THEN 'timeout' WHEN regexp_matches(props, '[0-9]{2}') THEN 'permission_denied' ELSE 'unknown' END AS error_type FROM events WHERE event_type = 'error'", "control")
 def error_classes(spark, sf_dir):
     """The first pattern that matches an error's text names its type."""
-    x = F.col("props")
-    kind = F.when(x.rlike("[:] ?[0-4][}]"), "timeout").when(x.rlike("[0-9]{2}"), "permission_denied").otherwise("unknown")
-    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", kind.alias("error_type"))
+    rules = (("[:] ?[0-4][}]", "timeout"), ("[0-9]{2}", "permission_denied"))
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", C.classified(F.col("props"), rules).alias("error_type"))
+
+
+DEGRADED = "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN CAST(regexp_extract(props, '[0-9]+') AS INT) ELSE CAST(json_extract(props, '$.k') AS INT) END AS k, CASE WHEN event_id % 7 <> 0 THEN 'json' END AS kind, event_id % 7 = 0 AS used_fallback, CASE WHEN event_id % 7 = 0 THEN 'kind is unavailable' ELSE '' END AS warnings FROM events"
 
 
-@query("degraded_columns", "SELECT event_id, event_type, CAST(NULL AS DOUBLE) AS value, 'value unavailable' AS warning FROM events WHERE event_type = 'view'", "control")
+@query("degraded_columns", DEGRADED, "control")
 def degraded_columns(spark, sf_dir):
-    """What a fallback returns: columns it can't fill are null, and a warning says so."""
-    return table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", "event_type", F.lit(None).cast("double").alias("value"), F.lit("value unavailable").alias("warning"))
+    """Records read by a pattern where they are no JSON: columns that it can't fill are null, and a warning says so."""
+    text = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("!"), "props")).otherwise(F.col("props"))
+    e = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    record = F.try_parse_json("text")
+    primary = {"k": F.try_variant_get(record, "$.k", "int"), "kind": F.lit("json")}
+    out = C.with_fallback(e, primary, {"k": F.regexp_extract("text", "[0-9]+", 0).try_cast("int")}, record.isNull(), "kind is unavailable")
+    return out.select("event_id", "k", "kind", "used_fallback", F.concat_ws(",", "warnings").alias("warnings"))
 
 
 @query("star_equi_join", "SELECT n_name, round(sum(o_totalprice), 2) AS revenue, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", "star")

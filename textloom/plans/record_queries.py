@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from textloom.functions.text import relative_date
 from textloom.operators import diff as D
 from textloom.operators import records as P
+from textloom.operators import search as S
+from textloom.plans.params import Param
 from textloom.plans.registry import query
 from textloom.sources.tables import table, text_lines
 
@@ -22,28 +24,31 @@ def _hash():
     return F.concat(F.md5(_s("o_orderkey")), F.expr("left(md5(cast(o_custkey as string)), 8)"))
 
 
-def _commit_text(spark, sf_dir):
+def _log(spark, sf_dir):
+    """The log of each order: one commit, in the format of a log with names, and a second one of every third order."""
     o = table(spark, sf_dir, "orders")
-    head = F.concat_ws("\n", _hash(), F.expr("left(md5(cast(o_orderkey as string)), 7)"), F.concat(F.lit("c"), _s("o_custkey")), F.lit("bot"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit("order "), _s("o_orderkey")), F.concat(F.lit("body of\n"), "o_orderpriority"))
-    tail = F.concat(F.lit("\n>>>META\n\n 2 files changed, "), (F.col("o_orderkey") % 100).cast("string"), F.lit(" insertions(+)\nsrc/"), "o_orderstatus", F.lit(".txt\nsrc/"), F.lit("F.txt\n"))
-    return o.select(F.expr("o_custkey % 50").alias("repo"), "o_orderkey", F.concat(F.lit(">>>COMMIT\n"), head, tail).alias("block"))
+    key = F.col("o_orderkey")
+    head = F.concat_ws("\n", F.lit(P.COMMIT_START), _hash(), F.expr("left(md5(cast(o_orderkey as string)), 7)"), F.concat(F.lit("order "), _s("o_orderkey")), F.concat(F.lit("body of\n"), "o_orderpriority"), F.lit(""))
+    meta = F.concat_ws("\n", F.lit(P.COMMIT_META), F.concat(F.lit("c"), _s("o_custkey")), F.lit("bot"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("3 days ago"), F.lit(P.COMMIT_END))
+    tail = F.concat(F.lit("\n\n src/"), "o_orderstatus", F.lit(".txt | 3 +--\n src/F.txt | 1 +\n 2 files changed, "), (key % 100).cast("string"), F.lit(" insertions(+)\n"))
+    again = F.when(key % 3 == 0, F.concat_ws("\n", F.lit(P.COMMIT_START), F.md5(_s("o_custkey")), F.lit("abc1234"), F.lit("again"), F.lit(P.COMMIT_META), F.lit("a"), F.lit("b"), F.lit("2024-01-01"), F.lit("now"), F.lit(P.COMMIT_END), F.lit("src/x.txt"), F.lit(""))).otherwise("")
+    return o.select("o_orderkey", F.concat(head, F.lit("\n"), meta, tail, again).alias("log"))
 
 
-def _log(spark, sf_dir):
-    blocks = _commit_text(spark, sf_dir).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "block"))).alias("b"))
-    return blocks.select("repo", F.concat_ws("", F.transform("b", lambda x: x["block"])).alias("log"))
+COMMITS = f"""SELECT o_orderkey, 0 AS pos, {HASH} AS hash, left(md5(CAST(o_orderkey AS VARCHAR)), 7) AS short_hash, 'c' || o_custkey AS author, 'bot' AS committer, strftime(o_orderdate, '%Y-%m-%d') AS date, '3 days ago' AS date_relative, 'order ' || o_orderkey AS subject, 'body of' || chr(10) || o_orderpriority AS body, 2 AS files, CAST(o_orderkey % 100 AS INT) AS insertions, 0 AS deletions FROM orders
+UNION ALL SELECT o_orderkey, 1, md5(CAST(o_custkey AS VARCHAR)), 'abc1234', 'a', 'b', '2024-01-01', 'now', 'again', '', NULL, NULL, NULL FROM orders WHERE o_orderkey % 3 = 0"""
 
 
-@query("commit_blocks", f"SELECT o_custkey % 50 AS repo, {HASH} AS hash, left(md5(CAST(o_orderkey AS VARCHAR)), 7) AS short_hash, 'c' || o_custkey AS author, strftime(o_orderdate, '%Y-%m-%d') AS date, 'order ' || o_orderkey AS subject, 'body of' || chr(10) || o_orderpriority AS body, 2 AS files, CAST(o_orderkey % 100 AS INT) AS insertions, 0 AS deletions FROM orders", "records")
+@query("commit_blocks", COMMITS, "records")
 def commit_blocks(spark, sf_dir):
-    """Commits from blocks between markers."""
-    return P.commits(_log(spark, sf_dir), "log", "repo").select("repo", "hash", "short_hash", "author", "date", "subject", "body", "files", "insertions", "deletions")
+    """Commits from blocks between marks."""
+    return P.commits(_log(spark, sf_dir), "log", "o_orderkey").drop("files_changed")
 
 
-@query("commit_files_distinct", "SELECT 'order ' || o_orderkey AS subject, CASE WHEN o_orderstatus = 'F' THEN 'src/F.txt' ELSE 'src/' || o_orderstatus || '.txt,src/F.txt' END AS files FROM orders", "records")
+@query("commit_files_distinct", "SELECT o_orderkey, 0 AS pos, CASE WHEN o_orderstatus = 'F' THEN 'src/F.txt' ELSE 'src/' || o_orderstatus || '.txt,src/F.txt' END AS files FROM orders UNION ALL SELECT o_orderkey, 1, 'src/x.txt' FROM orders WHERE o_orderkey % 3 = 0", "records")
 def commit_files_distinct(spark, sf_dir):
     """The files of each commit, each once."""
-    return P.commits(_log(spark, sf_dir), "log", "repo").select("subject", F.array_join("files_changed", ",").alias("files"))
+    return P.commits(_log(spark, sf_dir), "log", "o_orderkey").select("o_orderkey", "pos", F.array_join("files_changed", ",").alias("files"))
 
 
 def _joined(df, key, order, line):
@@ -52,13 +57,12 @@ def _joined(df, key, order, line):
     return own.select(key, F.concat_ws("\n", F.transform("x", lambda x: x["line"])).alias("text"))
 
 
-@query("numstat_totals", "SELECT l_orderkey % 100 AS repo, count(*) AS files, sum(CAST(l_quantity AS BIGINT))::BIGINT AS additions, sum(l_linenumber)::BIGINT AS deletions FROM lineitem WHERE l_linenumber <> 5 GROUP BY 1", "records")
+@query("numstat_totals", "SELECT l_orderkey, count(*) AS files, sum(CAST(l_quantity AS BIGINT))::BIGINT AS additions, sum(l_linenumber)::BIGINT AS deletions FROM lineitem WHERE l_linenumber <> 5 GROUP BY 1", "records")
 def numstat_totals(spark, sf_dir):
-    """Totals of added and deleted lines; binary files have no numbers."""
-    l_ = table(spark, sf_dir, "lineitem").withColumn("repo", F.expr("l_orderkey % 100"))
+    """Totals of added and deleted lines of each order; binary files have no numbers."""
     line = F.concat_ws("\t", F.when(F.col("l_linenumber") == 5, "-").otherwise(F.col("l_quantity").cast("long").cast("string")), _s("l_linenumber"), F.concat(F.lit("f/"), _s("l_partkey")))
-    lines = text_lines(_joined(l_, "repo", ["l_orderkey", "l_linenumber"], line), "text", "repo")
-    return P.numstat(lines).groupBy("repo").agg(F.count("*").alias("files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
+    lines = text_lines(_joined(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber"], line), "text", "l_orderkey")
+    return P.numstat(lines).groupBy("l_orderkey").agg(F.count("*").alias("files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
 
 
 @query("branch_parse", "SELECT c_custkey, 'b/' || c_custkey AS name, c_custkey % 10 = 0 AS current, left(md5(CAST(c_custkey AS VARCHAR)), 8) AS commit, CASE WHEN c_custkey % 3 = 0 THEN 'origin/b' || c_nationkey END AS remote, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS ahead, CAST(NULL AS INT) AS behind, c_mktsegment AS subject FROM customer WHERE c_custkey % 7 <> 0", "records")
@@ -81,12 +85,12 @@ def tag_parse(spark, sf_dir):
     return P.tags(p.select("p_partkey", line.alias("line_text")))
 
 
-@query("remote_pivot", "SELECT s_suppkey % 20 AS repo, 'r' || s_suppkey AS name, 'https://h/' || s_suppkey AS fetch_url, CASE WHEN s_suppkey % 4 <> 0 THEN 'ssh://h/' || s_suppkey END AS push_url FROM supplier", "records")
+@query("remote_pivot", "SELECT s_suppkey AS repo, 'r' || s_suppkey AS name, 'https://h/' || s_suppkey AS fetch_url, CASE WHEN s_suppkey % 4 <> 0 THEN 'ssh://h/' || s_suppkey END AS push_url FROM supplier", "records")
 def remote_pivot(spark, sf_dir):
-    """Fetch and push lines as one row per remote."""
-    s = table(spark, sf_dir, "supplier").withColumn("repo", F.expr("s_suppkey % 20"))
+    """Fetch and push lines of each repository as one row per remote."""
     line = F.concat(F.lit("r"), _s("s_suppkey"), F.lit("\thttps://h/"), _s("s_suppkey"), F.lit(" (fetch)"), F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("\nr"), _s("s_suppkey"), F.lit("\tssh://h/"), _s("s_suppkey"), F.lit(" (push)"))).otherwise(""))
-    return P.remotes(text_lines(_joined(s, "repo", ["s_suppkey"], line), "text", "repo"), "repo")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("repo"), line.alias("text"))
+    return P.remotes(text_lines(s, "text", "repo"), "repo")
 
 
 @query("config_parse", "SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN 'bare' || c_custkey ELSE 'k.' || c_custkey END AS key, CASE WHEN c_custkey % 4 < 3 THEN 'a=' || c_mktsegment END AS value, CASE WHEN c_custkey % 4 = 0 THEN 'local' END AS scope, CASE c_custkey % 4 WHEN 0 THEN 'file:x' WHEN 1 THEN 'file:y' END AS origin FROM customer", "records")
@@ -98,25 +102,43 @@ def config_parse(spark, sf_dir):
     return P.config(c.select("c_custkey", line.alias("line_text")))
 
 
-@query("stash_parse", "SELECT CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS \"index\", o_custkey, 'On ' || o_orderstatus || ': ' || o_orderpriority AS message FROM orders", "records")
+@query("stash_parse", "SELECT CAST(o_orderkey % 50 AS INT) AS \"index\", o_orderkey, 'On ' || o_orderstatus || ': ' || o_orderpriority AS message FROM orders", "records")
 def stash_parse(spark, sf_dir):
     """Entries of stash lists."""
-    o = table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
-    line = F.concat(F.lit("stash@{"), _s("i"), F.lit("}: On "), "o_orderstatus", F.lit(": "), "o_orderpriority")
-    return P.stashes(text_lines(_joined(o, "o_custkey", ["o_orderkey"], line), "text", "o_custkey").drop("line_number"))
+    line = F.concat(F.lit("stash@{"), (F.col("o_orderkey") % 50).cast("string"), F.lit("}: On "), "o_orderstatus", F.lit(": "), "o_orderpriority")
+    return P.stashes(table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line_text")))
 
 
-STATUS_SQL = "WITH s AS (SELECT o_custkey % 40 AS repo, CASE o_orderkey % 6 WHEN 0 THEN 'M ' WHEN 1 THEN ' M' WHEN 2 THEN '??' WHEN 3 THEN 'UU' WHEN 4 THEN 'R ' ELSE '!!' END AS xy FROM orders) SELECT repo, count(*) FILTER (WHERE xy IN ('M ', 'R ')) AS staged, count(*) FILTER (WHERE xy = ' M') AS modified, count(*) FILTER (WHERE xy = '??') AS untracked, count(*) FILTER (WHERE xy = 'UU') AS conflicted, count(*) FILTER (WHERE xy = '!!') AS ignored, count(*) FILTER (WHERE xy <> '!!') = 0 AS is_clean FROM s GROUP BY repo"
+STATUS_SQL = "WITH s AS (SELECT l_orderkey, CASE l_partkey % 6 WHEN 0 THEN 'M ' WHEN 1 THEN ' M' WHEN 2 THEN '??' WHEN 3 THEN 'UU' WHEN 4 THEN 'R ' ELSE '!!' END AS xy, l_partkey FROM lineitem) "
 
 
-@query("status_summary", STATUS_SQL, "records")
+def _status(spark, sf_dir):
+    """The status of each order's repository: a branch line, then a file for each line item."""
+    k = F.col("l_partkey") % 6
+    xy = F.when(k == 0, "M ").when(k == 1, " M").when(k == 2, "??").when(k == 3, "UU").when(k == 4, "R ").otherwise("!!")
+    line = F.concat(xy, F.lit(" "), F.when(k == 4, F.concat(F.lit("old"), _s("l_partkey"), F.lit(" -> "))).otherwise(""), F.lit("f/"), _s("l_partkey"))
+    body = _joined(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber"], line)
+    ahead = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit(" [ahead "), (F.col("l_orderkey") % 9 + 1).cast("string"), F.lit(", behind 2]"))).otherwise("")
+    branch = F.concat(F.lit("## b/"), _s("l_orderkey"), F.when(F.col("l_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("...origin/main"), ahead)), F.lit("\n"))
+    return text_lines(body.select("l_orderkey", F.concat(branch, "text").alias("text")), "text", "l_orderkey")
+
+
+@query("status_summary", STATUS_SQL + "SELECT l_orderkey, count(*) FILTER (WHERE xy IN ('M ', 'R ')) AS staged, count(*) FILTER (WHERE xy = ' M') AS modified, count(*) FILTER (WHERE xy = '??') AS untracked, count(*) FILTER (WHERE xy = 'UU') AS conflicted, count(*) FILTER (WHERE xy = '!!') AS ignored, count(*) FILTER (WHERE xy <> '!!') = 0 AS is_clean FROM s GROUP BY l_orderkey", "records")
 def status_summary(spark, sf_dir):
     """Staged, modified, untracked, conflicted and ignored files of each repository."""
-    o = table(spark, sf_dir, "orders").withColumn("repo", F.expr("o_custkey % 40"))
-    k = F.col("o_orderkey") % 6
-    xy = F.when(k == 0, "M ").when(k == 1, " M").when(k == 2, "??").when(k == 3, "UU").when(k == 4, "R ").otherwise("!!")
-    line = F.concat(xy, F.lit(" f/"), F.when(k == 4, F.concat(F.lit("old"), _s("o_orderkey"), F.lit(" -> "))).otherwise(""), _s("o_orderkey"))
-    return P.status_summary(P.status(text_lines(_joined(o, "repo", ["o_orderkey"], line), "text", "repo")), "repo")
+    return P.status_summary(P.status(_status(spark, sf_dir)), "l_orderkey")
+
+
+@query("status_rows", STATUS_SQL + "SELECT l_orderkey, xy[1] AS index_status, xy[2] AS worktree_status, 'f/' || l_partkey AS path, CASE WHEN xy = 'R ' THEN 'old' || l_partkey END AS original_path FROM s", "records")
+def status_rows(spark, sf_dir):
+    """Files of each repository with both status letters and, if renamed, their old path."""
+    return P.status(_status(spark, sf_dir)).drop("line_number")
+
+
+@query("status_branches", "SELECT DISTINCT l_orderkey, 'b/' || l_orderkey AS branch, CASE WHEN l_orderkey % 3 <> 0 THEN 'origin/main' END AS upstream, CASE WHEN l_orderkey % 6 IN (2, 4) THEN CAST(l_orderkey % 9 + 1 AS INT) ELSE 0 END AS ahead, CASE WHEN l_orderkey % 6 IN (2, 4) THEN 2 ELSE 0 END AS behind FROM lineitem", "records")
+def status_branches(spark, sf_dir):
+    """The branch of each repository and how far it is from its upstream."""
+    return P.status_branches(_status(spark, sf_dir)).drop("line_number")
 
 
 @query("cherry_conflicts", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'content' ELSE 'modify/delete' END AS type, 'f/' || o_custkey AS file FROM orders WHERE o_orderkey % 3 <> 0", "records")
@@ -183,7 +205,7 @@ def tree_parse(spark, sf_dir):
 # A diff of each order: one file, one hunk per line item, with a context line, a deletion (line numbers not divisible by
 # 3) and an addition. Its lines are counted by hand in SQL.
 def _diff_text(spark, sf_dir):
-    l_ = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").dropDuplicates(["l_orderkey", "l_linenumber"])
+    l_ = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
     n = _s("l_linenumber")
     at = (F.col("l_linenumber") * 10).cast("string")
     hunk = F.concat(F.lit("@@ -"), at, F.lit(",2 +"), at, F.lit(",2 @@\n same"), n, F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("\n--- old"), n)).otherwise(""), F.lit("\n+new"), n)
@@ -199,7 +221,7 @@ def _numbered(spark, sf_dir):
     return D.numbered_lines(lines, "l_orderkey")
 
 
-ITEMS = "WITH i AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem WHERE l_orderkey % 4 = 0), "
+ITEMS = "WITH i AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem), "
 NUMBERED = ITEMS + (
     "d AS (SELECT l_orderkey, n, 'context' AS type, 'same' || n AS content, n * 10 AS old_line_number, n * 10 AS new_line_number, 1 AS k FROM i UNION ALL SELECT l_orderkey, n, 'deletion', '-- old' || n, n * 10 + 1, NULL, 2 FROM i WHERE n % 3 <> 0 UNION ALL SELECT l_orderkey, n, 'addition', 'new' || n, NULL, n * 10 + 1, 3 FROM i) "
 )
@@ -236,16 +258,36 @@ def semantic_diff_stats(spark, sf_dir):
     return D.change_counts(text_lines(_diff_text(spark, sf_dir), "diff", "l_orderkey"), "l_orderkey")
 
 
-@query("blame_attribution", f"SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS line_number, left(md5(CAST(o_custkey AS VARCHAR)) || md5('x'), 40) AS commit_hash, 'clerk ' || o_custkey AS author, 'line ' || o_orderkey AS line_text FROM orders", "diff")
+BLAME = "WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem) SELECT l_orderkey, CAST(i AS INT) AS line_number, left(md5(CAST(l_orderkey AS VARCHAR)) || md5('x'), 40) AS commit_hash, left(md5(CAST(l_orderkey AS VARCHAR)), 7) AS short_commit, {author} AS author, strftime(to_timestamp(1700000000 + l_orderkey) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') AS date, ((1717200000 - 1700000000 - l_orderkey) // 2592000) || ' months ago' AS date_relative, 's' || l_orderkey AS summary, 'line ' || l_partkey AS line_text FROM x"
+
+
+def _blame(spark, sf_dir):
+    """Attribution of each order's file: a line for each line item, fields at the first line only."""
+    w = Window.partitionBy("l_orderkey")
+    i_ = table(spark, sf_dir, "lineitem").withColumns({"i": F.row_number().over(w.orderBy("l_linenumber", "l_partkey")), "n": F.count("*").over(w)})
+    place = F.concat(F.expr("left(concat(md5(cast(l_orderkey as string)), md5('x')), 40)"), F.lit(" "), _s("i"), F.lit(" "), _s("i"))
+    when = (F.lit(1700000000) + F.col("l_orderkey")).cast("string")
+    fields = F.when(F.col("i") == 1, F.concat(F.lit(" "), _s("n"), F.lit("\nauthor clerk "), _s("l_orderkey"), F.lit("\nauthor-mail <c"), _s("l_orderkey"), F.lit("@x.org>\nauthor-time "), when, F.lit("\nsummary s"), _s("l_orderkey"))).otherwise("")
+    line = F.concat(place, fields, F.lit("\n\tline "), _s("l_partkey"))
+    return text_lines(_joined(i_, "l_orderkey", ["i"], line), "text", "l_orderkey").withColumnRenamed("line_number", "pos")
+
+
+@query("blame_attribution", BLAME.format(author="'clerk ' || l_orderkey"), "diff")
 def blame_attribution(spark, sf_dir):
     """Lines of porcelain attribution, whose fields stand at the first line of a group only."""
-    o = table(spark, sf_dir, "orders").withColumns({"i": F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")), "n": F.count("*").over(Window.partitionBy("o_custkey"))})
-    commit = F.expr("left(concat(md5(cast(o_custkey as string)), md5('x')), 40)")
-    place = F.concat(commit, F.lit(" "), _s("i"), F.lit(" "), _s("i"))
-    fields = F.when(F.col("i") == 1, F.concat(F.lit(" "), _s("n"), F.lit("\nauthor clerk "), _s("o_custkey"), F.lit("\nauthor-time 1700000000\nsummary s"))).otherwise("")
-    line = F.concat(place, fields, F.lit("\n\tline "), _s("o_orderkey"))
-    lines = text_lines(_joined(o, "o_custkey", ["o_orderkey"], line), "text", "o_custkey").withColumnRenamed("line_number", "pos")
-    return P.blame(lines, "o_custkey").select("o_custkey", "line_number", "commit_hash", "author", "line_text")
+    return P.blame(_blame(spark, sf_dir), "l_orderkey", now=F.lit(1717200000)).drop("author_time")
+
+
+@query("blame_addresses", BLAME.format(author="'c' || l_orderkey || '@x.org'"), "diff")
+def blame_addresses(spark, sf_dir):
+    """Attribution by address."""
+    return P.blame(_blame(spark, sf_dir), "l_orderkey", emails=True, now=F.lit(1717200000)).drop("author_time")
+
+
+@query("blame_truncated", "SELECT l_orderkey, CAST(i AS INT) AS line_number, n > 3 AS truncated FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE i <= 3", "diff", (Param("most", "integer", 3, minimum=1),))
+def blame_truncated(spark, sf_dir, most=3):
+    """The first lines of each file's attribution, and whether there are more."""
+    return S.cap_in_groups(P.blame(_blame(spark, sf_dir), "l_orderkey").select("l_orderkey", "line_number"), "l_orderkey", ["line_number"], most)
 
 
 @query("blame_forward_fill", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS signup_id FROM events", "diff")
@@ -264,3 +306,136 @@ def relative_date_bucket(spark, sf_dir):
     now = F.lit(1717200000)
     then = now - F.col("event_id") * F.col("event_id") % 100000000
     return table(spark, sf_dir, "events").select("event_id", relative_date(then, now).alias("ago"))
+
+
+def _shown(spark, sf_dir):
+    """What is shown for each order, by its number: a commit, a tag, a tree or a file."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 4
+    own = F.concat_ws("\n", F.lit(P.COMMIT_START), _hash(), F.expr("left(md5(cast(o_orderkey as string)), 7)"), F.concat(F.lit("order "), _s("o_orderkey")), F.lit(P.COMMIT_META), F.lit("Ann"), F.lit("<ann@x.org>"), F.lit("Bob"), F.concat(F.lit("<b"), _s("o_custkey"), F.lit("@x.org>")), F.lit("2024-01-01"), F.lit("a day ago"), F.lit("2024-01-02"), F.lit(P.COMMIT_END))
+    numbers = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 5 + 1).cast("int")), lambda i: F.concat(i.cast("string"), F.lit("\t2\tf"), i.cast("string"))), "\n")
+    tag = F.concat(F.lit("tag v"), _s("o_orderkey"), F.lit("\nTagger: Ann <ann@x.org>\nDate:   2024-01-01\n\nrelease "), "o_orderpriority", F.lit("\nmore\n\ncommit "), F.md5(_s("o_custkey")), F.lit(" (tag: x)\nAuthor: Ann\n"))
+    tree = F.concat(F.lit("100644 blob "), F.md5(_s("o_orderkey")), F.lit("\tsrc/"), _s("o_custkey"))
+    blob = F.concat(F.lit("first\nsecond "), "o_orderpriority", F.lit("\nthird"))
+    return o.select("o_orderkey", F.when(k == 0, F.concat(own, F.lit("\n\n"), numbers)).when(k == 1, tag).when(k == 2, tree).otherwise(blob).alias("shown"))
+
+
+@query("show_kinds", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'commit' WHEN 1 THEN 'tag' WHEN 2 THEN 'tree' ELSE 'blob' END AS type FROM orders", "records")
+def show_kinds(spark, sf_dir):
+    """What each shown object is, by its text."""
+    return _shown(spark, sf_dir).select("o_orderkey", P.shown_kind(F.col("shown")).alias("type"))
+
+
+SHOWN = f"SELECT o_orderkey, {HASH} AS hash, left(md5(CAST(o_orderkey AS VARCHAR)), 7) AS short_hash, 'order ' || o_orderkey AS subject, '' AS body, {{author}} AS author, {{committer}} AS committer, '2024-01-01' AS date, 'a day ago' AS date_relative, '2024-01-02' AS committer_date, CAST(least(n, 3) AS INT) AS files, CAST(CASE WHEN n = 1 THEN 1 WHEN n = 2 THEN 3 ELSE 6 END AS BIGINT) AS insertions, CAST(2 * least(n, 3) AS BIGINT) AS deletions, n > 3 AS truncated FROM (SELECT *, o_orderkey % 5 + 1 AS n FROM orders WHERE o_orderkey % 4 = 0)"
+
+
+@query("show_commit", SHOWN.format(author="'Ann'", committer="'Bob'"), "records", (Param("most_files", "integer", 3, minimum=1),))
+def show_commit(spark, sf_dir, most_files=3):
+    """Shown commits, with the totals of their first files."""
+    return P.shown_commits(_shown(spark, sf_dir), "shown", "o_orderkey", most_files=most_files)
+
+
+@query("show_commit_addresses", SHOWN.format(author="'ann@x.org'", committer="'b' || o_custkey || '@x.org'"), "records")
+def show_commit_addresses(spark, sf_dir):
+    """Shown commits by address."""
+    return P.shown_commits(_shown(spark, sf_dir), "shown", "o_orderkey", emails=True, most_files=3)
+
+
+@query("show_tag", "SELECT o_orderkey, true AS annotated, 'v' || o_orderkey AS name, 'Ann <ann@x.org>' AS tagger, '2024-01-01' AS date, 'release ' || o_orderpriority || chr(10) || 'more' AS message, 'release ' || o_orderpriority AS annotation, md5(CAST(o_custkey AS VARCHAR)) AS object FROM orders WHERE o_orderkey % 4 = 1", "records")
+def show_tag(spark, sf_dir):
+    """Headers of shown tags."""
+    own = _shown(spark, sf_dir)
+    return P.shown_tags(own.where(P.shown_kind(F.col("shown")) == "tag"), "shown", "o_orderkey")
+
+
+@query("show_blob", "SELECT o_orderkey, CAST(19 + length(o_orderpriority) AS INT) AS size, 'first|second ' || o_orderpriority AS lines, true AS truncated FROM orders WHERE o_orderkey % 4 = 3", "records", (Param("most_lines", "integer", 2, minimum=1),))
+def show_blob(spark, sf_dir, most_lines=2):
+    """The first lines of shown files."""
+    out = P.shown_blobs(_shown(spark, sf_dir), "shown", "o_orderkey", most_lines=most_lines)
+    return out.select("o_orderkey", "size", F.array_join("lines", "|").alias("lines"), "truncated")
+
+
+@query("show_tree", "SELECT o_orderkey, '100644' AS mode, 'blob' AS type, md5(CAST(o_orderkey AS VARCHAR)) AS hash, 'src/' || o_custkey AS path FROM orders WHERE o_orderkey % 4 = 2", "records")
+def show_tree(spark, sf_dir):
+    """Entries of shown trees."""
+    own = _shown(spark, sf_dir)
+    return P.tree(text_lines(own.where(P.shown_kind(F.col("shown")) == "tree"), "shown", "o_orderkey").drop("line_number"))
+
+
+@query("show_short", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 'blob' ELSE 'commit' END AS type, CASE WHEN o_orderkey % 3 = 0 THEN left(md5(CAST(o_orderkey AS VARCHAR)), 7) ELSE '' END AS short_hash, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '' END AS subject FROM orders", "records")
+def show_short(spark, sf_dir):
+    """Commits in one line, contents and nothing, told apart."""
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("\n"), F.expr("left(md5(cast(o_orderkey as string)), 7)"), F.lit(" "), "o_orderpriority", F.lit("\n"))).when(k == 1, "\n \n").otherwise(F.concat(F.lit("x = "), "o_orderpriority"))
+    return P.shown_short(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text", "o_orderkey")
+
+
+@query("stash_blocks", "SELECT o_orderkey, CAST(o_orderkey % 50 AS INT) AS \"index\", CASE WHEN o_orderkey % 2 = 0 THEN md5(CAST(o_orderkey AS VARCHAR)) ELSE '' END AS hash, 'On ' || o_orderstatus || ': ' || o_orderpriority AS message, CASE WHEN o_orderkey % 2 = 0 THEN '2024-01-01' ELSE '' END AS date, CASE WHEN o_orderkey % 2 = 0 THEN 'a day ago' ELSE '' END AS date_relative FROM orders", "records")
+def stash_blocks(spark, sf_dir):
+    """Stashes from blocks between marks, or from plain lines where there are none."""
+    name, message = F.concat(F.lit("stash@{"), (F.col("o_orderkey") % 50).cast("string"), F.lit("}")), F.concat(F.lit("On "), "o_orderstatus", F.lit(": "), "o_orderpriority")
+    block = F.concat_ws("\n", F.lit(P.STASH_START), name, F.md5(_s("o_orderkey")), message, F.lit("2024-01-01"), F.lit("a day ago"), F.lit(P.STASH_END))
+    text = F.when(F.col("o_orderkey") % 2 == 0, block).otherwise(F.concat(name, F.lit(": "), message))
+    return P.stash_blocks(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text", "o_orderkey")
+
+
+@query("stash_show", "SELECT l_orderkey, 'f/' || l_partkey AS path, CAST(l_quantity AS INT) AS additions, l_linenumber AS deletions FROM lineitem", "records")
+def stash_show(spark, sf_dir):
+    """Files of shown stashes."""
+    line = F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), _s("l_linenumber"), F.concat(F.lit("f/"), _s("l_partkey")))
+    return P.numstat(table(spark, sf_dir, "lineitem").select("l_orderkey", line.alias("line_text"))).select("l_orderkey", "path", "additions", "deletions")
+
+
+@query("remote_show", "SELECT s_suppkey, 'r' || s_suppkey AS name, 'https://h/' || s_suppkey AS fetch_url, CASE WHEN s_suppkey % 2 = 0 THEN 'ssh://h/' || s_suppkey END AS push_url, 'main' AS head_branch, 'main:tracked,b' || s_nationkey || ':' || CASE s_suppkey % 3 WHEN 0 THEN 'stale' WHEN 1 THEN 'new' ELSE 'tracked' END AS branches FROM supplier", "records")
+def remote_show(spark, sf_dir):
+    """Shown remotes with their branches."""
+    k = F.col("s_suppkey") % 3
+    state = F.when(k == 0, "stale (use 'git remote prune' to remove)").when(k == 1, "new (next fetch will store in remotes/r)").otherwise("tracked")
+    push = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("  Push  URL: ssh://h/"), _s("s_suppkey"), F.lit("\n"))).otherwise("")
+    text = F.concat(F.lit("* remote r"), _s("s_suppkey"), F.lit("\n  Fetch URL: https://h/"), _s("s_suppkey"), F.lit("\n"), push, F.lit("  HEAD branch: main\n  Remote branches:\n    main    tracked\n    b"), _s("s_nationkey"), F.lit("   "), state, F.lit("\n  Local branches configured for 'git pull':\n    main merges with remote main\n"))
+    out = P.head_and_branches(table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")), "text", "s_suppkey")
+    word = lambda b: F.concat(b["name"], F.lit(":"), F.when(b["stale"], "stale").when(b["new"], "new").when(b["tracked"], "tracked"))
+    return out.select("s_suppkey", "name", "fetch_url", "push_url", "head_branch", F.array_join(F.transform("tracked_branches", word), ",").alias("branches"))
+
+
+@query("remote_urls", "SELECT s_suppkey, 'https://h/' || s_suppkey AS fetch_url, CASE WHEN s_suppkey % 2 = 0 THEN 'ssh://h/' || s_suppkey END AS push_url FROM supplier", "records")
+def remote_urls(spark, sf_dir):
+    """Both addresses of remotes, where there are two."""
+    text = F.concat(F.lit("https://h/"), _s("s_suppkey"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("\nssh://h/"), _s("s_suppkey"))).otherwise(""), F.lit("\n"))
+    return P.remote_urls(table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")), "text", "s_suppkey", both=True)
+
+
+@query("cherry_flags", "SELECT o_orderkey, o_orderkey % 3 <> 0 AS has_conflicts, o_orderkey % 3 = 1 AS in_progress FROM orders", "records")
+def cherry_flags(spark, sf_dir):
+    """Which picks met conflicts, and which wait to be resolved."""
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, "").when(k == 1, "error: could not apply abc1234\nhint: after resolving the conflicts").otherwise("CONFLICT (content): Merge conflict in x")
+    return P.pick_flags(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text", "o_orderkey")
+
+
+@query("tags_truncated", "SELECT p_brand, name, n > 20 AS truncated FROM (SELECT p_brand, 'v' || p_partkey AS name, row_number() OVER (PARTITION BY p_brand ORDER BY 'v' || p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE i <= 20", "records", (Param("most", "integer", 20, minimum=1),))
+def tags_truncated(spark, sf_dir, most=20):
+    """The first tags of each repository, and whether there are more."""
+    tags = P.tags(table(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("v"), _s("p_partkey"), F.lit("    "), "p_name").alias("line_text")))
+    return S.cap_in_groups(tags.select("p_brand", "name"), "p_brand", ["name"], most)
+
+
+@query("branches_truncated", "SELECT c_nationkey, name, n > 10 AS truncated FROM (SELECT c_nationkey, 'b/' || c_custkey AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY 'b/' || c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE i <= 10", "records", (Param("most", "integer", 10, minimum=1),))
+def branches_truncated(spark, sf_dir, most=10):
+    """The first branches of each repository, and whether there are more."""
+    line = F.concat(F.lit("  b/"), _s("c_custkey"), F.lit("  "), F.expr("left(md5(cast(c_custkey as string)), 8)"), F.lit(" "), "c_mktsegment")
+    own = P.branches(table(spark, sf_dir, "customer").select("c_nationkey", line.alias("line_text")))
+    return S.cap_in_groups(own.select("c_nationkey", "name"), "c_nationkey", ["name"], most)
+
+
+@query("diff_truncate_files", "SELECT l_suppkey, file, n > 5 AS truncated FROM (SELECT l_suppkey, 'f' || l_orderkey AS file, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)) WHERE i <= 5", "diff", (Param("most", "integer", 5, minimum=1),))
+def diff_truncate_files(spark, sf_dir, most=5):
+    """The first files of each supplier's changes, and whether there are more."""
+    files = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey").distinct()
+    return S.cap_in_groups(files, "l_suppkey", ["l_orderkey"], most).select("l_suppkey", F.concat(F.lit("f"), _s("l_orderkey")).alias("file"), "truncated")
+
+
+@query("diff_line_budget", ITEMS + "h AS (SELECT l_orderkey, n, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS BIGINT) AS hunk, CASE WHEN n % 3 <> 0 THEN 3 ELSE 2 END AS lines FROM i), c AS (SELECT *, coalesce(sum(lines) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h) SELECT l_orderkey, hunk, '@@ -' || n * 10 || ',2 +' || n * 10 || ',2 @@' AS header, CAST(greatest(0, least(lines, 4 - before)) AS BIGINT) AS lines, lines > greatest(0, 4 - before) AS truncated FROM c", "diff", (Param("most", "integer", 4, minimum=0),))
+def diff_line_budget(spark, sf_dir, most=4):
+    """How many lines of each hunk are within its file's budget; headers of emptied hunks stay."""
+    return D.line_budget(_numbered(spark, sf_dir), "l_orderkey", most)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import basename, half_up
+from textloom.functions.text import half_up
+from textloom.operators import discovery as D
 from textloom.operators import rollup as U
+from textloom.operators import tabular as T
 from textloom.plans.params import Param
 from textloom.plans.registry import query
 from textloom.plans.search_queries import LINES, doc_lines
@@ -70,7 +71,7 @@ def benchmark_stats(spark, sf_dir):
 def diag_severity_counts(spark, sf_dir):
     """Errors and warnings of each source."""
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return d.groupBy("source").agg(F.count_if("toxic = 1").alias("errors"), F.count_if("toxic = 0 AND quality = 0").alias("warnings"), F.count("*").alias("total"))
+    return d.groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("errors"), F.count_if((F.col("toxic") == 0) & (F.col("quality") == 0)).alias("warnings"), F.count("*").alias("total"))
 
 
 @query("test_summary", "SELECT count(*) AS total, count(*) FILTER (WHERE event_type IN ('purchase', 'signup')) AS passed, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS skipped, round(sum(value), 3) AS duration FROM events", "rollup")
@@ -83,19 +84,18 @@ def test_summary(spark, sf_dir):
     )
 
 
-@query("process_list_sorted", "SELECT l_orderkey AS pid, l_linenumber AS thread, l_extendedprice AS cpu, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS INT) AS place FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100", "rollup")
+@query("process_list_sorted", "SELECT l_orderkey AS pid, l_linenumber AS thread, l_extendedprice AS cpu, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS place, l_partkey FROM lineitem", "rollup")
 def process_list_sorted(spark, sf_dir):
-    """The heaviest rows, in order."""
-    order = [F.desc("cpu"), F.col("pid"), F.col("thread")]
-    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pid"), F.col("l_linenumber").alias("thread"), F.col("l_extendedprice").alias("cpu"))
-    return p.orderBy(*order).limit(100).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    """All rows with their places, the heaviest first."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pid"), F.col("l_linenumber").alias("thread"), F.col("l_extendedprice").alias("cpu"), "l_partkey")
+    return T.ranked(p, [F.desc("cpu"), "pid", "thread", "l_partkey"])
 
 
-@query("process_filter", "SELECT l_orderkey AS pid, l_linenumber AS thread, l_shipmode_like AS command FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode_like FROM lineitem) WHERE l_shipmode_like LIKE 'R%' AND l_orderkey % 2 = 0", "rollup")
+@query("process_filter", "SELECT l_orderkey AS pid, l_linenumber AS thread, l_shipmode_like AS command FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode_like FROM lineitem) WHERE l_shipmode_like LIKE 'R%'", "rollup")
 def process_filter(spark, sf_dir):
     """Rows whose command begins with a text."""
     p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pid"), F.col("l_linenumber").alias("thread"), F.concat("l_returnflag", "l_linestatus").alias("command"))
-    return p.where(F.col("command").startswith("R") & (F.col("pid") % 2 == 0))
+    return p.where(F.col("command").startswith("R"))
 
 
 PATHS = "WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages) "
@@ -109,26 +109,58 @@ def _paths(spark, sf_dir):
 @query("file_find_pattern", PATHS + "SELECT page_id, path, regexp_extract(path, '([^/]+)/?$', 1) AS name FROM p WHERE regexp_matches(regexp_extract(path, '([^/]+)/?$', 1), '^[0-9]*7')", "discovery", (Param("regex", "string", "^[0-9]*7", min_length=1),))
 def file_find_pattern(spark, sf_dir, regex="^[0-9]*7"):
     """Paths whose last part matches."""
-    return _paths(spark, sf_dir).withColumn("name", basename(F.col("path"))).where(F.col("name").rlike(regex))
+    return D.find(_paths(spark, sf_dir), regex, hidden=True).drop("type")
 
 
-@query("file_find_ext_depth", PATHS + "SELECT page_id, path, CAST(len(string_split(path, '/')) - 1 AS INT) AS depth FROM p WHERE suffix(path, '.html') AND len(string_split(path, '/')) - 1 <= 2", "discovery")
-def file_find_ext_depth(spark, sf_dir):
+@query("file_find_ext_depth", PATHS + "SELECT page_id, path FROM p WHERE suffix(path, '.html') AND len(string_split(path, '/')) <= 3", "discovery", (Param("extension", "string", "html", min_length=1), Param("max_depth", "integer", 3, minimum=1)))
+def file_find_ext_depth(spark, sf_dir, extension="html", max_depth=3):
     """Paths by extension and depth."""
-    p = _paths(spark, sf_dir).withColumn("depth", F.size(F.split("path", "/")) - 1)
-    return p.where(F.col("path").endswith(".html") & (F.col("depth") <= 2))
+    return D.find(_paths(spark, sf_dir), extension=extension, max_depth=max_depth, hidden=True).select("page_id", "path")
+
+
+@query("file_find_listed", PATHS + "SELECT page_id, path, regexp_extract(path, '([^/]+)/?$', 1) AS name, CASE WHEN suffix(path, '/') THEN 'directory' ELSE 'file' END AS type FROM p", "discovery")
+def file_find_listed(spark, sf_dir):
+    """Paths with name and kind."""
+    return D.listed(_paths(spark, sf_dir))
 
 
 @query("file_find_type", PATHS + "SELECT CASE WHEN suffix(path, '/') THEN 'directory' ELSE 'file' END AS type, count(*) AS n FROM p GROUP BY 1", "discovery")
 def file_find_type(spark, sf_dir):
     """How many paths are directories."""
-    return _paths(spark, sf_dir).groupBy(F.when(F.col("path").endswith("/"), "directory").otherwise("file").alias("type")).agg(F.count("*").alias("n"))
+    return D.listed(_paths(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("file_find_exclude", PATHS + "SELECT page_id, path FROM p WHERE path NOT LIKE '%/en/%' AND path NOT LIKE 'blog.%'", "discovery")
-def file_find_exclude(spark, sf_dir):
+@query("file_find_exclude", PATHS + "SELECT page_id, path FROM p WHERE path NOT LIKE '%/en/%' AND path NOT LIKE 'blog.%'", "discovery", (Param("exclude", "array", ("**/en/**", "blog.**/**")),))
+def file_find_exclude(spark, sf_dir, exclude=("**/en/**", "blog.**/**")):
     """Paths outside of some globs."""
-    return _paths(spark, sf_dir).where(~F.col("path").like("%/en/%") & ~F.col("path").like("blog.%"))
+    return D.by_globs(_paths(spark, sf_dir), "path", (), tuple(exclude))
+
+
+FILES = "WITH f AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '.git/' || doc_id ELSE source || '/' || doc_id || '.txt' END AS path, n_chars AS size, 1717200000 - doc_id * 3600 % 2592000 AS modified FROM documents) "
+
+
+def _files(spark, sf_dir):
+    path = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit(".git/"), F.col("doc_id").cast("string"))).otherwise(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.col("n_chars").alias("size"), (F.lit(1717200000) - F.col("doc_id") * 3600 % 2592000).alias("modified"))
+
+
+@query("file_find_size_time", FILES + "SELECT doc_id, path FROM f WHERE path NOT LIKE '.git/%' AND size >= 2000 AND modified >= 1717200000 - 604800 AND modified < 1717200000 - 86400", "discovery", (Param("size", "string", "+2k"), Param("changed_within", "string", "7d"), Param("changed_before", "string", "1d")))
+def file_find_size_time(spark, sf_dir, size="+2k", changed_within="7d", changed_before="1d"):
+    """Files by size and time of change, hidden ones left out."""
+    return D.find(_files(spark, sf_dir), size=size, changed_within=changed_within, changed_before=changed_before, now=F.lit(1717200000)).select("doc_id", "path")
+
+
+@query("file_find_hidden", FILES + "SELECT doc_id, path FROM f WHERE path LIKE '.git/%' AND size <= 1000", "discovery")
+def file_find_hidden(spark, sf_dir):
+    """Small hidden files."""
+    return D.by_globs(D.find(_files(spark, sf_dir), hidden=True, size="-1k"), "path", (".git/*",)).select("doc_id", "path")
+
+
+@query("files_by_time", FILES + "SELECT doc_id, row_number() OVER (ORDER BY modified DESC, doc_id) AS place FROM f", "discovery", (Param("key", "string", "modified", enum=("path", "size", "modified")), Param("descending", "boolean", True)))
+def files_by_time(spark, sf_dir, key="modified", descending=True):
+    """All files with their places by a key."""
+    f = _files(spark, sf_dir)
+    return T.ranked(f, [F.desc(key) if descending else F.asc(key), "doc_id"]).select("doc_id", "place")
 
 
 @query("dir_rank_top1", PATHS + "SELECT string_split(path, '/')[1] AS path, count(*) AS score FROM p GROUP BY 1 ORDER BY score DESC, 1 LIMIT 1", "discovery")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import pattern
+from textloom.functions.text import glob, pattern, replacement
+from textloom.operators import discovery as D
 from textloom.operators import replace as R
 from textloom.operators import search as S
+from textloom.operators import tabular as T
 from textloom.plans.params import Param
 from textloom.plans.registry import query
 from textloom.sources.tables import table, text_lines
@@ -18,8 +19,12 @@ MATCH = "doc_id, line_number, CAST(strlen(regexp_extract(line_text, '^(.*?)({0})
 ENGLISH = "[Tt]h[a-z]+tion"
 
 
+def docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+
+
 def doc_lines(spark, sf_dir):
-    return text_lines(table(spark, sf_dir, "documents"), "text", "doc_id", "lang", "source")
+    return text_lines(docs(spark, sf_dir), "text", "doc_id", "lang", "source")
 
 
 def _matches(found, *more):
@@ -29,19 +34,19 @@ def _matches(found, *more):
 @query("search_regex", LINES + f"SELECT {MATCH.format(ENGLISH)}, line_text FROM l WHERE regexp_matches(line_text, '{ENGLISH}')", "search", (Param("regex", "string", ENGLISH, min_length=1),))
 def search_regex(spark, sf_dir, regex=ENGLISH):
     """First match of a pattern in each line, with byte offsets."""
-    return _matches(S.search(doc_lines(spark, sf_dir), pattern(regex)), "line_text")
+    return _matches(S.search_files(docs(spark, sf_dir), pattern(regex)), "line_text")
 
 
 @query("search_literal", LINES + f"SELECT {MATCH.format('ng. ').replace('ng. ', 'ng[.] ')} FROM l WHERE contains(line_text, 'ng. ')", "search", (Param("text", "string", "ng. ", min_length=1),))
 def search_literal(spark, sf_dir, text="ng. "):
     """First occurrence of a literal text in each line."""
-    return _matches(S.search(doc_lines(spark, sf_dir), pattern(text, literal=True)))
+    return _matches(S.search_files(docs(spark, sf_dir), pattern(text, literal=True)))
 
 
 @query("search_ignore_case", LINES + f"SELECT {MATCH.format('(?i)the (of|and)')} FROM l WHERE regexp_matches(line_text, '(?i)the (of|and)')".replace("'^(.*?)((?i)the", "'(?i)^(.*?)(the"), "search")
 def search_ignore_case(spark, sf_dir):
     """Search in any case."""
-    return _matches(S.search(doc_lines(spark, sf_dir), pattern("the (of|and)", ignore_case=True)))
+    return _matches(S.search_files(docs(spark, sf_dir), pattern("the (of|and)", ignore_case=True)))
 
 
 @query(
@@ -51,7 +56,7 @@ def search_ignore_case(spark, sf_dir):
 )
 def search_word(spark, sf_dir):
     """Search for a whole (ASCII) word."""
-    return S.search(doc_lines(spark, sf_dir), pattern("on", word=True)).select("doc_id", "line_number", "column_start")
+    return S.search_files(docs(spark, sf_dir), pattern("on", word=True)).select("doc_id", "line_number", "column_start")
 
 
 @query("search_multiline", "SELECT doc_id, CAST(strlen(regexp_extract(text, '(?s)^(.*?)(er[.].Th[a-z]+)', 1)) AS INT) AS column_start, regexp_extract(text, '(?s)(er[.].Th[a-z]+)', 1) AS match_text FROM documents WHERE regexp_matches(text, '(?s)er[.].Th[a-z]+')", "search")
@@ -63,45 +68,50 @@ def search_multiline(spark, sf_dir):
 @query("search_file_types", LINES + f"SELECT lang, {MATCH.format('sch')} FROM l WHERE lang IN ('de', 'fr') AND contains(line_text, 'sch')", "search", (Param("types", "array", ("de", "fr")),))
 def search_file_types(spark, sf_dir, types=("de", "fr")):
     """Search in files of some types only."""
-    return S.search(doc_lines(spark, sf_dir).where(F.col("lang").isin(*types)), pattern("sch", literal=True)).select("lang", "doc_id", "line_number", "column_start", "column_end", "match_text")
+    return S.search_files(docs(spark, sf_dir).where(F.col("lang").isin(*types)), pattern("sch", literal=True)).select("lang", "doc_id", "line_number", "column_start", "column_end", "match_text")
 
 
 @query("search_ignore_globs", LINES + f"SELECT source, {MATCH.format('ough')} FROM l WHERE source NOT LIKE 'src1%' AND contains(line_text, 'ough')".replace("ough", "thou"), "search")
 def search_ignore_globs(spark, sf_dir):
     """Search outside of the sources that a glob names."""
-    return S.search(doc_lines(spark, sf_dir).where(~F.col("source").like("src1%")), pattern("thou", literal=True)).select("source", "doc_id", "line_number", "column_start", "column_end", "match_text")
+    return S.search_files(docs(spark, sf_dir).where(~F.col("source").rlike(glob("src1*"))), pattern("thou", literal=True)).select("source", "doc_id", "line_number", "column_start", "column_end", "match_text")
 
 
 @query("search_max_per_file", LINES + "SELECT doc_id, line_number, line_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS n FROM l WHERE regexp_matches(line_text, '[a-z]+tion')) WHERE n <= 3", "search", (Param("most", "integer", 3, minimum=1),))
 def search_max_per_file(spark, sf_dir, most=3):
     """The first matching lines of each file."""
-    return S.cap_per_file(doc_lines(spark, sf_dir).where(F.col("line_text").rlike("[a-z]+tion")), "doc_id", "line_number", most).select("doc_id", "line_number", "line_text")
+    return S.matching_lines(docs(spark, sf_dir).select("doc_id", "text"), "[a-z]+tion", most=most)
 
 
 @query("search_summary", LINES + "SELECT count(*) FILTER (WHERE contains(line_text, 'tion')) AS total_matches, count(DISTINCT doc_id) FILTER (WHERE contains(line_text, 'tion')) AS files_with_matches, count(DISTINCT doc_id) AS files_searched FROM l", "search")
 def search_summary(spark, sf_dir):
     """Totals of a search."""
-    lines = doc_lines(spark, sf_dir)
-    return S.summary(lines, lines.where(F.col("line_text").contains("tion")), "doc_id")
+    return S.summary(docs(spark, sf_dir), "tion")
+
+
+@query("search_glob", LINES + "SELECT source, doc_id, line_number FROM l WHERE regexp_full_match(source, 'src(1[0-4]|[^/])') AND NOT regexp_full_match(source, 'src[^/]*5') AND contains(line_text, 'oution')", "search", (Param("include", "array", ("src{1[0-4],?}",)), Param("exclude", "array", ("**/src*5",))))
+def search_glob(spark, sf_dir, include=("src{1[0-4],?}",), exclude=("**/src*5",)):
+    """Search in the sources that some globs name and others don't."""
+    own = D.by_globs(docs(spark, sf_dir), "source", include, exclude)
+    return S.matching_lines(own.select("source", "doc_id", "text"), "oution").select("source", "doc_id", "line_number")
 
 
 @query("search_truncated_topk", LINES + "SELECT doc_id, line_number, true AS truncated FROM l WHERE contains(line_text, 'tion') ORDER BY doc_id, line_number LIMIT 100", "search", (Param("most", "integer", 100, minimum=1),))
 def search_truncated_topk(spark, sf_dir, most=100):
     """The first matches in file and line order, and whether there are more."""
-    return S.cap(doc_lines(spark, sf_dir).where(F.col("line_text").contains("tion")).select("doc_id", "line_number"), ["doc_id", "line_number"], most)
+    return S.cap(S.matching_lines(docs(spark, sf_dir).select("doc_id", "text"), "tion").drop("line_text"), ["doc_id", "line_number"], most)
 
 
-@query("search_sort_path", "SELECT url, page_id, row_number() OVER (ORDER BY url, page_id) AS place FROM pages WHERE contains(html, 'tion') ORDER BY url, page_id LIMIT 200", "search")
+@query("search_sort_path", "SELECT url, page_id, row_number() OVER (ORDER BY url, page_id) AS place FROM pages WHERE contains(html, 'tion')", "search")
 def search_sort_path(spark, sf_dir):
-    """The first matching pages in the order of their paths."""
-    found = table(spark, sf_dir, "pages").where(F.col("html").contains("tion")).select("url", "page_id").orderBy("url", "page_id").limit(200)
-    return found.withColumn("place", F.row_number().over(Window.orderBy("url", "page_id")).cast("long"))
+    """Matching pages with their places in the order of their paths."""
+    return T.ranked(table(spark, sf_dir, "pages").where(F.col("html").contains("tion")).select("url", "page_id"), ["url", "page_id"])
 
 
 @query("search_count_occurrences", LINES + "SELECT doc_id, line_number, CAST(len(regexp_extract_all(line_text, 'th[a-z]')) AS BIGINT) AS occurrences FROM l WHERE regexp_matches(line_text, 'th[a-z]')", "search")
 def search_count_occurrences(spark, sf_dir):
     """All matches of each line, counted."""
-    return doc_lines(spark, sf_dir).where(F.col("line_text").rlike("th[a-z]")).select("doc_id", "line_number", F.regexp_count("line_text", F.lit("th[a-z]")).cast("long").alias("occurrences"))
+    return S.matching_lines(docs(spark, sf_dir), "th[a-z]").select("doc_id", "line_number", F.regexp_count("line_text", F.lit("th[a-z]")).cast("long").alias("occurrences"))
 
 
 @query("search_html_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links FROM pages", "search")
@@ -128,7 +138,7 @@ CONTEXT = LINES + ", c AS (SELECT *, lag(line_text) OVER w AS b1, lag(line_text,
 @query("search_context_before_after", CONTEXT, "search")
 def search_context_before_after(spark, sf_dir):
     """Matches with two lines before and one behind."""
-    found = S.with_context(doc_lines(spark, sf_dir), "oution", "doc_id", 2, 1)
+    found = S.with_context(docs(spark, sf_dir), "oution", 2, 1)
     return found.select("doc_id", "line_number", "line_text", F.concat_ws("|", "context_before").alias("context_before"), F.concat_ws("|", "context_after").alias("context_after"))
 
 
@@ -138,9 +148,7 @@ NEAREST = LINES + ", m AS (SELECT doc_id, line_number AS match_line FROM l WHERE
 @query("context_nearest", NEAREST, "search")
 def context_nearest(spark, sf_dir):
     """Every line without a match goes to the nearest match of its file."""
-    lines = doc_lines(spark, sf_dir)
-    hit = F.col("line_text").contains("oution")
-    return S.nearest_match(lines.where(~hit), lines.where(hit), "doc_id")
+    return S.nearest_in_file(docs(spark, sf_dir).select("doc_id", "text"), "oution")
 
 
 @query("replace_manifest", "SELECT doc_id, CAST(len(regexp_extract_all(text, 'tion')) AS BIGINT) AS replacements_count, contains(text, 'tion') AS modified, md5(replace(text, 'tion', 'TION')) AS new_md5 FROM documents", "replace")
@@ -155,13 +163,69 @@ def replace_totals(spark, sf_dir):
     return R.totals(R.manifest(table(spark, sf_dir, "documents"), "doc_id", "text", "tion", "TION"))
 
 
-CAPPED = LINES + f"SELECT * FROM (SELECT {MATCH.format('[a-z]+tion').replace('match_text', 'original_text')}, regexp_replace(regexp_extract(line_text, '([a-z]+tion)', 1), 'tion$', 'TION') AS replaced_text, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS n FROM l WHERE regexp_matches(line_text, '[a-z]+tion')) WHERE n <= 2"
+def _all_matches(regex, new):
+    """SQL of all matches m.k of each line, with byte offsets: ``new`` states the replacing text of ms[k]."""
+    return LINES + (
+        f", m AS (SELECT doc_id, line_number, regexp_extract_all(line_text, '{regex}') AS ms, regexp_split_to_array(line_text, '{regex}') AS ps FROM l WHERE regexp_matches(line_text, '{regex}')), k AS (SELECT *, unnest(generate_series(1, len(ms))) AS k FROM m), "
+        f"r AS (SELECT doc_id, line_number, k, CAST(list_sum([strlen(x) for x in ps[1:k]]) + coalesce(list_sum([strlen(x) for x in ms[1:k - 1]]), 0) AS INT) AS column_start, ms[k] AS original_text, {new} AS replaced_text FROM k) "
+    )
+
+
+REPLACED = "doc_id, line_number, column_start, CAST(column_start + strlen(original_text) AS INT) AS column_end, original_text, replaced_text"
+TIONS = _all_matches("[a-z]+tion", "regexp_replace(ms[k], 'tion$', 'TION')")
 
 
-@query("replace_capped", CAPPED.replace("SELECT * FROM (", "SELECT doc_id, line_number, column_start, column_end, original_text, replaced_text FROM ("), "replace", (Param("most", "integer", 2, minimum=1),))
+@query("replace_all_matches", TIONS + f"SELECT {REPLACED} FROM r", "replace")
+def replace_all_matches(spark, sf_dir):
+    """Every replacement of every line, with offsets."""
+    return R.replacements(docs(spark, sf_dir).select("doc_id", "text"), "([a-z]+)tion", "$1TION")
+
+
+@query("replace_capped", TIONS + f"SELECT {REPLACED} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_number, k) AS n FROM r) WHERE n <= 2", "replace", (Param("most", "integer", 2, minimum=1),))
 def replace_capped(spark, sf_dir, most=2):
     """The first replacements of each file, with offsets."""
-    return R.replacements(doc_lines(spark, sf_dir), "doc_id", "([a-z]+)tion", "$1TION", most)
+    return R.replacements(docs(spark, sf_dir).select("doc_id", "text"), "([a-z]+)tion", "$1TION", most=most)
+
+
+@query("replace_literal", _all_matches("[.] The", "'$1 \\'") + f"SELECT {REPLACED} FROM r", "replace", (Param("text", "string", ". The", min_length=1), Param("new", "string", "$1 \\")))
+def replace_literal(spark, sf_dir, text=". The", new="$1 \\"):
+    """Every replacement of a literal text by another, in which $ and \\ mean nothing."""
+    return R.replacements(docs(spark, sf_dir).select("doc_id", "text"), pattern(text, literal=True), replacement(new, literal=True))
+
+
+@query("replace_lookahead", _all_matches("th(?:at|e)", "'<>'").replace("FROM k)", "FROM k WHERE prefix(ps[k + 1], ' a'))") + f"SELECT {REPLACED} FROM r", "replace")
+def replace_lookahead(spark, sf_dir):
+    """Matches that depend on what follows them, which isn't replaced."""
+    return R.replacements(docs(spark, sf_dir).select("doc_id", "text"), "th(?:at|e)(?= a)", "<>")
+
+
+WORDS = "SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)(^|[^0-9A-Za-z_])(on[^0-9A-Za-z_])*on($|[^0-9A-Za-z_])')) AS BIGINT) > 0 AS modified FROM documents"
+
+
+@query("replace_word_ignore_case", WORDS, "replace")
+def replace_word_ignore_case(spark, sf_dir):
+    """Files in which a whole word, in any case, would be replaced."""
+    return R.manifest(docs(spark, sf_dir), "doc_id", "text", pattern("on", ignore_case=True, word=True), "ON").select("doc_id", "modified")
+
+
+@query("replace_dotall", "SELECT doc_id, md5(regexp_replace(text, '(?s)er[.].Th', 'er. Th', 'g')) AS new_md5 FROM documents", "replace")
+def replace_dotall(spark, sf_dir):
+    """A replacement across line ends."""
+    return R.manifest(docs(spark, sf_dir), "doc_id", "text", pattern("er[.].Th", multiline=True), "er. Th").select("doc_id", F.md5("new_text").alias("new_md5"))
+
+
+CHANGES = LINES + (
+    ", f AS (SELECT DISTINCT doc_id FROM l ORDER BY doc_id LIMIT 100), c AS (SELECT doc_id, sum(len(regexp_extract_all(line_text, 'oution'))) AS n, count(*) FILTER (WHERE contains(line_text, 'oution')) AS shown FROM l GROUP BY doc_id) "
+    "SELECT doc_id, CAST(n AS BIGINT) AS replacements_count, n > 0 AS modified, CASE WHEN n > 0 THEN CAST(n AS INT) END AS n_replacements, CASE WHEN n > 0 THEN CAST(shown AS INT) END AS n_preview, (SELECT count(*) FROM documents) > 100 AS truncated FROM f JOIN c USING (doc_id)"
+)
+
+
+@query("replace_change_manifest", CHANGES, "replace", (Param("most_files", "integer", 100, minimum=1), Param("dry_run", "boolean", True)))
+def replace_change_manifest(spark, sf_dir, most_files=100, dry_run=True):
+    """Changes of the first files: nothing is listed where nothing would change."""
+    out = R.change_manifest(docs(spark, sf_dir), "doc_id", "oution", "<>", most_files=most_files, dry_run=dry_run)
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return out.select("doc_id", "replacements_count", "modified", size("replacements").alias("n_replacements"), size("preview").alias("n_preview"), "truncated")
 
 
 @query("replace_groups", "SELECT doc_id, md5(regexp_replace(text, '([a-z]+)ing ([a-z]+)', '\\2 \\1ing', 'g')) AS new_md5 FROM documents", "replace")
@@ -176,4 +240,4 @@ PREVIEW = LINES + ", c AS (SELECT *, lag(line_text) OVER w AS context_before, le
 @query("replace_preview", PREVIEW, "replace")
 def replace_preview(spark, sf_dir):
     """What a dry run shows."""
-    return R.preview(doc_lines(spark, sf_dir), "doc_id", "oution", "<>")
+    return R.preview(docs(spark, sf_dir).select("doc_id", "text"), "oution", "<>")

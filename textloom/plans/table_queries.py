@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.operators import jsonq as J
@@ -36,11 +35,10 @@ def csv_slice(spark, sf_dir, start=100, end=150):
     return T.slice_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], start, end)
 
 
-@query("csv_sort", "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 500", "tabular")
+@query("csv_sort", "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer", "tabular")
 def csv_sort(spark, sf_dir):
-    """The first rows by balance."""
-    top = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(500)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long"))
+    """All rows with their places by balance."""
+    return T.ranked(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), [F.desc("c_acctbal"), "c_custkey"])
 
 
 @query("csv_dedup", "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem", "tabular")
@@ -140,15 +138,14 @@ def ndjson_skip_bad(spark, sf_dir):
     return json_records(lines, "line").select("event_id", J.path(F.col("record"), "$.k", "int").alias("k"))
 
 
-STREAM = "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS pos, replace(props, ' ', '') AS value FROM events"
+STREAM = "SELECT event_id, 1 AS pos, replace(props, ' ', '') AS value, event_id % 9 <> 0 AS complete FROM events UNION ALL SELECT event_id, 2, '{\"b\":[1,null],\"a\":\"}\"}', event_id % 9 <> 0 FROM events UNION ALL SELECT event_id, 3, '30', true FROM events WHERE event_id % 9 <> 0"
 
 
 @query("json_stream", STREAM, "json")
 def json_stream(spark, sf_dir):
-    """JSON values one behind the other, compact or over several lines, as rows."""
-    e = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.regexp_replace("props", ":", ":\n  "))).alias("x"))
-    texts = e.groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return J.stream_values(texts.select("user_id", F.concat_ws(" ", F.transform("xs", lambda x: x["col2"])).alias("text")), "text")
+    """JSON values one behind the other, compact or over several lines, as rows; complete: whether the whole text was read."""
+    text = F.concat(F.regexp_replace("props", ":", ":\n  "), F.lit(' {"b": [1,\n null], "a": "}"} '), F.when(F.col("event_id") % 9 == 0, "nothing").otherwise("30"))
+    return J.stream_values(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "text")
 
 
 @query("xml_query", "SELECT event_id, event_type AS kind, round(value, 2) AS value FROM events WHERE event_type <> 'error'", "json")
