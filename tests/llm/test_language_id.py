@@ -25,6 +25,48 @@ def test_probabilities_sum_to_one():
         assert all(math.isclose(t, 1, rel_tol=1e-4) for t in total)
 
 
+def by_hand(counts, order):
+    """Interpolated Kneser-Ney by the definition, one probability after the other, for one language."""
+    tables = {order: dict(counts)}
+    for k in range(order - 1, 0, -1):
+        tables[k] = {}
+        for g in tables[k + 1]:
+            tables[k][g[1:]] = tables[k].get(g[1:], 0) + 1
+    size = max(2, len(tables[1])) + 1
+
+    def p(gram):
+        if not gram:
+            return 1 / size
+        t = tables[len(gram)]
+        once, twice = (sum(v == c for v in t.values()) for c in (1, 2))
+        off = once / (once + 2 * twice) if once and twice else L.DISCOUNT
+        own = [v for g, v in t.items() if g[:-1] == gram[:-1]]
+        if not own:
+            return p(gram[1:])
+        return max(t.get(gram, 0) - off, 0) / sum(own) + off * len(own) / sum(own) * p(gram[1:])
+
+    return p
+
+
+def test_probabilities_equal_the_definition():
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    text = "".join(r.choices("abcde ", [5, 4, 3, 2, 1, 3], k=400))
+    counts = {}
+    for i in range(len(text) - L.ORDER + 1):
+        g = text[i : i + L.ORDER]
+        counts[g] = counts.get(g, 0) + 1
+    models = L.kneser_ney({("a", g): n for g, n in counts.items()}, ["a"])
+    p = by_hand(counts, L.ORDER)
+    for _ in range(300):
+        g = "".join(r.choices("abcdef ", k=L.ORDER))
+        got = models.log_probabilities(np.array([ord(c) for c in g], dtype=np.uint32))[-1, 0]
+        assert math.isclose(math.exp(float(got)), p(g), rel_tol=1e-4), g
+
+
 def test_odd_rows(spark):
     docs = frame(spark, [(i, "the cat sat on the mat and the dog") for i in range(30)])
     models = L.train(docs)

@@ -27,11 +27,13 @@ ORDER = 5
 TRAIN_DOCS = 3000
 #: Of these, every eighth is kept out of the counts to calibrate the rejection.
 CALIBRATE = 8
+#: The discount of an order in which no gram stands once or twice.
 DISCOUNT = 0.75
 SPACE = 32
 CHUNK_CHARS = 1 << 19
-#: Standard deviations above the mean at which a text is rejected.
-REJECT = 16.0
+#: A text is rejected if its cross-entropy lies further above the mean, in standard deviations, than that of any held-out
+#: text of its language, by so much; and by LEAST at least. With fewer held-out texts than ENOUGH nothing is rejected.
+BEYOND, LEAST, ENOUGH = 1.25, 4.0, 10
 
 #: Columns that ``identify`` adds.
 JUDGED = ("lang_pred", "score", "entropy", "rejected")
@@ -100,7 +102,8 @@ class HashArray:
 @dataclass
 class Models:
     """Log probabilities of grams by order (rows of a HashArray, one column a language), weights of contexts for grams
-    unseen in every language, and for each language mean, variance and variance per character of held-out texts."""
+    unseen in every language, and for each language mean, variance and variance per character of held-out texts, and how many
+    standard deviations above the mean a text is rejected."""
 
     langs: list[str]
     grams: list[HashArray]
@@ -161,11 +164,17 @@ class Models:
         # Neighbouring characters depend on each other: the evidence counts as that of the root of so many.
         odds = np.exp(-np.minimum((h - low[:, None]) * np.sqrt(np.maximum(n, 1))[:, None], 50))
         score = np.where(n > 0, 1 / odds.sum(axis=1), 0.0)
-        mean, var, per_char = self.usual[best].T
-        rejected = (n == 0) | (low > mean + REJECT * np.sqrt(var + per_char / np.maximum(n, 1)))
+        mean, var, per_char, limit = self.usual[best].T
+        rejected = (n == 0) | ((low - mean) / np.sqrt(var + per_char / np.maximum(n, 1)) > limit)
         return [self.langs[b] if m else "und" for b, m in zip(best, n, strict=True)], score, np.where(n > 0, low, 0.0), rejected
 
 
+def discount(n: np.ndarray) -> float:
+    """What is taken off each count: estimated from how many grams stand once and twice."""
+    once, twice = int((n == 1).sum()), int((n == 2).sum())
+    return once / (once + 2 * twice) if once and twice else DISCOUNT
+
+
 def kneser_ney(counts: dict[tuple[str, str], int], langs: list[str]) -> Models:
     """Models from (language, gram of ORDER characters) -> count. Lower orders count the different characters before a gram."""
     strings = {lang: {} for lang in langs}
@@ -203,16 +212,17 @@ def kneser_ney(counts: dict[tuple[str, str], int], langs: list[str]) -> Models:
             seen[own] = n
             total = np.bincount(head_of, seen, minlength=len(heads))
             kinds = np.bincount(head_of, seen > 0, minlength=len(heads))
+            off = discount(n)
             with np.errstate(divide="ignore", invalid="ignore"):
-                weight[:, j] = np.where(total > 0, DISCOUNT * kinds / total, 1.0)
-                p[:, j] = np.where(total[head_of] > 0, np.maximum(seen - DISCOUNT, 0) / total[head_of], 0) + weight[head_of, j] * below[:, j]
+                weight[:, j] = np.where(total > 0, off * kinds / total, 1.0)
+                p[:, j] = np.where(total[head_of] > 0, np.maximum(seen - off, 0) / total[head_of], 0) + weight[head_of, j] * below[:, j]
         lower = HashArray(keys, np.log(np.maximum(p, 1e-12)).astype(np.float32))
         grams.append(lower)
         if order > 1:
             contexts.append(HashArray(head_keys, np.log(weight).astype(np.float32)))
         else:
             unknown = np.log(weight[0] / size)
-    return Models(langs, grams, contexts, unknown.astype(np.float32), np.tile([0.0, 1.0, 0.0], (len(langs), 1)))
+    return Models(langs, grams, contexts, unknown.astype(np.float32), np.tile([0.0, 1.0, 0.0, math.inf], (len(langs), 1)))
 
 
 def _row_hashes(rows: np.ndarray) -> np.ndarray:
@@ -248,7 +258,7 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Models:
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return Models([], [], [], np.zeros(0), np.zeros((0, 3)))
+        return Models([], [], [], np.zeros(0), np.zeros((0, 4)))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, train_docs / sizes[lang]))])
     chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     aside = F.pmod(F.shiftright("h", 24), F.lit(CALIBRATE)) == 0
@@ -265,13 +275,14 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Models:
     got = chosen.where(aside).select("lang", "text").mapInArrow(own_entropy, "lang long, h double, n long").toPandas()
     for j in range(len(langs)):
         h, n = got.loc[got["lang"] == j, "h"].to_numpy(), np.maximum(got.loc[got["lang"] == j, "n"].to_numpy(), 1)
-        if len(h) < 10:
-            models.usual[j] = (math.inf, 1.0, 0.0)  # too few to reject anything
+        if len(h) < ENOUGH:
             continue
         mean = np.average(h, weights=n)
         off = (h - mean) ** 2
         per_char = float(np.median(off * n)) / 0.455  # the median of a squared standard normal value
-        models.usual[j] = (mean, float(np.median(off)) / 0.455, max(per_char, 1.0))
+        var, per_char = float(np.median(off)) / 0.455, max(per_char, 1.0)
+        furthest = float(((h - mean) / np.sqrt(var + per_char / n)).max())
+        models.usual[j] = (mean, var, per_char, max(LEAST, BEYOND * furthest))
     shared.unpersist()
     return models
 
