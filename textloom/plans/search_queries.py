@@ -163,11 +163,11 @@ def replace_totals(spark, sf_dir):
     return R.totals(R.manifest(table(spark, sf_dir, "documents"), "doc_id", "text", "tion", "TION"))
 
 
-def _all_matches(regex, new):
-    """SQL of all matches m.k of each line, with byte offsets: ``new`` states the replacing text of ms[k]."""
+def _all_matches(regex, new, old="ms[k]"):
+    """SQL of all matches ms[k] of each line, with byte offsets: ``old`` states the part that is replaced, ``new`` by what."""
     return LINES + (
         f", m AS (SELECT doc_id, line_number, regexp_extract_all(line_text, '{regex}') AS ms, regexp_split_to_array(line_text, '{regex}') AS ps FROM l WHERE regexp_matches(line_text, '{regex}')), k AS (SELECT *, unnest(generate_series(1, len(ms))) AS k FROM m), "
-        f"r AS (SELECT doc_id, line_number, k, CAST(list_sum([strlen(x) for x in ps[1:k]]) + coalesce(list_sum([strlen(x) for x in ms[1:k - 1]]), 0) AS INT) AS column_start, ms[k] AS original_text, {new} AS replaced_text FROM k) "
+        f"r AS (SELECT doc_id, line_number, k, CAST(list_sum([strlen(x) for x in ps[1:k]]) + coalesce(list_sum([strlen(x) for x in ms[1:k - 1]]), 0) AS INT) AS column_start, {old} AS original_text, {new} AS replaced_text FROM k) "
     )
 
 
@@ -193,7 +193,7 @@ def replace_literal(spark, sf_dir, text=". The", new="$1 \\"):
     return R.replacements(docs(spark, sf_dir).select("doc_id", "text"), pattern(text, literal=True), replacement(new, literal=True))
 
 
-@query("replace_lookahead", _all_matches("th(?:at|e)", "'<>'").replace("FROM k)", "FROM k WHERE prefix(ps[k + 1], ' a'))") + f"SELECT {REPLACED} FROM r", "replace")
+@query("replace_lookahead", _all_matches("th(?:at|e) a", "'<>'", "left(ms[k], length(ms[k]) - 2)") + f"SELECT {REPLACED} FROM r", "replace")
 def replace_lookahead(spark, sf_dir):
     """Matches that depend on what follows them, which isn't replaced."""
     return R.replacements(docs(spark, sf_dir).select("doc_id", "text"), "th(?:at|e)(?= a)", "<>")

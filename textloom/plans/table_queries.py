@@ -55,14 +55,14 @@ def csv_frequency(spark, sf_dir, column="event_type"):
 
 def _stats_sql(c: str) -> str:
     x = f"CAST({c} AS DOUBLE)"
-    return f"SELECT '{c}' AS field, count({x}) AS n, count(*) - count({x}) AS nulls, min({x}) AS min, max({x}) AS max, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS stddev, median({x}) AS median, count(DISTINCT {x}) AS \"distinct\" FROM lineitem"
+    return f"SELECT '{c}' AS field, count({x}) AS n, count(*) - count({x}) AS nulls, min({x}) AS min, max({x}) AS max, round(avg({x}), 8) AS mean, round(stddev_samp({x}), 8) AS stddev, median({x}) AS median, count(DISTINCT {x}) AS \"distinct\" FROM lineitem"
 
 
 @query("csv_stats", " UNION ALL ".join(map(_stats_sql, ("l_quantity", "l_extendedprice", "l_discount"))), "tabular")
 def csv_stats(spark, sf_dir):
     """Statistics of numeric columns."""
     out = T.stats(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
-    return out.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
+    return out.withColumns({"mean": F.round("mean", 8), "stddev": F.round("stddev", 8)})
 
 
 SCHEMA = " UNION ALL ".join(
