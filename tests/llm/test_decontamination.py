@@ -57,3 +57,12 @@ def test_proximity(spark):
     docs = frame(spark, [(1, "x alpha y beta z"), (2, "alpha a b c d e f g h i j k beta"), (3, "beta alpha"), (4, None)])
     items = spark.createDataFrame([("i", "alpha q beta")], "item_id string, text string")
     assert sorted(map(tuple, D.find_near_items(docs, items, 3).collect())) == [(1, "i"), (3, "i")]
+
+
+def test_very_long_texts(spark):
+    r, vocabulary = random.Random(7), words(7, 300)
+    text = lambda n: " ".join(r.choices(vocabulary, k=n))
+    items = [(1, text(30)), (2, text(1000))]
+    rows = [(1, text(30_000) + " " + items[0][1] + " " + text(10)), (2, items[1][1]), (3, text(20_000))]
+    got = D.find_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_hit, list(x.item_ids)) for x in got) == brute(rows, items, 13)

@@ -35,6 +35,13 @@ def test_scores_and_selection(spark):
     assert sum(r.doc_id % 2 for r in chosen) > 0.9 * len(chosen)
 
 
+def test_very_long_text(spark):
+    rows = [(1, "red green " * 50_000), (2, "red green"), (3, "alpha beta")]
+    ids = spark.createDataFrame([(2,)], "doc_id long")
+    got = {r.doc_id: r for r in I.resample(frame(spark, rows), ids, share=1.0).collect()}
+    assert got[1].n_grams == 199_999 and got[2].n_grams == 3 and all(r.selected for r in got.values())
+
+
 def test_threshold_is_exact(spark):
     x = [float(v) for v in np.random.default_rng(0).normal(size=3000)] + [1.5] * 10
     df = spark.createDataFrame([(v,) for v in x] + [(None,)], "key double")
