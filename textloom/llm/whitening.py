@@ -1,7 +1,7 @@
 """Whitening of embeddings by Golub-Kahan-Lanczos bidiagonalisation.
 
-The centred vectors X are bidiagonalised by passes over the table: one for y = Xv, one for the transposed product with u.
-Left vectors are never stored: u is X p for a p of the vectors' dimension, so a task recomputes its part of u from its
+The centred vectors X are bidiagonalised in blocks of a few vectors by passes over the table: one for the products Xv, one
+for the transposed products with u, in turn. Left vectors are never stored: u is X p for a p of the vectors' dimension, so a task recomputes its part of u from its
 rows, and a lost executor costs nothing but the pass. Both sides are reorthogonalised in full, the left one by
 inner products with p. The singular values and vectors of the small bidiagonal matrix give components and deviations.
 """
@@ -21,6 +21,8 @@ from textloom.llm.common import bounded_batches, stored
 SCALE, SHIFT = 64.0, 1_000_000
 #: Vectors of a stored block.
 BLOCK_ROWS = 4096
+#: Right vectors that a step makes at once.
+STEP = 8
 #: A singular value whose residual is below this part of the largest is settled; a step whose norm is, ends a Krylov space.
 SETTLED, VANISHED = 1e-15, 1e-12
 _KINDS = (np.int8, np.int16, np.int32, np.int64)
@@ -90,10 +92,13 @@ def _summed(fit: DataFrame, d: int, size: int, part: Callable[[np.ndarray], np.n
         for batch in batches:
             for block in _blocks(batch, d):
                 total = total + part(block)
-        yield pa.RecordBatch.from_arrays([pa.array([total[j]]) for j in range(size)], [f"s{j}" for j in range(size)])
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64() if kind == "double" else pa.int64()))], ["sums"])
 
-    sums = fit.mapInArrow(run, ", ".join(f"s{j} {kind}" for j in range(size)))
-    return np.array(list(sums.agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(size))).first()))
+    each = fit.mapInArrow(run, f"sums array<{kind}>").select(F.posexplode("sums").alias("place", "part"))
+    got = each.groupBy("place").agg(F.sum("part").alias("total")).toArrow()
+    out = np.zeros(size, dtype=np.float64 if kind == "double" else np.int64)
+    out[got.column("place").to_numpy()] = got.column("total").to_numpy()
+    return out
 
 
 @dataclass(frozen=True)
@@ -108,56 +113,53 @@ class Whitening:
     identity_error: float
 
 
-def _fresh(V: np.ndarray, d: int, seed: int) -> np.ndarray | None:
-    """A unit vector orthogonal to the columns of V, or None if they span the space."""
-    for again in range(3 if V.shape[1] < d else 0):
-        v = np.random.default_rng([seed, again]).standard_normal(d)
-        for _ in range(2):
-            v -= V @ (V.T @ v)
-        if (norm := np.linalg.norm(v)) > 1e-6:
-            return v / norm
-    return None
-
-
-def bidiagonalise(product: Callable[[np.ndarray], tuple[np.ndarray, float]], d: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-    """(right vectors in columns, upper bidiagonal matrix) of an X of d columns, known by product(p) = (transposed X times
-    X p, squared norm of X p). Ends once the ``wanted`` largest singular values are settled, or all d steps are made."""
-    V, P, Z = np.zeros((d, 0)), np.zeros((d, 0)), np.zeros((d, 0))
-    alphas: list[float] = []
-    betas: list[float] = []
-    v, beta, largest = _fresh(V, d, 0), 0.0, 0.0
-    while v is not None:
-        V = np.column_stack([V, v])
-        y, _ = product(v)  # the left vector before it is made orthogonal to the others
-        p = v - P @ (P.T @ y)
-        z, square = product(p)
-        if len(alphas) and np.abs(P.T @ z).max() > 1e-13 * max(largest, np.sqrt(square)):
-            p = p - P @ (P.T @ z)
-            z, square = product(p)
-        alpha = float(np.sqrt(square))
-        largest = max(largest, alpha)
-        if alpha <= VANISHED * largest or largest == 0:
-            alpha, p, z = 0.0, np.zeros(d), np.zeros(d)
-        else:
-            p, z = p / alpha, z / alpha
-        alphas.append(alpha)
-        P, Z = np.column_stack([P, p]), np.column_stack([Z, z])
-        v = z - alpha * V[:, -1]
-        for _ in range(2):
-            v -= V @ (V.T @ v)
-        beta = float(np.linalg.norm(v))
-        B = np.diag(alphas) + np.diag(betas, 1)
-        left, values, _ = np.linalg.svd(B)
-        if beta > VANISHED * max(largest, 1e-300):
-            if len(alphas) >= wanted and (beta * np.abs(left[-1, :wanted]) <= SETTLED * values[0]).all():
+def _filled(V: np.ndarray, new: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """``width`` orthonormal columns beside V's, as far as there is room: those of new, and others made up."""
+    width = min(width, V.shape[0] - V.shape[1])
+    new = np.column_stack([new[:, :width], np.random.default_rng(seed).standard_normal((V.shape[0], max(0, width - new.shape[1])))])
+    for _ in range(3):
+        new = np.linalg.qr(new - V @ (V.T @ new))[0]
+    return new
+
+
+def bidiagonalise(product: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], d: int, wanted: int, width: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """(right vectors V in columns, upper block bidiagonal R) with X V = U R for an X of d columns and a U of orthonormal
+    ones, known by product(P) = (transposed X times X P, inner products of the columns of X P). ``width`` vectors a step
+    share the passes. Ends once the ``wanted`` largest singular values are settled, or all d columns are made."""
+    V, P, Z, R, largest, step = (*(np.zeros((d, 0)) for _ in range(3)), np.zeros((0, 0)), 0.0, 0)
+    new = _filled(V, V, width, 0)
+    while new.shape[1]:
+        # Left vectors X p: the product with the right ones, made orthogonal to all left ones so far and to each other.
+        beside = P.T @ product(new)[0]
+        p, own = new - P @ beside, np.eye(new.shape[1])
+        for again in range(4):
+            z, inner = product(p)
+            g, turn = np.linalg.eigh(inner)
+            root = np.sqrt(np.maximum(g, 0))
+            largest = max(largest, root.max())
+            # A first pass can't tell small columns from rounding: it scales them up, and the next one drops what is none.
+            keep = root > (1e-3 if again else 0.0) if root.max() > VANISHED * largest else np.zeros(len(root), dtype=bool)
+            good = root[keep].min(initial=1) > 0.5 * root.max() or not keep.any()
+            root = root[keep] if again else np.maximum(root[keep], 1e-8 * root.max())
+            turn = turn[:, keep]
+            p, z, own = p @ turn / root, z @ turn / root, (turn * root).T @ own
+            slant = P.T @ z
+            if not keep.any() or ((good or again == 3) and np.abs(slant).max(initial=0) < 1e-11):
                 break
-            v = v / beta
-        else:  # what is left is orthogonal to all so far
-            beta, v = 0.0, _fresh(V, d, len(alphas))
-        if V.shape[1] == d:
+            beside, p = beside + slant @ own, p - P @ slant
+        R = np.block([[R, beside], [np.zeros((len(own), R.shape[1])), own]])
+        V, P, Z = np.column_stack([V, new]), np.column_stack([P, p]), np.column_stack([Z, z])
+        # Right vectors: the transposed product with the left ones, made orthogonal to all right ones so far.
+        rest = z
+        for _ in range(2):
+            rest = rest - V @ (V.T @ rest)
+        left, values, _ = np.linalg.svd(R)
+        if min(R.shape) >= wanted and len(own) and np.linalg.norm(rest @ left[-len(own) :, :wanted], axis=0).max() <= SETTLED * values[0]:
             break
-        betas.append(beta)
-    return V, np.diag(alphas) + np.diag(betas[: len(alphas) - 1], 1) if alphas else np.zeros((0, 0))
+        directions, sizes, _ = np.linalg.svd(rest, full_matrices=False)
+        step += 1
+        new = _filled(V, directions[:, sizes > VANISHED * largest], width, step)
+    return V, R
 
 
 def fit_whitening(fit: DataFrame, d: int, wanted: int) -> Whitening | None:
@@ -168,18 +170,20 @@ def fit_whitening(fit: DataFrame, d: int, wanted: int) -> Whitening | None:
     n, sums = int(first[-1]), first[:-1]
     mean = sums / n
 
-    def product(p: np.ndarray) -> tuple[np.ndarray, float]:
+    def product(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = p.shape[1]
+
         def part(x: np.ndarray) -> np.ndarray:
             x = x - mean
             y = x @ p
-            return np.append(x.T @ y, y @ y)
+            return np.append((x.T @ y).ravel(), (y.T @ y).ravel())
 
-        out = _summed(fit, d, d + 1, part)
-        return out[:-1], float(out[-1])
+        out = _summed(fit, d, d * k + k * k, part)
+        return out[: d * k].reshape(d, k), out[d * k :].reshape(k, k)
 
     trace = _summed(fit, d, 1, lambda x: np.array([((x - mean) ** 2).sum()]))[0] / n
-    V, B = bidiagonalise(product, d, min(wanted, d))
-    _, values, right = np.linalg.svd(B)
+    V, R = bidiagonalise(product, d, min(wanted, d))
+    _, values, right = np.linalg.svd(R)
     e = values[:wanted] ** 2 / n
     e = e[e > VANISHED * max(trace, 0) + 0.0]
     components = np.linalg.qr(V @ right.T[:, : len(e)])[0] if len(e) else np.zeros((d, 0))
