@@ -25,7 +25,10 @@ from textloom.llm.common import bounded_batches
 FROM_START, BEYOND = 3, 1
 #: Characters that are split at once; pieces and pairs of tokens that are remembered, and a piece's characters at most.
 WINDOW, REMEMBERED, SHORT = 1 << 18, 1 << 18, 48
-PAIR_BITS = 20
+#: Pieces of several texts that are looked up together, about.
+TOGETHER = 400_000
+#: Pairs of tokens whose fit is remembered side by side, and the bits of a token in such a pair.
+PAIRS, PAIR_BITS = 1 << 20, 20
 _NONE = 1 << 62
 #: Stands for newer characters while texts are cut: neither letter, number nor space in any version of the tables.
 STAND_IN = 0xFDD0
@@ -79,6 +82,8 @@ class Bpe:
             self.ends.add_word(token.decode("latin-1"), (i, len(token)))
         self.ends.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self._trie = self._forward_trie()
+        self._pair_keys, self._pair_fits = np.array([-1]), np.array([False])
         self.halves = functools.lru_cache(None)(self._halves)
         self.alone = functools.lru_cache(REMEMBERED)(self._alone)
         self._known: dict[str, bytes] = {}
@@ -152,6 +157,107 @@ class Bpe:
                     break
         return array("i", last)
 
+    def _forward_trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All prefixes of tokens as nodes: sorted keys (node * 256 + byte), the nodes they lead to, each node's token or -1."""
+        edges: dict[int, int] = {}
+        token_at = [-1]
+        for token, i in self.ranks.items():
+            node = 0
+            for byte in token:
+                following = edges.setdefault(node << 8 | byte, len(token_at))
+                if following == len(token_at):
+                    token_at.append(-1)
+                node = following
+            token_at[node] = i
+        keys = np.array(sorted(edges), dtype=np.int64)
+        return keys, np.array([edges[k] for k in keys.tolist()], dtype=np.int64), np.array(token_at, dtype=np.int64)
+
+    def _fit_together(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """fits for many pairs."""
+        keys = a << PAIR_BITS | b
+        place = np.minimum(np.searchsorted(self._pair_keys, keys), len(self._pair_keys) - 1)
+        known = self._pair_keys[place] == keys
+        if not known.all():
+            new = np.unique(keys[~known])
+            mask = (1 << PAIR_BITS) - 1
+            fit = np.fromiter((self._fits(k >> PAIR_BITS, k & mask) for k in new.tolist()), dtype=bool, count=len(new))
+            if len(self._pair_keys) >= PAIRS:
+                self._pair_keys, self._pair_fits = np.array([-1]), np.array([False])
+                return np.concatenate([self._fit_together(a[i : i + PAIRS], b[i : i + PAIRS]) for i in range(0, len(a), PAIRS)])
+            at = np.searchsorted(self._pair_keys, new)
+            self._pair_keys, self._pair_fits = np.insert(self._pair_keys, at, new), np.insert(self._pair_fits, at, fit)
+            place = np.searchsorted(self._pair_keys, keys)
+        return self._pair_fits[place]
+
+    def prefixes_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(last tokens of all prefixes of all pieces, offset of each piece and the end): ``prefixes`` for many pieces side by
+        side, one length of prefix after the other."""
+        keys, leads, token_at = self._trie
+        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        at = np.zeros(len(pieces) + 1, dtype=np.int64)
+        np.cumsum([len(x) for x in pieces], out=at[1:])
+        piece = np.repeat(np.arange(len(pieces)), np.diff(at))
+        # Every token at every place: from each byte forwards as long as tokens go on.
+        start, node, ends, tokens, starts = np.arange(len(raw)), np.zeros(len(raw), dtype=np.int64), [], [], []
+        for k in range(self.longest):
+            inside = start + k < at[piece[start] + 1]
+            start, node = start[inside], node[inside]
+            if not len(start):
+                break
+            step = node << 8 | raw[start + k]
+            place = np.minimum(np.searchsorted(keys, step), len(keys) - 1)
+            alive = keys[place] == step
+            start, node = start[alive], leads[place[alive]]
+            token = token_at[node]
+            ends.append((start + k)[token >= 0])
+            tokens.append(token[token >= 0])
+            starts.append(start[token >= 0])
+        if not ends:
+            return np.zeros(0, dtype=np.int64), at
+        end, token, start = map(np.concatenate, (ends, tokens, starts))
+        depth = end - at[piece[end]]
+        order = np.lexsort((start, end, depth))  # at each end the longest first
+        end, token, start, depth = end[order], token[order], start[order], depth[order]
+        last = np.full(len(raw), -1, dtype=np.int64)
+        bounds = np.searchsorted(depth, np.arange(int(depth[-1]) + 2))
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            e, t, s = end[lo:hi], token[lo:hi], start[lo:hi]
+            first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
+            stop = np.r_[first[1:], hi - lo]
+            while len(first):  # each end's next candidate, until one fits
+                i = first
+                alone = s[i] == at[piece[e[i]]]
+                good = np.empty(len(i), dtype=bool)
+                good[~alone] = self._fit_together(last[s[i[~alone]] - 1], t[i[~alone]])
+                good[alone] = [self.alone(x) for x in t[i[alone]].tolist()]
+                last[e[i[good]]] = t[i[good]]
+                first, stop = first[~good] + 1, stop[~good]
+                first, stop = first[first < stop], stop[first < stop]
+        return last, at
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pieces, read from their prefixes backwards."""
+        last, at = self.prefixes_of(pieces)
+        lengths = np.array(self.lengths, dtype=np.int64)
+        place, row = at[1:].copy(), np.arange(len(pieces))
+        row, place = row[place > at[:-1]], place[place > at[:-1]]
+        rows, tokens, n = [], [], 0
+        while len(row):
+            token = last[place - 1]
+            rows.append(row)
+            tokens.append(token)
+            place = place - lengths[token]
+            row, place = row[place > at[row]], place[place > at[row]]
+            n += 1
+        if not rows:
+            return [b""] * len(pieces)
+        step = np.repeat(np.arange(n), [len(r) for r in rows])
+        rows_, tokens_ = np.concatenate(rows), np.concatenate(tokens)
+        order = np.lexsort((-step, rows_))
+        flat = tokens_[order].astype("<u4").tobytes()
+        bounds = (np.searchsorted(rows_[order], np.arange(len(pieces) + 1)) * 4).tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
     def _tokens(self, last: array, lo: int, hi: int) -> list[int]:
         out = []
         while hi > lo:
@@ -194,21 +300,43 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, out = self._known, []
-        for found in self.pieces(text):
-            for x in found:
-                if (ids := known.get(x)) is None:
-                    if (ids := self._known_before.get(x)) is None:
-                        raw = x.encode()
-                        ids = array("I", [self.ranks[raw]] if raw in self.ranks else self._tokens(self.prefixes(raw), 0, len(raw))).tobytes()
-                    if len(x) <= SHORT:
-                        if len(known) >= REMEMBERED:  # what was met since the last time stays for as long again
-                            self._known_before, self._known = known, {}
-                            known = self._known
-                        known[x] = ids
-                out.append(ids)
-            out = [b"".join(out)]
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` for several texts; pieces that aren't remembered are looked up side by side."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str]]] = []
+        n = 0
+        for i, text in enumerate(texts):
+            for found in self.pieces(text):
+                waiting.append((i, found))
+                n += len(found)
+                if n > TOGETHER:
+                    self._settle(waiting, out)
+                    waiting, n = [], 0
+        self._settle(waiting, out)
+        return [b"".join(x) for x in out]
+
+    def _settle(self, waiting: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        known, before, unmet = self._known, self._known_before, {}
+        for x in dict.fromkeys(x for _, found in waiting for x in found):
+            if x not in known:
+                if x in before:
+                    known[x] = before[x]
+                else:
+                    unmet[x] = x.encode()
+        short = [x for x, raw in unmet.items() if len(raw) <= SHORT]
+        known.update(zip(short, self.ids_of([unmet[x] for x in short]), strict=True))
+        long = [x for x, raw in unmet.items() if len(raw) > SHORT]
+        for x in long:
+            known[x] = array("I", self._tokens(self.prefixes(unmet[x]), 0, len(unmet[x]))).tobytes()
+        known.update((x, array("I", [self.ranks[raw]]).tobytes()) for x, raw in unmet.items() if raw in self.ranks)
+        for i, found in waiting:
+            out[i].append(b"".join(map(known.__getitem__, found)))
+        for x in long:
+            del known[x]
+        if len(known) > REMEMBERED:  # what was met since the last time stays for as long again
+            self._known_before, self._known = known, {}
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -273,11 +401,11 @@ def _encoded_rows(path: str, pattern: str, with_prefixes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 codes = [coder.code(t) for t in texts] if with_prefixes else []
-                ids = [coder.ids(c) for c in codes] if with_prefixes else [coder.encode(t) for t in texts]
+                ids = [coder.ids(c) for c in codes] if with_prefixes else coder.encode_all(texts)
                 columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if with_prefixes:
                     columns += [pa.array([c.raw for c in codes], pa.binary()), pa.array([c.starts.tobytes() for c in codes], pa.binary()), pa.array([c.last.tobytes() for c in codes], pa.binary())]
