@@ -43,7 +43,7 @@ def test_patterns(spark):
         pattern("(")
     assert pattern("a.b", literal=True) == r"a\.b"
     assert pattern(r"\p{L}+") == r"\p{L}+"
-    assert pattern("a.b", literal=True, multiline=True, ignore_case=True) == r"(?i)a\.b"
+    assert pattern("a.b", literal=True, multiline=True, ignore_case=True) == r"(?di)a\.b"
     df = spark.createDataFrame([("x ($1) y",)], "t string")
     assert df.select(F.regexp_replace("t", pattern("($1)", literal=True), replacement("$2\\", literal=True))).first()[0] == "x $2\\ y"
 

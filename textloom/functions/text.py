@@ -14,13 +14,13 @@ WORD = "0-9A-Za-z_"
 
 
 def pattern(text: str, literal: bool = False, ignore_case: bool = False, word: bool = False, multiline: bool = False) -> str:
-    """A Java pattern of a search. Word boundaries are those of ASCII words; multiline lets . match line ends and is
-    ignored for literal texts. A pattern that the JVM can't compile raises ValueError."""
+    """A Java pattern of a search. Line ends are line feeds alone; word boundaries are those of ASCII words; multiline, for
+    whole texts, lets . match line ends and ^ and $ match at them, and is ignored for literal texts. A pattern that the JVM
+    can't compile raises ValueError."""
     out = re.sub(r"([^0-9A-Za-z_\s])", r"\\\1", text) if literal else text
     if word:
         out = f"(?<![{WORD}])(?:{out})(?![{WORD}])"
-    flags = ("i" if ignore_case else "") + ("s" if multiline and not literal else "")
-    out = f"(?{flags}){out}" if flags else out
+    out = f"(?d{'i' if ignore_case else ''}{'ms' if multiline and not literal else ''}){out}"
     jvm = SparkContext._jvm
     if jvm is not None:
         try:
@@ -30,6 +30,38 @@ def pattern(text: str, literal: bool = False, ignore_case: bool = False, word: b
     return out
 
 
+def required_word(regex: str) -> str | None:
+    """The longest run of ASCII letters, digits and blanks that every match of a pattern of ``pattern`` holds, or None where
+    none is sure: in patterns of any case, with flags of their own, or beyond what both dialects read alike."""
+    body = re.sub(r"^\(\?[dms]+\)", "", regex)
+    if re.search(r"\(\?[a-zA-Z-]*[a-zA-Z][:)]|\\[^.\[\](){}*+?^$|\\/\-dDwWsSbBAnrt]", body):
+        return None
+    try:
+        parsed = re._parser.parse(body)
+    except (re.error, OverflowError):
+        return None
+    best, now = "", ""
+
+    def walk(items) -> None:
+        nonlocal best, now
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL" and chr(arg).isascii() and (chr(arg).isalnum() or arg == 32):
+                now += chr(arg)
+                best = max(best, now, key=len)
+                continue
+            if name == "SUBPATTERN" and not arg[1] and not arg[2]:
+                walk(arg[3])
+                continue
+            now = ""
+            if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+                walk(arg[2])
+                now = ""
+
+    walk(parsed)
+    return best or None
+
+
 def replacement(text: str, literal: bool = False) -> str:
     """A Java replacement: groups as $1, or the text as it stands."""
     return re.sub(r"([\\$])", r"\\\1", text) if literal else text

@@ -63,6 +63,64 @@ def greedy_budget(tasks: DataFrame, key: str, order: str, cost: str, budget: int
     return rows.repartition(key).sortWithinPartitions(key, order, cost).mapInPandas(run, StructType([*rows.schema.fields]).add("runs", "boolean"))
 
 
+#: Tasks of a block of the global budget, about: what one task puts in order.
+BUDGET_BLOCK = 200_000
+
+
+def global_budget(tasks: DataFrame, order: str, cost: str, budget: int) -> DataFrame:
+    """tasks with runs: whether, in one order over all of them, each one's cost (0 or more) still fits; one that doesn't is
+    skipped and later ones may fit. ``order``: different longs; null orders and costs don't run.
+
+    Once a task doesn't fit, only cheaper ones than what is left can: each round takes those, behind that task, as far as
+    their sum fits. Sums of blocks of the order say in which block that ends, and only this block is put in order. A round
+    uses up some of the budget or lowers the cost that fits, so rounds don't grow with the tasks. tasks are read once for
+    each round and should be a table."""
+    rows = tasks.where(F.col(order).isNotNull() & F.col(cost).isNotNull()).select(F.col(order).cast("long").alias("at"), F.col(cost).cast("long").alias("cost"))
+    n = rows.count()
+    cuts = rows.agg(F.percentile_approx("at", [i / max(1, -(-n // BUDGET_BLOCK)) for i in range(1, max(2, -(-n // BUDGET_BLOCK)))], 10_000)).first()[0] or []
+    block = F.lit(0)
+    for c in cuts if n > BUDGET_BLOCK else []:
+        block = block + (F.col("at") > c).cast("int")
+    rows = rows.withColumn("block", block)
+    taken, after, left = [], None, budget
+    while left >= 0:
+        open_ones = rows.where(F.col("cost") <= left) if after is None else rows.where((F.col("cost") <= left) & (F.col("at") > after))
+        used, ends = 0, None
+        for b, total in open_ones.groupBy("block").agg(F.sum("cost")).orderBy("block").collect():  # one row a block
+            if used + total > left:
+                ends = b
+                break
+            used += total
+        if ends is None:  # all that is left fits
+            taken.append((after, None, left))
+            break
+        so_far = open_ones.where(F.col("block") == ends).withColumn("sum", F.sum("cost").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+        first = so_far.where(F.col("sum") > left - used).orderBy("at").first()
+        taken.append((after, first["at"], left))
+        left, after = left - (used + first["sum"] - first["cost"]), first["at"]
+    place, price, runs = F.col(order), F.col(cost), F.lit(False)
+    for lo, hi, most in taken:
+        fits = price <= most
+        fits = fits if lo is None else fits & (place > lo)
+        runs = runs | (fits if hi is None else fits & (place < hi))
+    return tasks.withColumn("runs", F.coalesce(runs, F.lit(False)))
+
+
+def reachable(starts: DataFrame, edges: DataFrame, most: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, depth): what can be reached from the starts (node) over edges (src, dst) in at most ``most`` steps, with the
+    least number of steps, 0 for the starts. Each round follows the edges of the nodes found last and leaves out those known
+    before, so circles end; what a round finds is written by ``store``, and no plan grows. Null nodes lead nowhere."""
+    found = store(starts.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
+    last = found
+    for depth in range(1, most + 1):
+        following = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).where("node is not null").distinct()
+        last = store(following.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if last.isEmpty():
+            break
+        found = found.union(last)
+    return found
+
+
 def at_least(df: DataFrame, column: str, level: str, levels: dict[str, int]) -> DataFrame:
     """Rows whose level, a name, ranks no lower than the given one; unknown names rank lowest."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in levels.items() for x in kv])[F.col(column)], F.lit(-1))

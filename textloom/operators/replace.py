@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.search import cap, matching_lines, numbered, with_context
+from textloom.operators.search import cap, matching_lines, may_match, numbered, with_context
 
 
 def manifest(files: DataFrame, file: str, text: str, regex: str, replacement: str) -> DataFrame:
@@ -39,8 +41,12 @@ def line_replacements(line: Column, regex: str, replacement: str) -> Column:
     the old line. Matches are found, and replaced, in the whole line, so that lookaround sees what stands around them."""
     between = F.split(line, regex, -1)
     own = F.regexp_extract_all(line, F.lit(regex), F.lit(0))
-    # The new line with each match between two marks that no text has: what stands between them is what replaced it.
-    marked = F.split(F.regexp_replace(line, regex, f"\uffff{replacement}\uffff"), "\uffff", -1)
+    # The new line with each match between two marks: what stands between them is what replaced it. A mark is a run of one
+    # character that is longer than any that the line's and the replacement's own could make.
+    copies = len(re.findall(r"(?<!\\)\$", replacement)) + 1
+    run = (F.length(line) - F.length(F.translate(line, "\ufffe", ""))) * copies + replacement.count("\ufffe") + 1
+    mark = F.concat(F.lit("\uffff"), F.repeat(F.lit("\ufffe"), run), F.lit("\uffff"))
+    marked = F.split(F.regexp_replace(line, F.lit(regex), F.concat(mark, F.lit(replacement), mark)), mark, -1)
     pairs = F.transform(own, lambda x, i: F.struct(F.octet_length(F.get(between, i)).alias("gap"), x.alias("old"), F.get(marked, 2 * i + 1).alias("new")))
     kind = "array<struct<column_start:int,column_end:int,original_text:string,replaced_text:string>>"
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
@@ -64,7 +70,7 @@ def replacements(files: DataFrame, regex: str, replacement: str, text: str = "te
     found = F.filter(numbered(F.col(text)), lambda x: x["line_text"].rlike(regex))
     each = F.transform(found, lambda x: F.transform(line_replacements(x["line_text"], regex, replacement), lambda r: F.struct(x["line_number"].alias("line_number"), *[r[c].alias(c) for c in ("column_start", "column_end", "original_text", "replaced_text")])))
     every = F.filter(F.flatten(each), lambda r: r["column_end"] > r["column_start"])
-    return files.where(F.col(text).rlike(f"(?m){regex}")).select(*own, F.inline(F.slice(every, 1, most)))
+    return files.where(may_match(F.col(text), regex)).select(*own, F.inline(F.slice(every, 1, most)))
 
 
 def change_manifest(files: DataFrame, file: str, regex: str, replacement: str, text: str = "text", most_files: int = 1000, dry_run: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import byte_start, first_match
+from textloom.functions.text import byte_start, first_match, required_word
 
 
 def search(lines: DataFrame, regex: str, text: str = "line_text") -> DataFrame:
@@ -37,15 +37,17 @@ def numbered(text: Column) -> Column:
 def matching_lines(files: DataFrame, regex: str, text: str = "text", most: int | None = None) -> DataFrame:
     """files' other columns with line_number and line_text of the lines that match, the first ``most`` of each file.
 
-    Works inside the row: files without a match are not split, and no line is shuffled."""
+    Works inside the row: files that can't have a match are not split, and no line is shuffled."""
     found = F.filter(numbered(F.col(text)), lambda x: x["line_text"].rlike(regex))
-    own = files.where(F.col(text).rlike(_anywhere(regex)))
+    own = files.where(may_match(F.col(text), regex))
     return own.select(*[c for c in files.columns if c != text], F.inline(found if most is None else F.slice(found, 1, most)))
 
 
-def _anywhere(regex: str) -> str:
-    """A pattern that any text with a matching line matches: line ends count as ends of text."""
-    return f"(?m){regex}"
+def may_match(text: Column, regex: str) -> Column:
+    """False only for texts without a match in any line: those that lack a word that each match holds. The pattern itself
+    can't tell, as it may look at line ends, which lines don't have."""
+    word = required_word(regex)
+    return text.contains(word) if word else text.isNotNull()
 
 
 def cap(found: DataFrame, order: list[str], most: int) -> DataFrame:
@@ -58,15 +60,15 @@ def cap(found: DataFrame, order: list[str], most: int) -> DataFrame:
 
 def summary(files: DataFrame, regex: str, text: str = "text") -> DataFrame:
     """One row: matching lines, files with some, files searched. One pass, a number for each file."""
-    n = F.size(F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(regex)))
-    own = files.select(F.when(F.col(text).rlike(_anywhere(regex)), n).otherwise(0).cast("long").alias("n"))
+    n = F.size(F.filter(numbered(F.col(text)), lambda x: x["line_text"].rlike(regex)))
+    own = files.select(F.when(may_match(F.col(text), regex), n).otherwise(0).cast("long").alias("n"))
     return own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_matches"), F.count_if(F.col("n") > 0).alias("files_with_matches"), F.count("*").alias("files_searched"))
 
 
 def with_context(files: DataFrame, regex: str, before: int, after: int, text: str = "text") -> DataFrame:
     """files' other columns with line_number, line_text, context_before and context_after of the lines that match: the lines
     around them, oldest first, fewer where the file ends. Works inside the row."""
-    rows = files.where(F.col(text).rlike(_anywhere(regex))).withColumn("_lines", F.split(F.col(text), "\n", -1))
+    rows = files.where(may_match(F.col(text), regex)).withColumn("_lines", F.split(F.col(text), "\n", -1))
     rows = rows.withColumn("_lines", F.transform("_lines", lambda x: F.regexp_replace(x, "\r$", "")))
     places = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(regex), i)), lambda i: i.isNotNull())
     around = lambda i: F.struct(
@@ -80,19 +82,18 @@ def with_context(files: DataFrame, regex: str, before: int, after: int, text: st
 
 def nearest_in_file(files: DataFrame, regex: str, text: str = "text") -> DataFrame:
     """files' other columns with line_number of each line that doesn't match, in files with a match; match_line: the nearest
-    match, the earlier one of two; side: whether the line stands before or after it. Works inside the row: two folds carry
-    the last match forwards and the next one backwards."""
-    rows = files.where(F.col(text).rlike(_anywhere(regex))).withColumn("_hits", F.transform(F.split(F.col(text), "\n", -1), lambda x: F.regexp_replace(x, "\r$", "").rlike(regex)))
+    match, the earlier one of two; side: whether the line stands before or after it. Works inside the row: each match takes
+    the lines up to the middle between it and its neighbours, so the work grows with the lines alone."""
+    rows = files.where(may_match(F.col(text), regex)).withColumn("_hits", F.transform(numbered(F.col(text)), lambda x: x["line_text"].rlike(regex)))
     rows = rows.withColumn("_places", F.filter(F.transform("_hits", lambda h, i: F.when(h, i + 1)), lambda i: i.isNotNull())).where(F.size("_places") > 0)
 
-    def place(h: Column, i: Column) -> Column:
-        n = i + 1
-        last = F.array_max(F.filter("_places", lambda p: p <= n))
-        following = F.array_min(F.filter("_places", lambda p: p >= n))
-        near = F.when(last.isNull() | (following - n < n - last), following).otherwise(last)
-        return F.when(~h, F.struct(n.alias("line_number"), near.alias("match_line"), F.when(n < near, "before").otherwise("after").alias("side")))
+    def around(p: Column, i: Column) -> Column:
+        first = F.when(i == 0, 1).otherwise(F.floor((F.get("_places", i - 1) + p) / 2).cast("int") + 1)
+        last = F.when(i + 1 == F.size("_places"), F.size("_hits")).otherwise(F.floor((F.get("_places", i + 1) + p) / 2).cast("int"))
+        own = F.filter(F.sequence(first, last), lambda n: n != p)
+        return F.transform(own, lambda n: F.struct(n.alias("line_number"), p.alias("match_line"), F.when(n < p, "before").otherwise("after").alias("side")))
 
-    return rows.select(*[c for c in files.columns if c != text], F.inline(F.filter(F.transform("_hits", place), lambda x: x.isNotNull())))
+    return rows.select(*[c for c in files.columns if c != text], F.inline(F.flatten(F.transform("_places", around))))
 
 
 def nearest_match(context: DataFrame, matches: DataFrame, file: str) -> DataFrame:

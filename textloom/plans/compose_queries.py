@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.operators import compose as C
 from textloom.plans.params import Param
 from textloom.plans.registry import STABILITY, query
+from textloom.sources.scratch import written
 from textloom.sources.tables import table
 
 
@@ -117,6 +118,33 @@ def budget_greedy(spark, sf_dir, budget=20):
     return C.greedy_budget(table(spark, sf_dir, "events").select("user_id", "event_id", cost.alias("cost")), "user_id", "event_id", "cost", budget).drop("cost")
 
 
+GLOBAL = """WITH RECURSIVE t AS (SELECT event_id, CAST(ceil(length(props || event_type) / 4.0) AS BIGINT) AS cost, row_number() OVER (ORDER BY event_id) AS i FROM events),
+r AS (SELECT i, event_id, CASE WHEN cost <= 1000 THEN cost ELSE 0 END AS used, cost <= 1000 AS runs FROM t WHERE i = 1
+UNION ALL SELECT t.i, t.event_id, r.used + CASE WHEN r.used + t.cost <= 1000 THEN t.cost ELSE 0 END, r.used + t.cost <= 1000 FROM r JOIN t ON t.i = r.i + 1)
+SELECT event_id, runs FROM r"""
+
+
+@query("budget_global", GLOBAL, "control", (Param("budget", "integer", 1000, minimum=0),))
+def budget_global(spark, sf_dir, budget=1000):
+    """One budget over a whole batch in order; a task that doesn't fit is skipped."""
+    cost = F.ceil(F.length(F.concat("props", "event_type")) / 4.0).cast("long")
+    return C.global_budget(table(spark, sf_dir, "events").select("event_id", cost.alias("cost")), "event_id", "cost", budget).select("event_id", "runs")
+
+
+CLOSURE = """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
+r(node, depth) AS (SELECT 'p' || p_partkey, 0 FROM part WHERE p_size = 7 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 2)
+SELECT node, CAST(min(depth) AS INT) AS depth FROM r GROUP BY node"""
+
+
+@query("chain_closure", CLOSURE, "compose", (Param("most", "integer", 2, minimum=0),))
+def chain_closure(spark, sf_dir, most=2):
+    """All that parts of a size depend on over some steps of parts and their suppliers."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
+    edges = written(pairs.union(pairs.select("dst", "src")))
+    starts = table(spark, sf_dir, "part").where("p_size = 7").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    return C.reachable(starts, edges, most, written)
+
+
 @query("profile_averages", "SELECT event_type AS skill, count(*) AS runs, round(avg(value), 6) AS duration, round(avg(value / 2 + value / 4), 6) AS steps FROM events GROUP BY 1", "control")
 def profile_averages(spark, sf_dir):
     """Average duration of runs and of the sum of their steps."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import bare_mail, clean_path, iso_utc, leading_int, leading_number
 from textloom.operators import messages as M
+from textloom.operators import search as S
 from textloom.plans.params import Param
 from textloom.plans.registry import query
 from textloom.plans.search_queries import LINES
@@ -26,41 +27,47 @@ def _record(json):
 
 
 def _search_records(spark, sf_dir):
-    """Search messages of each document's first lines with ``tion``: begin, a match with all its submatches, summary."""
-    d = documents(spark, sf_dir).select("doc_id", F.split("text", "\n", -1)[0].alias("line")).where(F.col("line").contains("tion"))
-    parts = F.split("line", "tion", -1)
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.octet_length(x)) + (i - 1) * 4)
-    subs = F.transform(starts, lambda x: F.struct(x.alias("start"), (x + 4).alias("end"), F.struct(F.lit("tion").alias("text")).alias("match")))
+    """Search messages of each document with ``tion``: begin, a match for each line that has it, with all its submatches,
+    a broken line, and a summary."""
+    lines = F.filter(S.numbered(F.col("text")), lambda x: x["line_text"].contains("tion"))
+    d = documents(spark, sf_dir).select("doc_id", lines.alias("lines")).where(F.size("lines") > 0)
+
+    def submatches(line):
+        parts = F.split(line, "tion", -1)
+        starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.octet_length(F.array_join(F.slice(parts, F.lit(1), i), "tion")))
+        return F.transform(starts, lambda x: F.struct(x.alias("start"), (x + 4).alias("end"), F.struct(F.lit("tion").alias("text")).alias("match")))
+
     path = F.concat(F.lit("src/"), _s("doc_id"))
-    match = _struct(type="match", data=_struct(path=_struct(text=path), line_number=1, lines=_struct(text=F.concat("line", F.lit("\n"))), submatches=subs))
+    match = F.transform("lines", lambda x: F.to_json(_struct(type="match", data=_struct(path=_struct(text=path), line_number=x["line_number"], lines=_struct(text=F.concat(x["line_text"], F.lit("\n"))), submatches=submatches(x["line_text"])))))
     begin = _struct(type="begin", data=_struct(path=_struct(text=path)))
-    total = _struct(type="summary", data=_struct(elapsed_total=_struct(secs=2, nanos=(F.col("doc_id") % 1000) * 1_000_000), stats=_struct(searches=7, searches_with_match=1, matches=F.size(starts))))
-    texts = d.select("doc_id", F.explode(F.array(F.to_json(begin), F.to_json(match), F.to_json(total), F.lit("{broken"))).alias("text"))
+    n = F.aggregate("lines", F.lit(0), lambda a, x: a + F.size(F.split(x["line_text"], "tion", -1)) - 1)
+    total = _struct(type="summary", data=_struct(elapsed_total=_struct(secs=2, nanos=(F.col("doc_id") % 1000) * 1_000_000), stats=_struct(searches=7, searches_with_match=1, matches=n)))
+    texts = d.select("doc_id", F.explode(F.concat(F.array(F.to_json(begin)), match, F.array(F.lit("{broken"), F.to_json(total)))).alias("text"))
     return texts.select("doc_id", F.try_parse_json("text").alias("record")).where("record is not null")
 
 
-FIRST = LINES + ", f AS (SELECT doc_id, line_text, regexp_extract_all(line_text, 'tion') AS ms, regexp_split_to_array(line_text, 'tion') AS ps FROM l WHERE line_number = 1 AND contains(line_text, 'tion')) "
+HITS = LINES + ", f AS (SELECT doc_id, line_number, line_text, regexp_extract_all(line_text, 'tion') AS ms, regexp_split_to_array(line_text, 'tion') AS ps FROM l WHERE contains(line_text, 'tion')) "
 
 
-@query("messages_by_type", FIRST + "SELECT t AS type, count(*) AS n FROM f, (VALUES ('match'), ('summary')) v(t) GROUP BY t", "forms")
+@query("messages_by_type", HITS + "SELECT 'match' AS type, count(*) AS n FROM f UNION ALL SELECT 'summary', count(DISTINCT doc_id) FROM f", "forms")
 def messages_by_type(spark, sf_dir):
     """Messages of some types, counted."""
     return M.of_types(_search_records(spark, sf_dir), ("match", "summary")).groupBy(M.at(F.col("record"), "type").alias("type")).agg(F.count("*").alias("n"))
 
 
-@query("messages_matches", FIRST + "SELECT doc_id, 'src/' || doc_id AS file, 1 AS line_number, line_text, CAST(strlen(ps[1]) AS INT) AS column_start, CAST(strlen(ps[1]) + 4 AS INT) AS column_end, 'tion' AS match_text FROM f", "forms")
+@query("messages_matches", HITS + "SELECT doc_id, 'src/' || doc_id AS file, line_number, line_text, CAST(strlen(ps[1]) AS INT) AS column_start, CAST(strlen(ps[1]) + 4 AS INT) AS column_end, 'tion' AS match_text FROM f", "forms")
 def messages_matches(spark, sf_dir):
     """Matches of search messages, by paths into them."""
     return M.search_matches(_search_records(spark, sf_dir))
 
 
-@query("messages_submatches", FIRST + ", k AS (SELECT *, unnest(generate_series(1, len(ms))) AS k FROM f) SELECT doc_id, 'src/' || doc_id AS file, 1 AS line_number, CAST(list_sum([strlen(x) for x in ps[1:k]]) + 4 * (k - 1) AS INT) AS column_start, CAST(list_sum([strlen(x) for x in ps[1:k]]) + 4 * k AS INT) AS column_end FROM k", "forms")
+@query("messages_submatches", HITS + ", k AS (SELECT *, unnest(generate_series(1, len(ms))) AS k FROM f) SELECT doc_id, 'src/' || doc_id AS file, line_number, CAST(list_sum([strlen(x) for x in ps[1:k]]) + 4 * (k - 1) AS INT) AS column_start, CAST(list_sum([strlen(x) for x in ps[1:k]]) + 4 * k AS INT) AS column_end FROM k", "forms")
 def messages_submatches(spark, sf_dir):
     """All matches of search messages."""
     return M.search_submatches(_search_records(spark, sf_dir)).drop("line_text", "match_text")
 
 
-@query("messages_summary", FIRST + "SELECT doc_id, CAST(7 AS BIGINT) AS files_searched, CAST(1 AS BIGINT) AS files_with_matches, CAST(len(ms) AS BIGINT) AS total_matches, CAST(2000 + doc_id % 1000 AS DOUBLE) AS execution_ms FROM f", "forms")
+@query("messages_summary", HITS + "SELECT doc_id, CAST(7 AS BIGINT) AS files_searched, CAST(1 AS BIGINT) AS files_with_matches, CAST(sum(len(ms)) AS BIGINT) AS total_matches, CAST(2000 + doc_id % 1000 AS DOUBLE) AS execution_ms FROM f GROUP BY doc_id", "forms")
 def messages_summary(spark, sf_dir):
     """Totals of search messages, with their time in milliseconds."""
     return M.search_totals(_search_records(spark, sf_dir))

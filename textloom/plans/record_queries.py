@@ -11,6 +11,8 @@ from textloom.operators import records as P
 from textloom.operators import search as S
 from textloom.plans.params import Param
 from textloom.plans.registry import query
+from textloom.sources.raw import blocks
+from textloom.sources.scratch import scratch
 from textloom.sources.tables import table, text_lines
 
 HASH = "md5(CAST(o_orderkey AS VARCHAR)) || left(md5(CAST(o_custkey AS VARCHAR)), 8)"
@@ -51,6 +53,15 @@ def commit_files_distinct(spark, sf_dir):
     return P.commits(_log(spark, sf_dir), "log", "o_orderkey").select("o_orderkey", "pos", F.array_join("files_changed", ",").alias("files"))
 
 
+@query("raw_log_commits", COMMITS.replace("SELECT o_orderkey, 0 AS pos, ", "SELECT ").replace("SELECT o_orderkey, 1, ", "SELECT "), "records")
+def raw_log_commits(spark, sf_dir):
+    """One log of all orders, written as files, and read block by block by as many tasks as the files have parts."""
+    path = scratch(spark)
+    _log(spark, sf_dir).select(F.col("log").alias("value")).write.text(path)
+    found = blocks(spark, path, P.COMMIT_START)
+    return P.commits(found.withColumn("log", F.concat(F.lit(f"{P.COMMIT_START}\n"), F.col("block"))), "log").drop("pos", "files_changed")
+
+
 def _joined(df, key, order, line):
     """One text per key, its lines in order."""
     own = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("x"))

@@ -65,6 +65,18 @@ def search_multiline(spark, sf_dir):
     return S.search(table(spark, sf_dir, "documents"), pattern("er[.].Th[a-z]+", multiline=True), "text").select("doc_id", "column_start", "match_text")
 
 
+@query("search_line_anchors", LINES + "SELECT doc_id, line_number, line_text FROM l WHERE regexp_matches(line_text, '^(The|Die|La|El) ') OR regexp_matches(line_text, 'tion[.]$')", "search")
+def search_line_anchors(spark, sf_dir):
+    """Patterns that hold a line's ends."""
+    return S.search_files(docs(spark, sf_dir), pattern(r"\A(?:The|Die|La|El) |tion\.(?!\s|.)")).select("doc_id", "line_number", "line_text")
+
+
+@query("search_multiline_anchors", "SELECT doc_id, CAST(strlen(regexp_extract(text, '(?s)^(.*?)([.]\n[A-Z])', 1)) AS INT) AS column_start FROM documents WHERE regexp_matches(text, '(?ms)[.]$.^[A-Z]')", "search")
+def search_multiline_anchors(spark, sf_dir):
+    """Patterns over several lines, whose anchors match at line ends."""
+    return S.search(docs(spark, sf_dir), pattern(r"\.$.^[A-Z]", multiline=True), "text").select("doc_id", "column_start")
+
+
 @query("search_file_types", LINES + f"SELECT lang, {MATCH.format('sch')} FROM l WHERE lang IN ('de', 'fr') AND contains(line_text, 'sch')", "search", (Param("types", "array", ("de", "fr")),))
 def search_file_types(spark, sf_dir, types=("de", "fr")):
     """Search in files of some types only."""

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from textloom.operators import jsonq as J
 from textloom.operators import tabular as T
+from textloom.operators.jsonexpr import evaluate
 from textloom.plans.params import Param
 from textloom.plans.registry import query
+from textloom.sources.raw import csv_records
+from textloom.sources.scratch import scratch
 from textloom.sources.tables import delimited, json_records, table
 
 
@@ -101,6 +104,57 @@ def column_extract_regex(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", own[0].alias("second"), own[1].alias("fourth"))
 
 
+@query("csv_multiline", "SELECT doc_id, lang, md5(text) AS text_md5, 'x, \"' || source || '\"' AS note FROM documents WHERE text IS NOT NULL", "tabular")
+def csv_multiline(spark, sf_dir):
+    """A delimited file whose fields hold line feeds, separators and quotes, written by Spark and read back in parts."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    note = F.concat(F.lit('x, "'), "source", F.lit('"'))
+    path = scratch(spark)
+    d.select(F.concat_ws(",", F.col("doc_id").cast("string"), "lang", quoted(F.col("text")), quoted(note)).alias("value")).write.text(path)
+    read = csv_records(spark, path, "doc_id bigint, lang string, text string, note string")
+    return read.select("doc_id", "lang", F.md5("text").alias("text_md5"), "note")
+
+
+_ITEM = "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, event_type FROM events"
+
+
+def _nested(spark, sf_dir):
+    """A document of each event: {"type", "items": [{"n", "t"}, {"n", "t"}, {"n"}], "o": {"b", "a"}}."""
+    k = J.path(F.try_parse_json("props"), "$.k", "int")
+    item = lambda n, **more: F.struct(n.alias("n"), *[c.alias(name) for name, c in more.items()])
+    doc = F.struct(F.col("event_type").alias("type"), F.array(F.to_json(item(k, t=F.col("event_type"))), F.to_json(item(k + 1, t=F.lit("x"))), F.to_json(item(k + 2))).alias("i"), F.struct(k.alias("b"), F.lit("v").alias("a")).alias("o"))
+    text = F.concat(F.lit('{"type":"'), doc["type"], F.lit('","items":['), F.concat_ws(",", doc["i"]), F.lit('],"o":'), F.to_json(doc["o"]), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("record"))
+
+
+_EACH = f"WITH e AS ({_ITEM}), i AS (SELECT event_id, event_type, k + j AS n, j, CASE j WHEN 0 THEN event_type WHEN 1 THEN 'x' END AS t FROM e, range(3) r(j)) "
+
+
+@query("json_expr_select", _EACH + "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY j) AS INT) AS pos, CAST(n AS VARCHAR) AS value FROM i WHERE n >= 50 AND t = 'x' OR n < 3", "json", (Param("expression", "string", '.items[] | select(.n >= 50 and .t == "x" or .n < 3) | .n', min_length=1),))
+def json_expr_select(spark, sf_dir, expression='.items[] | select(.n >= 50 and .t == "x" or .n < 3) | .n'):
+    """An expression that goes through arrays and keeps some elements."""
+    return evaluate(_nested(spark, sf_dir), expression)
+
+
+@query("json_expr_map", _EACH + "SELECT event_id, 1 AS pos, '[' || string_agg(coalesce('\"' || t || '\"', 'null'), ',' ORDER BY j) || ']' AS value FROM i GROUP BY event_id", "json")
+def json_expr_map(spark, sf_dir):
+    """One field of each element, as an array."""
+    return evaluate(_nested(spark, sf_dir), ".items | map(.t)")
+
+
+@query("json_expr_keys", f"WITH e AS ({_ITEM}) SELECT event_id, CAST(p AS INT) AS pos, CASE p WHEN 1 THEN '[\"items\",\"o\",\"type\"]' END AS value FROM e, (VALUES (1)) v(p)", "json")
+def json_expr_keys(spark, sf_dir):
+    """The names of an object."""
+    return evaluate(_nested(spark, sf_dir), "keys")
+
+
+@query("json_expr_length", f"WITH e AS ({_ITEM}) SELECT event_id, 1 AS pos, CAST(CASE WHEN k >= 90 THEN 3 WHEN k >= 89 THEN 2 WHEN k >= 88 THEN 1 ELSE 0 END AS VARCHAR) AS value FROM e", "json")
+def json_expr_length(spark, sf_dir):
+    """How many elements meet a test."""
+    return evaluate(_nested(spark, sf_dir), ".items | map(select(.n >= 90)) | length")
+
+
 @query("json_path", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events", "json")
 def json_path(spark, sf_dir):
     """A path of each record."""
