@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -63,6 +64,63 @@ def greedy_budget(tasks: DataFrame, key: str, order: str, cost: str, budget: int
     return rows.repartition(key).sortWithinPartitions(key, order, cost).mapInPandas(run, StructType([*rows.schema.fields]).add("runs", "boolean"))
 
 
+def cached_batch(tasks: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], cache: DataFrame | None, store: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(tasks with result, error and from_cache; the cache for the next batch). ``work`` adds result and error to rows of
+    (key, and tasks' other columns), one for each key that the cache (key, result, error) lacks: tasks of a key are alike, and
+    any one runs for all. A failing task is a row with its error and doesn't end the batch; it is not kept in the cache, so
+    a later batch tries it again. Null keys are never cached and each run on their own."""
+    known = cache if cache is not None else None
+    new = tasks.where(F.col(key).isNotNull())
+    new = new if known is None else new.join(known.select(key), key, "left_anti")
+    done = store(work(new.dropDuplicates([key])).select(key, "result", "error"))
+    results = done.withColumn("from_cache", F.lit(False))
+    good = done.where("error is null")
+    if known is not None:
+        results = results.union(known.select(key, "result", "error").withColumn("from_cache", F.lit(True)))
+        good = known.select(key, "result", "error").union(good)
+    alone = work(tasks.where(F.col(key).isNull())).withColumn("from_cache", F.lit(False))
+    return tasks.join(results, key).select(*alone.columns).union(alone), good
+
+
+def step_trends(log: DataFrame, key: str, order: str, steps: str) -> DataFrame:
+    """trends of each step of each key's runs: log has ``steps``, an array of (step, duration_ms)."""
+    each = log.select(key, order, F.explode(steps).alias("s")).select(F.struct(F.col(key), F.col("s.step").alias("step")).alias("_k"), order, F.col("s.duration_ms").alias("duration_ms"))
+    return trends(each, "_k", order, "duration_ms").select(F.col(f"_k.{key}").alias(key), "_k.step", "n", "older", "newer", "trend")
+
+
+class Profiled:
+    """Counts of a run, taken while its rows are written, and its times, appended to a log of runs.
+
+        with Profiled(df, "search_regex", log_path, most=1000) as run:
+            run.rows.write.parquet(out)
+
+    The log's rows: skill, began and ended (Unix milliseconds), duration, rows, truncated (whether the rows reach ``most``)
+    and steps, those named by ``step``. Nothing is read a second time."""
+
+    def __init__(self, df: DataFrame, skill: str, log_path: str, most: int | None = None):
+        self.counts = Observation()
+        self.spark, self.skill, self.path, self.most, self.steps = df.sparkSession, skill, log_path, most, []
+        self.rows = df.observe(self.counts, F.count(F.lit(1)).alias("rows"))
+
+    def __enter__(self) -> Profiled:
+        self.began = self.last = time.time()
+        return self
+
+    def step(self, name: str) -> None:
+        """Ends a step that began with the run or with the end of the one before."""
+        now = time.time()
+        self.steps.append((name, 1000 * (now - self.last)))
+        self.last = now
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is not None:
+            return
+        ended, n = time.time(), self.counts.get["rows"]
+        row = (self.skill, int(1000 * self.began), int(1000 * ended), int(1000 * (ended - self.began)), n, self.most is not None and n >= self.most, self.steps)
+        shape = "skill string, began long, ended long, duration long, rows long, truncated boolean, steps array<struct<step:string,duration_ms:double>>"
+        self.spark.createDataFrame([row], shape).write.mode("append").parquet(self.path)
+
+
 #: Tasks of a block of the global budget, about: what one task puts in order.
 BUDGET_BLOCK = 200_000
 
@@ -103,7 +161,7 @@ def global_budget(tasks: DataFrame, order: str, cost: str, budget: int) -> DataF
         fits = price <= most
         fits = fits if lo is None else fits & (place > lo)
         runs = runs | (fits if hi is None else fits & (place < hi))
-    return tasks.withColumn("runs", F.coalesce(runs, F.lit(False)))
+    return tasks.withColumn("runs", F.coalesce(runs & place.isNotNull(), F.lit(False)))
 
 
 def reachable(starts: DataFrame, edges: DataFrame, most: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:

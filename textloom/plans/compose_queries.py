@@ -152,6 +152,31 @@ def profile_averages(spark, sf_dir):
     return e.groupBy(F.col("event_type").alias("skill")).agg(F.count("*").alias("runs"), F.round(F.avg("value"), 6).alias("duration"), F.round(F.avg(F.aggregate("steps", F.lit(0.0), lambda a, x: a + x)), 6).alias("steps"))
 
 
+@query("batch_cached", "SELECT event_id, CASE WHEN k <> 13 THEN event_type || k END AS result, CASE WHEN k = 13 THEN 'k is 13' END AS error, k <> 13 AND EXISTS (SELECT 1 FROM events f WHERE f.event_type = e.event_type AND f.value > 50 AND CAST(json_extract(f.props, '$.k') AS INT) = k) AS from_cache FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) e", "control")
+def batch_cached(spark, sf_dir):
+    """A second batch, of all events, that runs what the first, of the dear ones, left; failures are rows and run again."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    tasks = table(spark, sf_dir, "events").select("event_id", "event_type", "value", k.alias("k"), C.task_key(F.col("event_type"), k).alias("key"))
+
+    def work(rows):
+        bad = F.col("k") == 13
+        return rows.withColumns({"result": F.when(~bad, F.concat("event_type", F.col("k").cast("string"))), "error": F.when(bad, "k is 13")})
+
+    _, cache = C.cached_batch(tasks.where("value > 50"), "key", work, None, written)
+    return C.cached_batch(tasks, "key", work, cache, written)[0].select("event_id", "result", "error", "from_cache")
+
+
+STEPS = "WITH s AS (SELECT user_id, event_id, 'read' AS step, value / 2 AS d FROM events UNION ALL SELECT user_id, event_id, 'sort', value / (1 + event_id % 3) FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, step ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id, step) AS n FROM s), g AS (SELECT user_id, step, count(*) AS n, avg(d) FILTER (WHERE i <= n // 2) AS o, avg(d) FILTER (WHERE i > n // 2) AS w FROM r GROUP BY user_id, step) SELECT user_id, step, n, CASE WHEN n < 4 THEN 'insufficient_data' WHEN w < o * 0.9 THEN 'improving' WHEN w > o * 1.1 THEN 'degrading' ELSE 'stable' END AS trend FROM g"
+
+
+@query("profile_step_trends", STEPS, "control")
+def profile_step_trends(spark, sf_dir):
+    """Whether the newer half of each step's times is faster or slower."""
+    step = lambda name, ms: F.struct(F.lit(name).alias("step"), ms.alias("duration_ms"))
+    steps = F.array(step("read", F.col("value") / 2), step("sort", F.col("value") / (1 + F.col("event_id") % 3)))
+    return C.step_trends(table(spark, sf_dir, "events").withColumn("steps", steps), "user_id", "event_id", "steps").select("user_id", "step", "n", "trend")
+
+
 TRENDS = "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), g AS (SELECT user_id, count(*) AS n, avg(value) FILTER (WHERE i <= n // 2) AS o, avg(value) FILTER (WHERE i > n // 2) AS w FROM r GROUP BY user_id) SELECT user_id, n, CASE WHEN n < 4 THEN 'insufficient_data' WHEN w < o * 0.9 THEN 'improving' WHEN w > o * 1.1 THEN 'degrading' ELSE 'stable' END AS trend FROM g"
 
 

@@ -8,6 +8,7 @@ from textloom.functions.text import half_up
 from textloom.operators import discovery as D
 from textloom.operators import rollup as U
 from textloom.operators import tabular as T
+from textloom.operators.code import line_counts
 from textloom.plans.params import Param
 from textloom.plans.registry import query
 from textloom.plans.search_queries import LINES, doc_lines
@@ -168,3 +169,17 @@ def dir_rank_top1(spark, sf_dir):
     """The directory with most entries."""
     p = _paths(spark, sf_dir).groupBy(F.split("path", "/")[0].alias("path")).agg(F.count("*").alias("score"))
     return p.orderBy(F.desc("score"), "path").limit(1)
+
+
+_BLOCKS = """WITH t AS (SELECT doc_id, lang, string_split(replace(coalesce(text, ''), '*/', '* /'), chr(10)) AS a FROM documents),
+n AS (SELECT doc_id, lang, len(a) AS n, len(list_filter(a, lambda x: NOT regexp_matches(x, '[^ \t\n\r\f\v]'))) AS b FROM t)
+SELECT doc_id, CAST(n + 6 AS BIGINT) AS lines, CAST(2 AS BIGINT) AS code, CAST(n - b + 3 AS BIGINT) AS comments, CAST(b + 1 AS BIGINT) AS blanks FROM n"""
+
+
+@query("lang_block_comments", _BLOCKS, "rollup")
+def lang_block_comments(spark, sf_dir):
+    """Code, comments and blanks of files with comments over several lines, and marks of comments in strings."""
+    body = F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("* /"))
+    code = F.concat(F.lit("/* begin\n"), body, F.lit('\nend */\nx = "/* no comment // at all";\n \n// one line "\ny(); /* a */ // b\n'))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.lit("java").alias("language"), code.alias("source_text"))
+    return line_counts(files, "source_text", "language").select("doc_id", "lines", "code", "comments", "blanks")

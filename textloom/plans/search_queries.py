@@ -9,6 +9,7 @@ from textloom.operators import discovery as D
 from textloom.operators import replace as R
 from textloom.operators import search as S
 from textloom.operators import tabular as T
+from textloom.operators.ignore import rules_of, with_ignored
 from textloom.plans.params import Param
 from textloom.plans.registry import query
 from textloom.sources.tables import table, text_lines
@@ -77,6 +78,27 @@ def search_multiline_anchors(spark, sf_dir):
     return S.search(docs(spark, sf_dir), pattern(r"\.$.^[A-Z]", multiline=True), "text").select("doc_id", "column_start")
 
 
+_TREE = "SELECT doc_id, text, source || '/' || lang || '/d' || doc_id || '.txt' AS path, source, lang FROM documents"
+_IGNORED = f"""WITH t AS ({_TREE}), g AS (SELECT *, source LIKE '%2' AS by_source, source LIKE '%3' AND lang = 'en' AS by_folder,
+CASE WHEN source LIKE '%4' AND suffix(path, '7.txt') THEN false WHEN source LIKE '%4' AND lang = 'de' THEN true WHEN suffix(path, '11.txt') THEN false WHEN suffix(path, '1.txt') THEN true ELSE false END AS by_name FROM t)
+SELECT path, CAST(len(string_split(text, 'tion')) - 1 AS BIGINT) AS n FROM g WHERE NOT (by_source OR by_folder OR by_name) AND contains(text, 'tion')"""
+
+
+@query("search_ignore_rules", _IGNORED, "search")
+def search_ignore_rules(spark, sf_dir):
+    """Search outside of what ignore files name, in folders, with negated rules, the deepest and last one deciding."""
+    d = docs(spark, sf_dir)
+    files = d.select(F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "source", "text")
+    top = ("# names", "", "*1.txt", "!*11.txt", "*2/", "*3/en")
+    # The top's ignore file, and one in each source's folder whose name ends in 4.
+    lines = F.array(*[F.struct(F.lit("").alias("folder"), F.lit(i).alias("place"), F.lit(x).alias("line")) for i, x in enumerate(top)])
+    deep = F.array(*[F.struct(F.col("source").alias("folder"), F.lit(i).alias("place"), F.lit(x).alias("line")) for i, x in enumerate(("de/**", "!*7.txt"))])
+    sources = files.select("source").distinct()
+    own = sources.select(F.inline(F.when(F.col("source").endswith("4"), F.concat(lines, deep)).otherwise(lines))).distinct()
+    kept = with_ignored(files.select("path", "text"), "path", rules_of(own)).where(~F.col("ignored"))
+    return kept.where(F.col("text").contains("tion")).select("path", (F.size(F.split("text", "tion", -1)) - 1).cast("long").alias("n"))
+
+
 @query("search_file_types", LINES + f"SELECT lang, {MATCH.format('sch')} FROM l WHERE lang IN ('de', 'fr') AND contains(line_text, 'sch')", "search", (Param("types", "array", ("de", "fr")),))
 def search_file_types(spark, sf_dir, types=("de", "fr")):
     """Search in files of some types only."""
