@@ -2,6 +2,8 @@ import hashlib
 import math
 import random
 import re
+import string
+import time
 from collections import Counter
 
 from helpers import ODD, frame
@@ -106,3 +108,31 @@ def test_query_digests(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in want) for kind in ("assign", "access", "hex"))
         n += len(want)
     assert n > 0
+
+
+def test_keys_are_found_however_many_there_are(spark, sf_dir):
+    r = random.Random(11)
+    texts = [t or "" for (t,) in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(150).collect()]
+    for n in (0, 2, 15, 75):
+        docs, keys = [], {}
+        for i, t in enumerate(texts):
+            if i < n:
+                kind = (string.ascii_letters + string.digits, string.ascii_uppercase + "234567")[i % 2]
+                keys[i] = "".join(r.choice(kind) for _ in range(r.randint(20, 40)))
+                t = f"{t}\nthe value is {keys[i]} for now"
+            docs.append((i, t))
+        found = S.find_secrets(frame(spark, docs)).select("doc_id", "text", "spans").collect()
+        spans = [(x.doc_id, x.text[s["start"] : s["end"]]) for x in found for s in x.spans if s["kind"] == 3]
+        hits = sum(1 for i, s in spans if keys.get(i) == s)
+        assert hits >= 0.95 * n - 1 and len(spans) - hits <= max(1, 0.05 * n), (n, hits, len(spans))
+
+
+def test_many_runs_in_one_text_take_no_quadratic_time(spark):
+    text = "x" + " ab12" * 3 + "".join(f" {'deadbeef' * 4}{i:05d}" for i in range(16_000))
+    rows = spark.createDataFrame([(text,)], "whole string")
+    S.with_base_spans(rows).select("base").first()
+    began = time.time()
+    base = S.with_base_spans(rows).select("base").first().base
+    assert time.time() - began < 20
+    assert len(base) == 16_000
+    assert all(text[s["start"] : s["end"]] == f"{'deadbeef' * 4}{i:05d}" for i, s in enumerate(base))

@@ -40,15 +40,30 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
     """Spans of all matches, from the lengths of the matches and of what lies between them."""
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     own = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    pairs = F.filter(F.arrays_zip(between.alias("between"), own.alias("own")), lambda x: x["own"].isNotNull())
+    zero, empty = F.lit(0).cast("long"), F.expr(f"cast(array() as {SPAN})")
 
     def step(a: Column, x: Column) -> Column:
         begin = a["at"] + x["between"]
         end = begin + x["own"]
         return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(between.alias("between"), own.alias("own")), lambda x: x["own"].isNotNull())
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    # Matches go in stretches of about the root of their number, as each step copies what its stretch has so far.
+    def in_stretches(rows: Column) -> Column:
+        n = F.greatest(F.ceil(F.sqrt(F.size(rows))), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / n).cast("int")), lambda i: F.slice(rows, i * n + 1, n))
+
+    def placed(stretches: Column) -> Column:
+        lengths = F.transform(stretches, lambda p: F.aggregate(p, zero, lambda a, x: a + x["between"] + x["own"]))
+        ends = F.aggregate(lengths, F.array(zero), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+        return _once(ends, lambda at: F.flatten(F.transform(stretches, lambda p, i: F.aggregate(p, F.struct(F.get(at, i).alias("at"), empty.alias("out")), step, lambda a: a["out"]))))
+
+    return _once(pairs, lambda rows: F.when(F.size(rows) > 0, _once(in_stretches(rows), placed)).otherwise(empty))
+
+
+def _once(x: Column, use) -> Column:
+    """use(x), with x computed once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
 def _none() -> Column:
@@ -132,8 +147,10 @@ def train(samples: DataFrame) -> Models:
 def labelled_samples(docs: DataFrame) -> DataFrame:
     """(s, random, n) from all docs (a string column ``whole``). Random: the values of base spans, and strings made for
     each text from its hash, in the alphabets of keys (base64, letters and digits, hexadecimal), which no base pattern has
-    to know. Ordinary: all identifiers outside base spans, and for each text one composed of its first three."""
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("whole", ASSIGN, " "), ACCESS, " "), HEX, " ")
+    to know. Ordinary: all identifiers outside base spans and of less than RUN_LEAST characters, and for each text one
+    composed of its first three. Longer runs are what the models judge, so they teach neither: the more keys a table had, the
+    more would count as ordinary."""
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("whole", ASSIGN, " "), ACCESS, " "), HEX, " "), RUN, " ")
     names = docs.select(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0)).alias("names"))
     joints = F.array(*map(F.lit, ("_", "-", "/", "")))
     joint = F.get(joints, F.pmod(F.xxhash64("names"), F.lit(4)).cast("int"))
