@@ -20,7 +20,8 @@ def pattern(text: str, literal: bool = False, ignore_case: bool = False, word: b
     out = re.sub(r"([^0-9A-Za-z_\s])", r"\\\1", text) if literal else text
     if word:
         out = f"(?<![{WORD}])(?:{out})(?![{WORD}])"
-    out = f"(?d{'i' if ignore_case else ''}{'ms' if multiline and not literal else ''}){out}"
+    flags = ("d" if not literal and re.search(r"[.^$\\]", text.replace("\\p", "")) else "") + ("i" if ignore_case else "") + ("ms" if multiline and not literal else "")
+    out = f"(?{flags}){out}" if flags else out
     jvm = SparkContext._jvm
     if jvm is not None:
         try:

@@ -35,7 +35,8 @@ def task_key(*parts: Column) -> Column:
 
 def dedup_tasks(tasks: DataFrame, key: str, order: str) -> DataFrame:
     """Tasks with the first task of the same key, which runs for all of them."""
-    return tasks.withColumn("runs_as", F.min(order).over(Window.partitionBy(key)))
+    first = tasks.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("runs_as"))
+    return tasks.join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def fan_out(tasks: DataFrame, key: str, order: str, results: DataFrame) -> DataFrame:

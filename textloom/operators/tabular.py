@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources.scratch import written
+
 
 def count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("count"))
@@ -20,10 +22,15 @@ def headers(df: DataFrame) -> DataFrame:
     return sums.select(F.inline(rows))
 
 
+#: The last row of a slice up to which tasks keep their first rows, instead of a sort of the whole table.
+SLICE_ROWS = 100_000
+
+
 def ranked(df: DataFrame, order: list, name: str = "place") -> DataFrame:
     """df with each row's place, from 1, in an order without ties. Sorted by ranges: a row's number in its range, which
-    Spark's sort gives, after the rows of the ranges before it. No task gets all rows."""
-    rows = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    Spark's sort gives, after the rows of the ranges before it. No task gets all rows. The sorted rows are written once, as
+    numbers given in one evaluation must not meet those of another."""
+    rows = written(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     part, own = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     sums = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sums.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
@@ -31,7 +38,10 @@ def ranked(df: DataFrame, order: list, name: str = "place") -> DataFrame:
 
 
 def slice_rows(df: DataFrame, order: list, start: int, end: int) -> DataFrame:
-    """Rows ``start`` to ``end`` - 1, from 0, in an order without ties, see ranked."""
+    """Rows ``start`` to ``end`` - 1, from 0, in an order without ties: the first ``end`` rows of each task as long as they
+    are few, else by places, see ranked. Both are exact."""
+    if end <= SLICE_ROWS:
+        return df.orderBy(*order).limit(max(0, end)).offset(min(max(0, start), max(0, end)))
     return ranked(df, order, "_place").where((F.col("_place") > start) & (F.col("_place") <= end)).drop("_place")
 
 
@@ -53,7 +63,7 @@ def distributions(values: DataFrame, *keys: str) -> DataFrame:
     """
     moments = values.groupBy(*keys).agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("nulls"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"))
     same = lambda a, b: reduce(lambda c, k: c & a[k].eqNullSafe(b[k]), keys, F.lit(True))
-    ends = F.broadcast(moments.select(*keys, F.col("min").alias("_low"), F.col("max").alias("_high"), F.col("n").alias("_total")))
+    ends = moments.select(*keys, F.col("min").alias("_low"), F.col("max").alias("_high"), F.col("n").alias("_total"))
     kinds = values.where("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("c"))
     kinds = kinds.join(ends, same(kinds, ends)).select(*[kinds[k] for k in keys], "x", "c", "_low", "_high", "_total")
     share = (F.col("x") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
@@ -64,12 +74,12 @@ def distributions(values: DataFrame, *keys: str) -> DataFrame:
     # The middle values are the ones at places floor((n + 1) / 2) and floor(n / 2) + 1.
     low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
     middle = parts.where(((F.col("_before") < low) & (F.col("_upto") >= low)) | ((F.col("_before") < high) & (F.col("_upto") >= high)))
-    middle = F.broadcast(middle.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), "_before", "distinct"))
+    middle = middle.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), "_before", "distinct")
     at = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.col("_part") == F.col("_p"))
     inside = kinds.join(middle, at).withColumn("_to", F.col("_before") + F.sum("c").over(Window.partitionBy(*keys, "_part").orderBy("x")))
     pick = lambda place: F.min(F.when(F.col("_to") >= place, F.col("x")))
     medians = inside.groupBy(*keys).agg(((pick(low) + pick(high)) / 2).alias("median"), F.first("distinct").alias("distinct"))
-    out = moments.join(F.broadcast(medians), same(moments, medians), "left")
+    out = moments.join(medians, same(moments, medians), "left")
     return out.select(*[moments[k] for k in keys], "n", "nulls", "min", "max", "mean", "stddev", "median", F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
