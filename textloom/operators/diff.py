@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.search import cap_in_groups
+
 HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
@@ -13,37 +15,37 @@ def numbered_lines(lines: DataFrame, source: str) -> DataFrame:
     content, old_line_number, new_line_number. Context counts on both sides, a deletion on the old and an addition on the
     new one; the other number is null. Headers are only taken for headers before a file's first hunk."""
     x = F.col("line_text")
+    # All in one order of a source's lines, with what has run up to a line: one sort, and no file or hunk is held.
     w = Window.partitionBy(source).orderBy("pos")
-    rows = lines.withColumn("file_no", F.sum(x.startswith("diff --git ").cast("int")).over(w)).where("file_no > 0")
-    by_file = Window.partitionBy(source, "file_no").orderBy("pos")
-    rows = rows.withColumn("hunk", F.sum(x.rlike(HUNK).cast("int")).over(by_file))
-    whole = Window.partitionBy(source, "file_no")
-    head = F.col("hunk") == 0
-    pick = lambda p: F.max(F.when(head & x.rlike(p), F.regexp_extract(x, p, 1))).over(whole)
-    rows = rows.withColumns(
-        {
-            "file": pick(r"^diff --git a/.+ b/(.+)$"),
-            "old_file": pick(r"^diff --git a/(.+) b/.+$"),
-            "change_type": F.when(F.max(head & x.startswith("new file")).over(whole), "added")
-            .when(F.max(head & x.startswith("deleted file")).over(whole), "deleted")
-            .when(F.max(head & x.startswith("rename from ")).over(whole), "renamed")
-            .otherwise("modified"),
-        }
-    )
-    in_hunk = Window.partitionBy(source, "file_no", "hunk").orderBy("pos")
-    rows = rows.where("hunk > 0").withColumns(
-        {
-            "header": F.first("line_text").over(in_hunk),
-            "type": F.when(x.startswith("+"), "addition").when(x.startswith("-"), "deletion").when(x.startswith(" "), "context"),
-        }
-    )
-    before = in_hunk.rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda *kinds: F.coalesce(F.sum(F.col("type").isin(*kinds).cast("int")).over(before), F.lit(0))
-    old = F.regexp_extract("header", HUNK, 1).cast("int") + count("context", "deletion")
-    new = F.regexp_extract("header", HUNK, 2).cast("int") + count("context", "addition")
-    rows = rows.withColumns({"old_line_number": F.when(F.col("type") != "addition", old), "new_line_number": F.when(F.col("type") != "deletion", new)})
-    rows = rows.where(F.col("type").isNotNull())
-    return rows.select(source, "file", "old_file", "change_type", "hunk", "header", "pos", "type", F.expr("substring(line_text, 2)").alias("content"), "old_line_number", "new_line_number")
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    running = lambda c: F.sum(c.cast("int")).over(w)
+    on_old, on_new = x.startswith(" ") | x.startswith("-"), x.startswith(" ") | x.startswith("+")
+    starts, opens = x.startswith("diff --git "), x.startswith("@@ ") & x.rlike(HUNK)
+    rows = lines.withColumns({"_starts": starts, "_opens": opens, "_on_old": on_old, "_on_new": on_new})
+    rows = rows.withColumns({"_files": running(F.col("_starts")), "_hunks": running(F.col("_opens")), "_olds": running(F.col("_on_old")), "_news": running(F.col("_on_new"))})
+    shape = r"^diff --git a/(.+) b/(.+)$"
+    name = lambda i: F.nullif(F.regexp_extract(x, shape, i), F.lit(""))
+    head = F.struct(name(2).alias("file"), name(1).alias("old_file"), F.col("_hunks").alias("hunks"))
+    rows = rows.withColumns({"_head": last(F.when(F.col("_starts"), head)), "_hunk": last(F.when(F.col("_opens"), F.struct(x.alias("line"), F.col("_olds").alias("olds"), F.col("_news").alias("news"))))})
+    rows = rows.withColumn("hunk", (F.col("_hunks") - F.col("_head.hunks")).cast("long"))
+    seen = lambda words: last(F.when((F.col("hunk") == 0) & x.startswith(words), F.col("_files"))) == F.col("_files")
+    kind = F.when(seen("new file"), "added").when(seen("deleted file"), "deleted").when(seen("rename from "), "renamed").otherwise("modified")
+    rows = rows.withColumn("change_type", kind).where("hunk > 0")
+    rows = rows.withColumn("type", F.when(x.startswith("+"), "addition").when(x.startswith("-"), "deletion").when(x.startswith(" "), "context")).where("type is not null")
+    at = lambda i, n: F.regexp_extract("_hunk.line", HUNK, i).cast("int") + F.col(f"_{n}") - F.col(f"_hunk.{n}") - 1
+    return rows.select(
+        source, F.col("_head.file").alias("file"), F.col("_head.old_file").alias("old_file"), "change_type", "hunk", F.col("_hunk.line").alias("header"), "pos", "type", F.expr("substring(line_text, 2)").alias("content"),
+        F.when(F.col("_on_old"), at(1, "olds")).alias("old_line_number"), F.when(F.col("_on_new"), at(2, "news")).alias("new_line_number"),
+    )
+
+
+def first_files(lines: DataFrame, source: str, most: int) -> DataFrame:
+    """(source, file, truncated): the first ``most`` files of each source's diff lines (source, pos, line_text), in their
+    order, each once, and whether there are more. A line of a hunk begins with another character than a file's header."""
+    x = F.col("line_text")
+    name = F.regexp_extract(x, r"^diff --git a/.+ b/(.+)$", 1)
+    files = lines.where(x.startswith("diff --git ")).select(source, "pos", name.alias("file")).where("file <> ''")
+    return cap_in_groups(files.groupBy(source, "file").agg(F.min("pos").alias("pos")), source, ["pos"], most).select(source, "file", "truncated")
 
 
 def totals(numbered: DataFrame, *keys: str) -> DataFrame:

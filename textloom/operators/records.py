@@ -9,7 +9,7 @@ from textloom.functions.text import bare_mail, iso_utc, relative_date
 
 
 def _int(x: Column) -> Column:
-    return x.try_cast("int")
+    return F.when(x != "", x.try_cast("int"))
 
 
 # The marks of commit and stash blocks.
@@ -43,26 +43,31 @@ def commits(raw: DataFrame, text: str, *keys: str, emails: bool | None = None) -
     emails: None for blocks as above; else blocks of seven meta lines (author, address, committer, address, date, relative
     date, committer's date), of which author and committer are the addresses, without brackets, or the names.
     """
-    blocks = _blocks(raw, text, keys, COMMIT_START).where(F.col("block").rlike(f"(?s){COMMIT_META}.*{COMMIT_END}"))
-    head, rest = F.split("block", COMMIT_META, 2)[0], F.split("block", COMMIT_META, 2)[1]
-    meta, tail = _lines(F.split(rest, COMMIT_END, 2)[0]), F.split(rest, COMMIT_END, 2)[1]
-    f = _lines(head)
+    # Each step makes what the next one names several times, so that a block is cut once.
+    meta_at, after_meta = f"instr(block, '{COMMIT_META}')", f"substring(block, instr(block, '{COMMIT_META}') + {len(COMMIT_META)})"
+    parts = _blocks(raw, text, keys, COMMIT_START).select(*keys, "pos", "block", F.expr(meta_at).alias("_meta_at"), F.expr(after_meta).alias("_rest"))
+    parts = parts.withColumn("_end_at", F.instr("_rest", COMMIT_END)).where("_meta_at > 0 and _end_at > 0")
+    tail = F.split(F.expr(f"substring(_rest, _end_at + {len(COMMIT_END)})"), "\n")
+    sums = r"files? changed|insertion|deletion"
+    parts = parts.select(
+        *keys, "pos", _lines(F.expr("left(block, _meta_at - 1)")).alias("_head"), _lines(F.expr("left(_rest, _end_at - 1)")).alias("_meta"),
+        F.filter(F.transform(tail, lambda x: F.rtrim(x)), lambda x: x != "").alias("_lines"),
+    )
+    names = F.filter("_lines", lambda x: ~x.rlike(sums) & (x.contains("|") | ~x.rlike("^(>>>|-)")))
+    parts = parts.select(*keys, "pos", "_head", "_meta", F.get(F.filter("_lines", lambda x: x.rlike(r"\d+ files? changed")), F.lit(0)).alias("_stat"), names.alias("_names"))
+    f, meta, stat = F.col("_head"), F.col("_meta"), F.col("_stat")
     if emails is None:
         who = {"author": _line(meta, 0), "committer": _line(meta, 1), "date": _line(meta, 2), "date_relative": _line(meta, 3)}
     else:
         own = [bare_mail(_line(meta, i + 1)) if emails else _line(meta, i) for i in (0, 2)]
         who = {"author": own[0], "committer": own[1], "date": _line(meta, 4), "date_relative": _line(meta, 5), "committer_date": _line(meta, 6)}
-    lines = F.filter(F.transform(F.split(tail, "\n"), lambda x: F.rtrim(x)), lambda x: x != "")
-    sums = r"files? changed|insertion|deletion"
-    stat = F.get(F.filter(lines, lambda x: x.rlike(r"\d+ files? changed")), F.lit(0))
-    names = F.filter(lines, lambda x: ~x.rlike(sums) & (x.contains("|") | ~x.rlike("^(>>>|-)")))
-    names = F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(F.substring_index(x, "|", 1))), lambda x: x != ""))
+    names = F.array_distinct(F.filter(F.transform("_names", lambda x: F.trim(F.substring_index(x, "|", 1))), lambda x: x != ""))
     body = F.array_join(F.slice(f, F.lit(4), F.greatest(F.size(f) - 3, F.lit(0))), "\n")
-    return blocks.select(
+    return parts.select(
         *keys, "pos", *[_line(f, i).alias(n) for i, n in enumerate(("hash", "short_hash", "subject"))], _stripped(body).alias("body"), *[c.alias(n) for n, c in who.items()],
         _int(F.regexp_extract(stat, r"(\d+) files? changed", 1)).alias("files"),
-        F.when(stat.isNotNull(), F.coalesce(_int(F.regexp_extract(stat, r"(\d+) insertions?\(\+\)", 1)), F.lit(0))).alias("insertions"),
-        F.when(stat.isNotNull(), F.coalesce(_int(F.regexp_extract(stat, r"(\d+) deletions?\(-\)", 1)), F.lit(0))).alias("deletions"),
+        F.when(stat.isNotNull(), F.coalesce(F.when(stat.contains("insertion"), _int(F.regexp_extract(stat, r"(\d+) insertions?\(\+\)", 1))), F.lit(0))).alias("insertions"),
+        F.when(stat.isNotNull(), F.coalesce(F.when(stat.contains("deletion"), _int(F.regexp_extract(stat, r"(\d+) deletions?\(-\)", 1))), F.lit(0))).alias("deletions"),
         names.alias("files_changed"),
     )
 

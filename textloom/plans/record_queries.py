@@ -64,7 +64,7 @@ def raw_log_commits(spark, sf_dir):
 
 def _joined(df, key, order, line):
     """One text per key, its lines in order."""
-    own = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("x"))
+    own = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, line.alias("line")))).alias("x"))
     return own.select(key, F.concat_ws("\n", F.transform("x", lambda x: x["line"])).alias("text"))
 
 
@@ -441,9 +441,12 @@ def branches_truncated(spark, sf_dir, most=10):
 
 @query("diff_truncate_files", "SELECT l_suppkey, file, n > 5 AS truncated FROM (SELECT l_suppkey, 'f' || l_orderkey AS file, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)) WHERE i <= 5", "diff", (Param("most", "integer", 5, minimum=1),))
 def diff_truncate_files(spark, sf_dir, most=5):
-    """The first files of each supplier's changes, and whether there are more."""
-    files = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey").distinct()
-    return S.cap_in_groups(files, "l_suppkey", ["l_orderkey"], most).select("l_suppkey", F.concat(F.lit("f"), _s("l_orderkey")).alias("file"), "truncated")
+    """The first files of each supplier's diff, and whether there are more."""
+    orders = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey").distinct()
+    name = F.concat(F.lit("f"), _s("l_orderkey"))
+    one = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1 +1,2 @@\n same\n+diff --git a/x b/x"))
+    diffs = _joined(orders, "l_suppkey", ["l_orderkey"], one)
+    return D.first_files(text_lines(diffs, "text", "l_suppkey").withColumnRenamed("line_number", "pos"), "l_suppkey", most)
 
 
 @query("diff_line_budget", ITEMS + "h AS (SELECT l_orderkey, n, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS BIGINT) AS hunk, CASE WHEN n % 3 <> 0 THEN 3 ELSE 2 END AS lines FROM i), c AS (SELECT *, coalesce(sum(lines) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h) SELECT l_orderkey, hunk, '@@ -' || n * 10 || ',2 +' || n * 10 || ',2 @@' AS header, CAST(greatest(0, least(lines, 4 - before)) AS BIGINT) AS lines, lines > greatest(0, 4 - before) AS truncated FROM c", "diff", (Param("most", "integer", 4, minimum=0),))

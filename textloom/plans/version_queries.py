@@ -45,7 +45,7 @@ v AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n, k) AS num
 
 def _orders(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
-    rows = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "p"))).alias("x"))
+    rows = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", "p"))).alias("x"))
     line = lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["p"].cast("string"))
     rule = lambda x: F.pmod(x["n"], F.lit(4))
     edit = lambda x: (

@@ -14,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """keys, line_number (from 1) and line_text; a trailing carriage return is dropped, an empty last line stays."""
     out = df.select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_number", "line_text"))
-    return out.select(*keys, (F.col("line_number") + 1).alias("line_number"), F.regexp_replace("line_text", "\r$", "").alias("line_text"))
+    line = F.col("line_text")
+    return out.select(*keys, (F.col("line_number") + 1).alias("line_number"), F.when(line.contains("\r"), F.regexp_replace(line, "\r$", "")).otherwise(line).alias("line_text"))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
