@@ -105,6 +105,23 @@ def shown_tags(raw: DataFrame, text: str, *keys: str) -> DataFrame:
     )
 
 
+def verified_tags(raw: DataFrame, text: str, name: str, *keys: str) -> DataFrame:
+    """keys, tags (the names in the lines of ``text``, blank lines left out) and verified: whether ``name`` is one of them.
+    Null texts have no names; a null or blank name is never verified."""
+    tags = F.coalesce(F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: _stripped(x)), lambda x: x != ""), F.expr("cast(array() as array<string>)"))
+    rows = raw.select(*keys, _stripped(F.col(name)).alias("_name"), tags.alias("tags"))
+    return rows.select(*keys, "tags", F.coalesce(F.array_contains("tags", F.col("_name")), F.lit(False)).alias("verified"))
+
+
+def shown_trees(raw: DataFrame, text: str, *keys: str, most: int = 100) -> DataFrame:
+    """keys, mode, type (tree or blob), hash and path of the first ``most`` entries of each shown tree, in their order, and
+    truncated: whether the tree has more. Works inside the row."""
+    shape = r"^(\d+)\s+(tree|blob)\s+([a-f0-9]+)\s+(.+)$"
+    rows = raw.select(*keys, F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: _stripped(x)), lambda x: x.rlike(shape)).alias("_entries"))
+    rows = rows.select(*keys, (F.size("_entries") > most).alias("truncated"), F.explode(F.slice("_entries", 1, most)).alias("_entry"))
+    return rows.select(*keys, *[F.regexp_extract("_entry", shape, i).alias(n) for i, n in enumerate(("mode", "type", "hash", "path"), 1)], "truncated")
+
+
 def shown_blobs(raw: DataFrame, text: str, *keys: str, most_lines: int = 500) -> DataFrame:
     """Shown contents: size in characters, the first lines, and whether there are more."""
     lines = F.split(F.col(text), "\n", -1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import byte_start, first_match, required_word
+from textloom.operators.tabular import ranked
 
 
 def search(lines: DataFrame, regex: str, text: str = "line_text") -> DataFrame:
@@ -58,6 +59,20 @@ def cap(found: DataFrame, order: list[str], most: int) -> DataFrame:
     return rows.where(F.col("_n") <= most).drop("_n")
 
 
+SORTS = ("none", "path", "modified", "created")
+
+
+def sorted_matches(found: DataFrame, by: str, file: str = "path", name: str = "place") -> DataFrame:
+    """Matches (``file``, line_number and the column ``by``) with their places from 1, by path or by a time, then by ``file``
+    and line; null with ``none``. Missing times come first, as the least ones. Sorted by ranges: no task gets all matches."""
+    if by not in SORTS:
+        raise ValueError(f"unknown sort: {by}; one of {', '.join(SORTS)}")
+    if by == "none":
+        return found.withColumn(name, F.lit(None).cast("long"))
+    keys = [file, "line_number"] if by == "path" else [by, file, "line_number"]
+    return ranked(found, [F.asc_nulls_first(k) for k in keys], name)
+
+
 def summary(files: DataFrame, regex: str, text: str = "text") -> DataFrame:
     """One row: matching lines, files with some, files searched. One pass, a number for each file."""
     n = F.size(F.filter(numbered(F.col(text)), lambda x: x["line_text"].rlike(regex)))

@@ -439,6 +439,32 @@ def branches_truncated(spark, sf_dir, most=10):
     return S.cap_in_groups(own.select("c_nationkey", "name"), "c_nationkey", ["name"], most)
 
 
+@query("tree_truncated", "SELECT l_suppkey, '100644' AS mode, CASE WHEN l_partkey % 2 = 0 THEN 'tree' ELSE 'blob' END AS type, md5(CAST(l_partkey AS VARCHAR)) AS hash, 'p/' || l_partkey AS path, n > 10 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) WHERE i <= 10", "records", (Param("most", "integer", 10, minimum=1),))
+def tree_truncated(spark, sf_dir, most=10):
+    """The first entries of each supplier's tree, and whether there are more."""
+    parts = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    line = F.concat(F.lit("100644 "), F.when(F.col("l_partkey") % 2 == 0, "tree").otherwise("blob"), F.lit(" "), F.md5(_s("l_partkey")), F.lit("\tp/"), _s("l_partkey"))
+    return P.shown_trees(_joined(parts, "l_suppkey", ["l_partkey"], line), "text", "l_suppkey", most=most)
+
+
+@query("tags_verified", "SELECT o_custkey, 'v' || max(o_orderkey) AS latest, count(*) AS tags, max(o_orderkey % 3) > 0 AND arg_max(o_orderkey % 3, o_orderkey) > 0 AS verified FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) GROUP BY 1", "records")
+def tags_verified(spark, sf_dir):
+    """Whether each customer's latest tag is among the verified ones; every third order's name is followed by a remark."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").distinct()
+    line = F.concat(F.lit("v"), _s("o_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, " unsigned").otherwise(" "), F.lit("\n"))
+    latest = o.groupBy("o_custkey").agg(F.concat(F.lit("v"), F.max("o_orderkey").cast("string")).alias("latest"))
+    found = P.verified_tags(_joined(o, "o_custkey", ["o_orderkey"], line).join(latest, "o_custkey"), "text", "latest", "o_custkey", "latest")
+    return found.select("o_custkey", "latest", F.size("tags").cast("long").alias("tags"), "verified")
+
+
+@query("stashes_truncated", "SELECT o_custkey, \"index\", message, n > 5 AS truncated FROM (SELECT o_custkey, CAST(o_orderkey AS INT) AS \"index\", 'On ' || o_orderstatus AS message, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE i <= 5", "records", (Param("most", "integer", 5, minimum=1),))
+def stashes_truncated(spark, sf_dir, most=5):
+    """The first stashes of each customer, and whether there are more."""
+    line = F.concat(F.lit("stash@{"), _s("o_orderkey"), F.lit("}: On "), F.col("o_orderstatus"))
+    own = P.stashes(table(spark, sf_dir, "orders").select("o_custkey", line.alias("line_text")))
+    return S.cap_in_groups(own, "o_custkey", ["index"], most)
+
+
 @query("diff_truncate_files", "SELECT l_suppkey, file, n > 5 AS truncated FROM (SELECT l_suppkey, 'f' || l_orderkey AS file, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)) WHERE i <= 5", "diff", (Param("most", "integer", 5, minimum=1),))
 def diff_truncate_files(spark, sf_dir, most=5):
     """The first files of each supplier's diff, and whether there are more."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.functions.text import half_up
+from textloom.functions.text import half_up, pattern
 from textloom.operators import discovery as D
 from textloom.operators import rollup as U
+from textloom.operators import search as S
 from textloom.operators import tabular as T
 from textloom.operators.code import line_counts
 from textloom.plans.params import Param
@@ -164,6 +165,19 @@ def files_by_time(spark, sf_dir, key="modified", descending=True):
     return T.ranked(f, [F.desc(key) if descending else F.asc(key), "doc_id"]).select("doc_id", "place")
 
 
+@query(
+    "search_sorted",
+    LINES.rstrip() + ", " + FILES.removeprefix("WITH ") + "SELECT doc_id, line_number, row_number() OVER (ORDER BY modified - doc_id % 1000 * 60, doc_id, line_number) AS place FROM l JOIN f USING (doc_id) WHERE regexp_matches(line_text, '[Tt]h[a-z]+tion')",
+    "search",
+    (Param("sort", "string", "created", enum=S.SORTS),),
+)
+def search_sorted(spark, sf_dir, sort="created"):
+    """Matches in files, with their places by path or by a time."""
+    files = _files(spark, sf_dir).select("doc_id", "path", "modified", (F.col("modified") - F.col("doc_id") % 1000 * 60).alias("created"))
+    found = S.search_files(table(spark, sf_dir, "documents").select("doc_id", "text"), pattern("[Tt]h[a-z]+tion")).select("doc_id", "line_number")
+    return S.sorted_matches(found.join(files, "doc_id"), sort, "path" if sort == "path" else "doc_id").select("doc_id", "line_number", "place")
+
+
 @query("dir_rank_top1", PATHS + "SELECT string_split(path, '/')[1] AS path, count(*) AS score FROM p GROUP BY 1 ORDER BY score DESC, 1 LIMIT 1", "discovery")
 def dir_rank_top1(spark, sf_dir):
     """The directory with most entries."""
