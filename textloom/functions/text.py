@@ -160,3 +160,26 @@ def relative_date(then: Column, now: Column) -> Column:
 
 def iso_utc(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+#: Numbers that are summed one by one in a running sum; beyond them whole stretches are.
+STRETCH = 64
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often it is used; for what stands inside a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number of an array, the sum of those before it. Stretches are summed first, so that the work for n numbers
+    grows with n times STRETCH and with the square of n / STRETCH, and no array is copied for each number."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
+
+    def of(x: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / STRETCH).cast("int")), lambda k: F.slice(x, k * STRETCH + 1, F.lit(STRETCH)))
+        placed = lambda parts, starts: F.flatten(F.transform(parts, lambda own, k: F.transform(own, lambda _, i: F.get(starts, k) + total(F.slice(own, F.lit(1), i)))))
+        starts = lambda sums: F.transform(sums, lambda _, k: total(F.slice(sums, F.lit(1), k)))
+        return let(stretches, lambda parts: let(F.transform(parts, total), lambda sums: let(starts(sums), lambda begin: placed(parts, begin))))
+
+    return let(numbers, lambda x: F.when(F.size(x) > 0, of(x)).otherwise(F.expr("cast(array() as array<bigint>)")))

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let, sums_before
 from textloom.operators.search import cap, matching_lines, may_match, numbered, with_context
 
 
@@ -47,17 +48,18 @@ def line_replacements(line: Column, regex: str, replacement: str) -> Column:
     run = (F.length(line) - F.length(F.translate(line, "\ufffe", ""))) * copies + replacement.count("\ufffe") + 1
     mark = F.concat(F.lit("\uffff"), F.repeat(F.lit("\ufffe"), run), F.lit("\uffff"))
     marked = F.split(F.regexp_replace(line, F.lit(regex), F.concat(mark, F.lit(replacement), mark)), mark, -1)
-    pairs = F.transform(own, lambda x, i: F.struct(F.octet_length(F.get(between, i)).alias("gap"), x.alias("old"), F.get(marked, 2 * i + 1).alias("new")))
-    kind = "array<struct<column_start:int,column_end:int,original_text:string,replaced_text:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
+    # Each match begins behind the texts before it and the matches before it.
+    def placed(parts: Column) -> Column:
+        begin = sums_before(F.transform(parts, lambda x: x["gap"] + F.octet_length(x["old"])))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["gap"]
-        end = begin + F.octet_length(x["old"])
-        row = F.struct(begin.alias("column_start"), end.alias("column_end"), x["old"].alias("original_text"), x["new"].alias("replaced_text"))
-        return F.struct(end.alias("at"), F.array_append(a["out"], row).alias("out"))
+        def row(x: Column, before: Column) -> Column:
+            start = (before + x["gap"]).cast("int")
+            return F.struct(start.alias("column_start"), (start + F.octet_length(x["old"])).alias("column_end"), x["old"].alias("original_text"), x["new"].alias("replaced_text"))
 
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+        return let(begin, lambda sums: F.transform(parts, lambda x, i: row(x, F.get(sums, i))))
+
+    pairs = let(between, lambda gaps: let(marked, lambda news: F.transform(own, lambda x, i: F.struct(F.octet_length(F.get(gaps, i)).alias("gap"), x.alias("old"), F.get(news, 2 * i + 1).alias("new")))))
+    return let(pairs, placed)
 
 
 def replacements(files: DataFrame, regex: str, replacement: str, text: str = "text", most: int | None = None) -> DataFrame:
