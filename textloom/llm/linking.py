@@ -124,7 +124,10 @@ def link_buckets(
             discard(links, roots)
             return connected_components(last)
         used = stored(rest.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(many)).alias("part")).agg(F.min("id").alias("lead")).select("bucket", "lead"))
-        more = stored(links.union(confirm(_led(rest, used, alike, F.col("root") != F.col("lead_root")))))
-        discard(links, roots)
-        links, roots = more, connected_components(more)
+        found = stored(confirm(_led(rest, used, alike, F.col("root") != F.col("lead_root"))))
+        if not found.isEmpty():
+            more = stored(links.union(found))
+            discard(links, roots)
+            links, roots = more, connected_components(more)
+        discard(found)
         rest, many = rest.drop("root"), many * leaders
