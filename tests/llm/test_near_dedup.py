@@ -89,6 +89,24 @@ def test_links_left_to_the_prefix_join(spark, monkeypatch):
     assert found and found[0] < 2000
 
 
+def test_elements_of_one_group_leave_the_prefix_join(spark, monkeypatch):
+    """What only one group has is placed nowhere; the links between groups are found all the same."""
+    texts = {1: set(range(100)), 2: {*range(2, 100), 200, 201}}
+    texts |= {10 + i: {*range(30), *range(300, 370), 500 + i} for i in range(40)}
+    texts[90] = {*range(30), *range(300, 369), 600, 601}
+    root = {i: 10 if 10 <= i < 50 else i for i in texts}
+    rows = [(1, 1, i, root[i], len(s), 100, sorted(s ^ texts[1])) for i, s in texts.items() if i != 1]
+    placed, kept = [], N.stored
+    monkeypatch.setattr(N, "stored", lambda df: placed.append(kept(df)) or placed[-1])
+    apart = spark.createDataFrame(rows, "lead long, lead_root long, id long, root long, n long, lead_n long, apart array<long>")
+    got = set(map(tuple, N.pairs_near_leads(apart, 85).collect()))
+    sets = {(a, b) for a in texts for b in texts if a < b and root[a] != root[b] and 100 * len(texts[a] & texts[b]) >= 85 * len(texts[a] | texts[b])}
+    assert sets <= got and (10, 90) in sets and (1, 2) in sets
+    assert all(r.e < 500 or r.e >= 600 for r in placed[0].collect())
+    alone = apart.where("root = 10")
+    assert N.pairs_near_leads(alone, 85).count() == 0 and placed[1].count() == 0
+
+
 def test_very_long_texts(spark):
     r = random.Random(3)
     long = r.choices(words(3), k=60_000)

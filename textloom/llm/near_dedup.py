@@ -168,13 +168,17 @@ def pairs_near_leads(apart: DataFrame, similarity: int) -> DataFrame:
     o = (x + y - most) / 2 of them in common, ``most`` being what two sets of their sizes may differ in. Texts linked to
     the leader are in one group with it. Any other link has an end whose list is longer than that allows, so the other
     end shares one of its first elements with it, rarest first: a prefix join, bounded by place and by length.
+    Elements that only one group has, or only texts linked to the leader, make no such pair: they come before all others
+    and are left out, so that a large group costs what its members differ in from other groups alone.
     """
     near = apart.withColumns({"d": F.size("apart").cast("long")})
     near = near.withColumn("linked", linked(F.col("n") + F.col("lead_n"), F.col("d"), similarity))
     rows = near.select("lead", "id", "root", "n", "lead_n", "d", "linked", F.explode("apart").alias("e"))
-    counts = rows.groupBy("lead", "e").agg(F.count("*").alias("c"))
-    placed = rows.join(counts, ["lead", "e"]).withColumn("at", F.row_number().over(Window.partitionBy("lead", "id").orderBy("c", "e")) - 1)
-    placed = stored(placed.where("c > 1").select("lead", "e", "id", "root", "n", "lead_n", "d", "linked", F.col("at").cast("long").alias("at")))
+    counts = rows.groupBy("lead", "e").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or(~F.col("linked")).alias("far"))
+    placed = rows.join(counts.where("lo <> hi and far").select("lead", "e", "c"), ["lead", "e"])
+    own = Window.partitionBy("lead", "id")
+    at = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "e")) - 1
+    placed = stored(placed.select("lead", "e", "id", "root", "n", "lead_n", "d", "linked", at.cast("long").alias("at")))
     more, less = F.lit(100 + similarity), F.lit(100 - similarity)
     probe = placed.where(~F.col("linked")).select("lead", "e", *[F.col(c).alias(f"p_{c}") for c in ("id", "root", "n", "d", "at")])
     index = placed.where(more * (2 * F.col("at") - F.col("d")) < less * (F.col("n") - F.col("lead_n")))
