@@ -101,5 +101,19 @@ def test_index_streams_matching_statistics():
     assert [list(h) for h in hits] == [[seen[t[i : i + 4]] > 1 for i in range(len(t) - 3)] for t in texts]
 
 
+def test_matches_too_short_to_count_are_not_measured():
+    raw = S.np.frombuffer(b"\xff".join([b"abracadabra", b"cadabrab", b"zz"]) + b"\xff", dtype=S.np.uint8)
+    whole, index = S.RunLengthIndex(raw, 40), S.RunLengthIndex(raw, 40, 4)
+    for a, b in ((whole.head_shared, index.head_shared), (whole.tail_shared, index.tail_shared)):
+        assert [x if x >= 4 else 0 for x in a] == list(b) and 0 < max(b) and min(x for x in a if x) < 4
+
+
+def test_places_are_sorted_alike_packed_or_not():
+    x = S.np.random.default_rng(1).integers(0, 1 << 40, 5000)
+    for bits in (40, 64):
+        by, values = S.sorted_places(x, bits)
+        assert (x[by] == S.np.sort(x)).all() and (values == S.np.sort(x)).all()
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(frame(spark, [])).count() == 0

@@ -30,6 +30,8 @@ SLICE_BYTES = 1 << 23
 BASE2 = 0xD6E8FEB86659FD93
 INVERSE2 = pow(BASE2, -1, 1 << 64)
 SHARD_BYTES = 1 << 20
+#: Bytes by which suffixes are sorted first: so few that they fit in 64 bits beside a place.
+FIRST_BYTES = 5
 #: An anchor with more different regions than this is split by counting, see _split_hot; no task gets them all.
 HOT_REGIONS = 2000
 MARK_BROADCAST_ROWS = 200_000
@@ -134,12 +136,24 @@ def _cut_rows(length: int):
     return run
 
 
+def sorted_places(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values, of so many bits, stand in rising order, and the values in it. Where value and place fit in 64 bits
+    they are sorted as one number, which is several times as fast as sorting places by values."""
+    place = len(x).bit_length()
+    if bits + place > 64:
+        by = np.argsort(x)
+        return by, x[by]
+    both = (x.astype(np.uint64) << np.uint64(place)) | np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << place) - 1)).astype(np.int64), both >> np.uint64(place)
+
+
 class RunLengthIndex:
     """The runs of the Burrows-Wheeler transform of some bytes, with samples at their ends. ``longest``: no string that
-    occurs twice has more bytes."""
+    occurs twice has more bytes. ``least``: shorter matches aren't asked for, and may be given as none."""
 
-    def __init__(self, raw: np.ndarray, longest: int = 1 << 13):
-        n, self.longest = len(raw), longest
+    def __init__(self, raw: np.ndarray, longest: int = 1 << 13, least: int = 1):
+        n, self.longest, self.least = len(raw), longest, least
         order, rank = self._sorted(raw)
         bwt = np.empty(n, dtype=np.int16)
         bwt[:] = raw[order - 1]
@@ -160,13 +174,12 @@ class RunLengthIndex:
     @staticmethod
     def _sorted(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(raw)
-        padded = np.concatenate((raw, np.zeros(8, dtype=np.uint8)))
+        padded = np.concatenate((raw, np.zeros(FIRST_BYTES, dtype=np.uint8)))
         key = np.zeros(n, dtype=np.uint64)
-        for j in range(8):
+        for j in range(FIRST_BYTES):
             key = (key << np.uint64(8)) | padded[j : j + n].astype(np.uint64)
-        order = np.argsort(key)
-        sorted_key = key[order]
-        h = 8
+        order, sorted_key = sorted_places(key, 8 * FIRST_BYTES)
+        h = FIRST_BYTES
         new = np.ones(n, dtype=bool)
         new[1:] = sorted_key[1:] != sorted_key[:-1]
         rank = np.empty(n, dtype=np.int64)
@@ -182,8 +195,8 @@ class RunLengthIndex:
             ahead = own + h
             later = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
             both = rank[own] * (n + 1) + later + 1
-            by = np.argsort(both)
-            own, both = own[by], both[by]
+            by, both = sorted_places(both, 2 * (n + 1).bit_length())
+            own = own[by]
             order[at] = own
             fresh = np.ones(len(at), dtype=bool)
             fresh[1:] = both[1:] != both[:-1]
@@ -193,18 +206,27 @@ class RunLengthIndex:
         return order, rank
 
     def _shared(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Bytes that the suffixes at a and b have in common, by bisection over 128-bit hashes."""
+        """Bytes that the suffixes at a and b have in common, by bisection over 128-bit hashes; 0 for fewer than ``least``,
+        which most are told by their first bytes."""
         spans, n = Spans(raw), len(raw)
-        out, step = np.zeros(len(a), dtype=np.int64), 1 << self.longest.bit_length()
-        while step:
-            fits = np.maximum(a, b) + out + step <= n
-            x, y = (a + out)[fits], (b + out)[fits]
+        shared = np.zeros(len(a), dtype=np.int64)
+
+        def agree(rows: np.ndarray, done: np.ndarray, step: int) -> np.ndarray:
+            x, y = a[rows] + done, b[rows] + done
+            fits = np.flatnonzero(np.maximum(x, y) + step <= n)
+            x, y = x[fits], y[fits]
             same = spans.first(x, x + step) == spans.first(y, y + step)
             same[same] = spans.second(x[same], x[same] + step) == spans.second(y[same], y[same] + step)
-            grow = np.flatnonzero(fits)[same]
-            out[grow] += step
+            return fits[same]
+
+        every = np.arange(len(a))
+        far = every[agree(every, 0, self.least)]
+        out, step = np.full(len(far), self.least, dtype=np.int64), 1 << self.longest.bit_length()
+        while step:
+            out[agree(far, out, step)] += step
             step >>= 1
-        return out
+        shared[far] = out
+        return shared
 
     def matching(self, positions: np.ndarray) -> np.ndarray:
         """For each position: length of the longest string there that also starts elsewhere."""
@@ -222,7 +244,7 @@ def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     raw = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8)  # no UTF-8 text has this byte
     # What occurs twice has no whole text between two others in it, as the texts differ.
-    index = RunLengthIndex(raw, 2 * int(sizes.max(initial=0)) + 2)
+    index = RunLengthIndex(raw, 2 * int(sizes.max(initial=0)) + 2, length)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
     n = np.maximum(sizes - length + 1, 0)
     start = np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
