@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import ODD, frame, words
 
@@ -117,3 +118,26 @@ def test_places_are_sorted_alike_packed_or_not():
 
 def test_empty_table(spark):
     assert S.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_numbers_of_a_piece_fit_in_a_cache():
+    """Short texts are hashed in small pieces, whatever the batch, with the same regions as at once."""
+    r = random.Random(5)
+    texts = ["".join(r.choices("abcdef ", k=900)).encode() for _ in range(600)]
+    raw, at = np.frombuffer(b"".join(texts), dtype=np.uint8), np.arange(601) * 900
+    pieces = list(S._slices(raw, at, 400))
+    assert max(len(part) for part, *_ in pieces) <= 1 << 17
+    found = [int(h) for part, cuts, *_ in pieces for h in S.regions_of(part, cuts, 400)[4]]
+    assert found == [int(h) for h in S.regions_of(raw, at, 400)[4]]
+
+
+def test_suffixes_are_sorted_by_many_letters_first(monkeypatch):
+    """Few different bytes take few bits each: repeats of 12 letters are told apart by the first sort alone."""
+    r = random.Random(6)
+    raw = np.frombuffer("".join(r.choices("ab", k=3000)).encode(), dtype=np.uint8)
+    calls, sort = [], S.sorted_places
+    monkeypatch.setattr(S, "sorted_places", lambda x, bits: calls.append(len(x)) or sort(x, bits))
+    order, _ = S.RunLengthIndex._sorted(raw)
+    text = raw.tobytes()
+    assert list(order) == sorted(range(len(text)), key=lambda i: text[i:])
+    assert len(calls) == 1 or sum(calls[1:]) < 50, calls

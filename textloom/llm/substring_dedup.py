@@ -29,9 +29,8 @@ SLICE_BYTES = 1 << 23
 #: A second base for hashes of 128 bits.
 BASE2 = 0xD6E8FEB86659FD93
 INVERSE2 = pow(BASE2, -1, 1 << 64)
-SHARD_BYTES = 1 << 20
-#: Bytes by which suffixes are sorted first: so few that they fit in 64 bits beside a place.
-FIRST_BYTES = 5
+#: Bytes of regions in a shard and of texts hashed at a time: so few that the arrays of numbers for each byte lie in a cache.
+SHARD_BYTES, HASHED_BYTES = 1 << 18, 1 << 17
 #: An anchor with more different regions than this is split by counting, see _split_hot; no task gets them all.
 HOT_REGIONS = 2000
 MARK_BROADCAST_ROWS = 200_000
@@ -92,7 +91,7 @@ def regions_of(raw: np.ndarray, at: np.ndarray, length: int, k: int = K) -> tupl
 def _slices(raw: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes, offsets, row numbers and places in the text of runs of texts; a very long text comes in slices that overlap
     by length - 1 bytes, so that each window starts in just one."""
-    for lo, hi, part, cuts in nptext.chunks(raw, at):
+    for lo, hi, part, cuts in nptext.chunks(raw, at, min(HASHED_BYTES, nptext.CHUNK_BYTES)):
         if len(part) <= SLICE_BYTES:
             yield part, cuts, np.arange(lo, hi), np.zeros(hi - lo, dtype=np.int64)
         else:
@@ -174,15 +173,18 @@ class RunLengthIndex:
     @staticmethod
     def _sorted(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(raw)
-        padded = np.concatenate((raw, np.zeros(FIRST_BYTES, dtype=np.uint8)))
+        # Bytes are numbered from 1 among those that are there: more of them fit in 64 bits beside a place.
+        code = np.cumsum(np.bincount(raw, minlength=256) > 0).astype(np.uint64)
+        bits = int(code[-1]).bit_length() or 1
+        h = max(1, (64 - n.bit_length()) // bits)
+        padded = np.concatenate((code[raw], np.zeros(h, dtype=np.uint64)))
         key = np.zeros(n, dtype=np.uint64)
-        for j in range(FIRST_BYTES):
-            key = (key << np.uint64(8)) | padded[j : j + n].astype(np.uint64)
-        order, sorted_key = sorted_places(key, 8 * FIRST_BYTES)
-        h = FIRST_BYTES
+        for j in range(h):
+            key = (key << np.uint64(bits)) | padded[j : j + n]
+        order, sorted_key = sorted_places(key, bits * h)
         new = np.ones(n, dtype=bool)
         new[1:] = sorted_key[1:] != sorted_key[:-1]
-        rank = np.empty(n, dtype=np.int64)
+        rank = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         while True:
             # Only places that share their rank with a neighbour are sorted again, by the rank h further on.
@@ -194,7 +196,7 @@ class RunLengthIndex:
             own = order[at]
             ahead = own + h
             later = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-            both = rank[own] * (n + 1) + later + 1
+            both = rank[own].astype(np.int64) * (n + 1) + later + 1
             by, both = sorted_places(both, 2 * (n + 1).bit_length())
             own = own[by]
             order[at] = own
