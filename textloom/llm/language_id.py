@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 from textloom.llm import nptext
-from textloom.llm.common import bounded_batches
+from textloom.llm.common import bounded_batches, shared_value
 
 ORDER = 5
 #: Labelled texts of a language that are learned from at most, chosen by hash: the bound on what the driver gets.
@@ -283,7 +283,7 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Models:
         var, per_char = float(np.median(off)) / 0.455, max(per_char, 1.0)
         furthest = float(((h - mean) / np.sqrt(var + per_char / n)).max())
         models.usual[j] = (mean, var, per_char, max(LEAST, BEYOND * furthest))
-    shared.unpersist()
+    shared.destroy()
     return models
 
 
@@ -294,7 +294,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     alone. A null text, or one without letters, has ``und``, score 0 and is rejected; so is every text if there are no
     models. Equal texts are judged alike; ties go to the first language by name. An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = shared_value(docs.sparkSession, models)
     docs = bounded_batches(docs.drop(*JUDGED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, ban
     docs = keyed(docs)
     signed = stored(docs.mapInArrow(_signed_rows(shingle, bands, rows), "doc_id long, k_id long, k_text long, n_shingles long, node long, bands array<long>"))
     nodes = stored(signed.where("n_shingles > 0").select(*KEY, "node", "bands").dropDuplicates(["node"]))
-    members = stored(shared_buckets(nodes.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))))
+    members = shared_buckets(nodes.select(F.explode("bands").alias("bucket"), F.col("node").alias("id")))
     wanted = stored(nodes.select(*KEY, "node").join(members.select(F.col("id").alias("node")).distinct(), "node"))
     texts = stored(docs.join(small_side(wanted, SEARCH_BROADCAST_ROWS), KEY).select("node", "text"))
     if texts.count() > wanted.count():  # repeated rows
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80, ban
         own = texts.join(ids.withColumnRenamed("id", "node"), "node").select("node", "text")
         fine_rows = max(1, int(math.log(FINE_MEET) / math.log(similarity / 100)))
         own = stored(own.mapInArrow(_fine_rows(shingle, FINE_BANDS, fine_rows), "node long, n long, bands array<long>, sketch array<long>"))
-        fine = stored(shared_buckets(own.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))))
+        fine = shared_buckets(own.select(F.explode("bands").alias("bucket"), F.col("node").alias("id")))
         sketches = own.select(F.col("node").alias("id"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_LONGS)])
         bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"lead_s{i}"))) for i in range(1, SKETCH_LONGS)), F.bit_count(F.col("s0").bitwiseXOR(F.col("lead_s0"))))
         return fine.join(sketches, "id"), linked(F.col("n") + F.col("lead_n"), bits.cast("long"), similarity)
