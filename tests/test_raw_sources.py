@@ -66,3 +66,33 @@ def test_whole_documents(spark):
     assert [x[0] for x in rows.select(json_document(rows.t).cast("string")).collect()] == ['{"a":[1]}', None, None, None]
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         spark.createDataFrame([("{broken",)], "t string").select(json_document(rows.t)).collect()
+
+
+def test_files_are_cut_once(spark, tmp_path):
+    """Spark may cut files otherwise when it reads them again, as it does when cores come or go: no later step reads them."""
+    Path(tmp_path, "a.csv").write_text('1,"x\ny"\n2,z\n')
+    rows = csv_lines(spark, str(tmp_path))
+    assert "a.csv" not in " ".join(rows.inputFiles()) and sorted(x.record for x in rows.collect()) == ['1,"x\ny"', "2,z"]
+
+
+def test_nulls_and_odd_characters_in_fields(spark, tmp_path):
+    """A field of two quotes is an empty text and none at all a null; NULs before quotes and private characters stay."""
+    texts = ["", "\0", '\0"\0', 'x\\\0"y', "", "n", "-", "\0-", "a\r\nb", "\r", '"', "x" * 1_200_000, "plain"]
+    quoted = lambda t: '"' + t.replace('"', '""') + '"'
+    with open(tmp_path / "a.csv", "w", newline="") as out:
+        out.write("".join(f"{i},{quoted(t)},w\n" for i, t in enumerate(texts)) + ',"no id",w\n98,,w\n99,"x",\n')
+    got = {x.id: (x.a, x.b) for x in csv_records(spark, str(tmp_path), "id int, a string, b string").collect()}
+    assert got == {i: (t, "w") for i, t in enumerate(texts)} | {None: ("no id", "w"), 98: (None, "w"), 99: ("x", None)}
+
+
+def test_csv_query_on_odd_documents(spark, tmp_path):
+    import hashlib
+
+    from textloom.plans import run
+
+    odd = [None, "", "a,b", 'a"b', " en ", "e\nn", "en"]
+    rows = [(i, "t\nu", lang, "s") for i, lang in enumerate(odd)] + [(10, "", "en", "s"), (11, "t", "en", None), (12, "t", "en", 'q"\n'), (None, "t", None, None), (13, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(i, lang, hashlib.md5(t.encode()).hexdigest(), None if s is None else f'x, "{s}"') for i, t, lang, s in rows if t is not None]
+    got = map(tuple, run(spark, "csv_multiline", str(tmp_path)).collect())
+    assert sorted(got, key=repr) == sorted(want, key=repr)

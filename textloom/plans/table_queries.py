@@ -111,7 +111,9 @@ def csv_multiline(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
     note = F.concat(F.lit('x, "'), "source", F.lit('"'))
     path = scratch(spark)
-    d.select(F.concat_ws(",", F.col("doc_id").cast("string"), "lang", quoted(F.col("text")), quoted(note)).alias("value")).write.text(path)
+    # A null is a field without any characters; concat_ws alone would leave the field out.
+    fields = [F.coalesce(c, F.lit("")) for c in (F.col("doc_id").cast("string"), quoted(F.col("lang")), quoted(F.col("text")), quoted(note))]
+    d.select(F.concat_ws(",", *fields).alias("value")).write.text(path)
     read = csv_records(spark, path, "doc_id bigint, lang string, text string, note string")
     return read.select("doc_id", "lang", F.md5("text").alias("text_md5"), "note")
 

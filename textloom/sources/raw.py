@@ -9,7 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
+
+from textloom.sources.scratch import written
 
 
 def blocks(spark: SparkSession, path: str, mark: str) -> DataFrame:
@@ -21,28 +23,29 @@ def blocks(spark: SparkSession, path: str, mark: str) -> DataFrame:
     return rows.where((F.trim("block") != ""))
 
 
-_LINES = "path string, split_start long, n long, line string, opens boolean, whole boolean"
+_LINES = "path string, split_start long, n long, line string, before boolean, after boolean"
 
 
-def _marked_lines(quote: str):
-    """Lines with n, their number in the part of the file; opens: whether a record begins there; whole: whether it ends there."""
+def _numbered_lines(quote: str):
+    """Lines with n, their number in the part of the file, and whether the part has an odd number of quotes before and after
+    each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, odd, n = None, False, 0
         for batch in batches:
-            path, start, inside = (batch.column(c).to_pylist() for c in ("path", "split_start", "inside"))
+            path, start = (batch.column(c).to_pylist() for c in ("path", "split_start"))
             quotes = np.array(pc.count_substring(batch.column("line"), quote).fill_null(0), dtype=np.int64)
-            number, opens, whole = [], [], []
-            for p, s, i, q in zip(path, start, inside, quotes.tolist(), strict=True):
+            number, before, after = [], [], []
+            for p, s, q in zip(path, start, quotes.tolist(), strict=True):
                 if (p, s) != at:
-                    at, odd, n = (p, s), i, 0
+                    at, odd, n = (p, s), False, 0
                 number.append(n)
-                opens.append(not odd)
+                before.append(odd)
                 odd ^= bool(q & 1)
-                whole.append(not odd)
+                after.append(odd)
                 n += 1
-            columns = [batch.column("path"), batch.column("split_start"), pa.array(number, pa.int64()), batch.column("line"), pa.array(opens, pa.bool_()), pa.array(whole, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["path", "split_start", "n", "line", "opens", "whole"])
+            columns = [batch.column("path"), batch.column("split_start"), pa.array(number, pa.int64()), batch.column("line"), pa.array(before, pa.bool_()), pa.array(after, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "split_start", "n", "line", "before", "after"])
 
     return run
 
@@ -50,16 +53,20 @@ def _marked_lines(quote: str):
 def csv_lines(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     """(path, record) of delimited files: each record's text, which goes over several lines where a quoted field holds line
     feeds. Any part of a file can be read by itself: the parity of quotes in each part, put together in the order of the
-    parts, says whether the next begins inside a field. Records on one line stay where they are read; only the lines of
-    others are shuffled, by record. A field that is never closed ends with the file. Lines ends are line feeds."""
+    parts, says whether the next begins inside a field. The files are read once and their lines stored with their part, as
+    Spark may cut files otherwise when it reads them again (parts depend on the cores there are). Records on one line stay
+    where they are read; only the lines of others are shuffled, by record. A field that is never closed ends with the file.
+    Lines ends are line feeds."""
     lines = spark.read.option("lineSep", "\n").text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split_start"), F.col("value").alias("line"))
-    quotes = F.length("line") - F.length(F.translate("line", quote, ""))
-    parts = lines.groupBy("path", "split_start").agg(F.sum(quotes).alias("quotes"))  # one row for each part of a file
+    lines = written(lines.mapInArrow(_numbered_lines(quote), _LINES))
+    parts = lines.groupBy("path", "split_start").agg(F.max_by(F.col("after").cast("int"), "n").alias("odd"))  # one row for each part of a file
     before = Window.partitionBy("path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("path", "split_start", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("inside"))
-    # The parts' table has a row for every hundred megabytes or so: the join keeps the lines where and as they were read.
-    marked = lines.join(F.broadcast(parts), ["path", "split_start"]).mapInArrow(_marked_lines(quote), _LINES)
+    parts = parts.select("path", "split_start", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("inside"))
+    # The parts' table has a row for every hundred megabytes or so: the join keeps the lines where they were read. opens and
+    # whole: whether a record begins, and ends, with the line.
+    marked = lines.join(F.broadcast(parts), ["path", "split_start"])
+    marked = marked.select("path", "split_start", "n", "line", (F.col("before") == F.col("inside")).alias("opens"), (F.col("after") == F.col("inside")).alias("whole"))
     alone = marked.where("opens and whole").select("path", F.col("line").alias("record"))
     # Lines of longer records: the record is named by the place of its first line, the last one that opens so far; where that
     # lies in an earlier part, the parts' own last openings tell.
@@ -74,10 +81,23 @@ def csv_lines(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     return alone.union(longer.select("path", F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("record")))
 
 
+#: A character for private use that stands before another one: for a NUL, which Spark's parser takes for no character, for
+#: itself, and for a field that isn't there.
+_MARK, _NUL, _SELF, _NOTHING = "\ue000", "\ue000n", "\ue000m", "\ue000-"
+
+
 def csv_records(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",", quote: str = '"', header: str | None = None) -> DataFrame:
     """The fields of delimited files whose quoted fields may hold separators, doubled quotes and line feeds, see csv_lines;
-    records equal to ``header`` and empty ones are left out."""
-    text = schema if isinstance(schema, str) else schema.simpleString()
+    records equal to ``header`` and empty ones are left out. A field without any characters is null, one of two quotes is an
+    empty text."""
+    types = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     rows = csv_lines(spark, path, quote).where(F.col("record") != "")
     rows = rows if header is None else rows.where(F.col("record") != header)
-    return rows.select(F.from_csv("record", text, {"sep": sep, "quote": quote, "escape": quote, "multiLine": "true"}).alias("f")).select("f.*")
+    odd = F.col("record").contains("\0") | F.col("record").contains(_MARK)
+    safe = F.replace(F.replace("record", F.lit(_MARK), F.lit(_SELF)), F.lit("\0"), F.lit(_NUL))
+    rows = rows.select(odd.alias("odd"), F.when(odd, safe).otherwise(F.col("record")).alias("record"))
+    options = {"sep": sep, "quote": quote, "escape": quote, "multiLine": "true", "nullValue": _NOTHING}
+    rows = rows.select("odd", F.from_csv("record", types.simpleString(), options).alias("f"))
+    plain = lambda c: F.replace(F.replace(c, F.lit(_NUL), F.lit("\0")), F.lit(_SELF), F.lit(_MARK))
+    field = lambda c: F.col("f").getField(c.name)
+    return rows.select(*[(F.when(F.col("odd"), plain(field(c))).otherwise(field(c)) if c.dataType == StringType() else field(c)).alias(c.name) for c in types])
